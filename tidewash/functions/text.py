@@ -120,20 +120,21 @@ def visible_tokens(tokens: Column) -> Column:
     folded inside the row, without a shuffle. Null tokens are left out.
     """
     present = F.array_compact(tokens)
-    joined = F.array_join(present, "")
-    at = F.instr(joined, START_TAG)
-    tag_end = at + F.lit(len(START_TAG) - 1)
-    start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("shown"))
-    shown = F.aggregate(
-        present,
-        start,
-        lambda acc, token: F.struct(
-            (acc["chars"] + F.length(token)).alias("chars"),
-            (acc["shown"] + F.when(acc["chars"] + F.length(token) < tag_end, 1).otherwise(0)).alias("shown"),
-        ),
-        lambda acc: acc["shown"],
+    at = F.instr(F.array_join(present, ""), START_TAG)
+    # The offset travels in the accumulator; inside the step it would be searched per token.
+    start = F.struct(
+        F.lit(0).alias("chars"), F.lit(0).alias("shown"), (at + F.lit(len(START_TAG) - 1)).alias("tag_end"), at.alias("at")
     )
-    return F.when(at == 0, present).otherwise(F.slice(present, F.lit(1), shown))
+
+    def step(acc: Column, token: Column) -> Column:
+        chars = acc["chars"] + F.length(token)
+        visible = (acc["at"] == 0) | (chars < acc["tag_end"])
+        return F.struct(
+            chars.alias("chars"), (acc["shown"] + visible.cast("int")).alias("shown"),
+            acc["tag_end"].alias("tag_end"), acc["at"].alias("at"),
+        )
+
+    return F.slice(present, F.lit(1), F.aggregate(present, start, step, lambda acc: acc["shown"]))
 
 
 # -- markdown -----------------------------------------------------------------
