@@ -112,30 +112,19 @@ def row_order(df: DataFrame, order_by: str | Sequence[str] | None = None) -> Col
     """One orderable column that says which row comes first.
 
     ``order_by`` names the key columns. Without it the file position is used
-    (path, block, row within the scan), which follows the order of the lines of
-    each file; frames that no longer know their files fall back to scan order.
+    (path, block, row within the scan), which follows the lines of each file;
+    frames that do not come straight from files fall back to scan order.
     """
     if order_by is not None:
         names = [order_by] if isinstance(order_by, str) else list(order_by)
         return F.struct(*[col(n) for n in names])
-    scan_order = F.monotonically_increasing_id()
-    if _knows_its_files(df):
-        return F.struct(
-            F.col("_metadata.file_path"),
-            F.col("_metadata.file_block_start"),
-            scan_order.alias("row"),
-        )
-    return F.struct(scan_order.alias("row"))
-
-
-def _knows_its_files(df: DataFrame) -> bool:
-    if not df.inputFiles():
-        return False
+    scan_order = F.monotonically_increasing_id().alias("row")
+    position = [F.input_file_name().alias("file"), F.input_file_block_start().alias("block")]
     try:
-        df.select("_metadata.file_path")
-    except AnalysisException:
-        return False
-    return True
+        df.select(*position)
+    except AnalysisException:  # more than one source
+        position = []
+    return F.struct(*position, scan_order)
 
 
 def literal_rows(df: DataFrame, rows: Sequence[tuple], names: Sequence[str], types: Sequence[str]) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import calendar
 import re
 from dataclasses import dataclass
-from datetime import datetime
 
 from pyspark.sql import Column, functions as F
 
@@ -16,8 +15,10 @@ NA_TOKENS = (
 )
 
 # The characters that Python's str.strip removes.
-_BLANKS = r"[\s\x1c-\x1f\u0085   -     　]+"
-STRIP_PATTERN = f"^{_BLANKS}|{_BLANKS}$"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
@@ -25,7 +26,7 @@ INFINITY_PATTERN = r"(?i)inf"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP_PATTERN, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def na_to_null(text: Column) -> Column:
@@ -45,7 +46,7 @@ def number_or_null(text: Column) -> Column:
 
 def integer_or_null(text: Column) -> Column:
     """Text as bigint when it is written without point or exponent and fits."""
-    return F.when(text.rlike(INTEGER_PATTERN), F.trim(strip(text)).try_cast("bigint"))
+    return F.when(text.rlike(INTEGER_PATTERN), strip(text).try_cast("bigint"))
 
 
 @dataclass(frozen=True)
@@ -121,34 +122,41 @@ def guess_date_format(sample: str | None) -> DateFormat | None:
     return next((f for f in date_formats() if re.match(f.guard, sample)), None)
 
 
-EPOCH = datetime(1970, 1, 1)
-# The range of a 64-bit nanosecond timestamp.
-FIRST_INSTANT = datetime(1677, 9, 21, 0, 12, 43, 145225)
-LAST_INSTANT = datetime(2262, 4, 11, 23, 47, 16, 854775)
-
-
 def micros_to_timestamp(micros: Column) -> Column:
     """Microseconds since 1970 as a timestamp without zone, whatever the session zone."""
-    return F.timestamp_add("MICROSECOND", micros.cast("bigint"), _ntz(EPOCH))
+    return F.timestamp_add("MICROSECOND", micros.cast("bigint"), _epoch())
 
 
 def timestamp_micros(value: Column) -> Column:
     """Microseconds since 1970 of a timestamp without zone."""
-    return F.timestamp_diff("MICROSECOND", _ntz(EPOCH), value.cast("timestamp_ntz"))
+    return F.timestamp_diff("MICROSECOND", _epoch(), value.cast("timestamp_ntz"))
 
 
-def parse_date(text: Column, fmt: DateFormat) -> Column:
-    """Text in exactly this layout as a timestamp without zone, else null.
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
-    The text is read as UTC and rebuilt from its microseconds, so a wall-clock
-    time that the session zone skips in spring is kept as written.
-    """
+
+def _parsed_micros(text: Column, fmt: DateFormat) -> Column:
+    """Microseconds of a text in exactly this layout, else null; the text is read as UTC."""
     if fmt.has_zone:
         instant = F.try_to_timestamp(text, F.lit(fmt.pattern))
     else:
         instant = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(fmt.pattern + " Z"))
-    stamp = micros_to_timestamp(F.unix_micros(F.when(text.rlike(fmt.guard), instant)))
-    return F.when(stamp.between(_ntz(FIRST_INSTANT), _ntz(LAST_INSTANT)), stamp)
+    return F.unix_micros(F.when(text.rlike(fmt.guard), instant))
+
+
+def _in_nanosecond_range(micros: Column) -> Column:
+    """Null for instants that a 64-bit nanosecond count cannot hold (before 1677, after 2262)."""
+    return F.call_function("div", F.try_multiply(micros, F.lit(1000).cast("bigint")), F.lit(1000))
+
+
+def parse_date(text: Column, fmt: DateFormat) -> Column:
+    """Text in exactly this layout as a timestamp without zone, else null.
+
+    It is rebuilt from its microseconds, so a wall-clock time that the session
+    zone skips in spring is kept as written.
+    """
+    return micros_to_timestamp(_in_nanosecond_range(_parsed_micros(text, fmt)))
 
 
 def free_formats() -> list[DateFormat]:
@@ -160,12 +168,11 @@ def free_formats() -> list[DateFormat]:
 
 def parse_any_date(text: Column) -> Column:
     """Each value on its own: the first known layout that fits it."""
-    trimmed = strip(text)
-    return F.coalesce(*[parse_date(trimmed, f) for f in free_formats()])
-
-
-def _ntz(value: datetime) -> Column:
-    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    trimmed, formats = strip(text), free_formats()
+    micros = F.coalesce(*[_parsed_micros(trimmed, f) for f in formats])
+    # One test tells the texts that no layout fits, which is most of them.
+    fits = trimmed.rlike("|".join(f.guard for f in formats))
+    return micros_to_timestamp(_in_nanosecond_range(F.when(fits, micros)))
 
 
 def nanos_to_timestamp(number: Column) -> Column:

@@ -64,11 +64,8 @@ def iso_text(stamp: Column) -> Column:
 def without_fence(text: Column) -> Column:
     """The text inside a code fence; text that does not start with one is only trimmed."""
     trimmed = strip(text)
-    lines = F.split(trimmed, "\n")
-    last = F.when(F.size(lines) > 1, F.element_at(lines, -1)).otherwise(F.lit(""))
-    kept = F.size(lines) - 1 - F.when(F.startswith(last, F.lit(FENCE)), 1).otherwise(0)
-    body = F.array_join(F.slice(lines, F.lit(2), F.greatest(kept, F.lit(0))), "\n")
-    return F.when(F.startswith(trimmed, F.lit(FENCE)), strip(body)).otherwise(trimmed)
+    inside = F.regexp_replace(trimmed, rf"^{FENCE}[^\n]*(\n|\z)|\n{FENCE}[^\n]*\z", "")
+    return F.when(F.startswith(trimmed, F.lit(FENCE)), strip(inside)).otherwise(trimmed)
 
 
 def json_document(text: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewash.functions.columns import clean_value, col
+from tidewash.session import shared_folder
 
 BROADCAST_ROWS = 100_000     # code tables up to this size are sent to all tasks
-RANGE_SPLITTERS = 256
 
 
 def column_mode(df: DataFrame, name: str):
@@ -28,30 +28,27 @@ def impute_mode(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(clean_value(df, name), F.lit(mode).cast(df.schema[name].dataType)))
 
 
-def label_codes(
-    df: DataFrame, name: str, splitters: int = RANGE_SPLITTERS, small: int = BROADCAST_ROWS
-) -> tuple[DataFrame, int]:
+def label_codes(df: DataFrame, name: str, small: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
     """The distinct non-null values with dense codes 0, 1, ... in value order, and their number.
 
-    Many values are numbered range by range: cut values from a sample split the
-    ordered values into ranges, each range is numbered on its own task, and the
-    sizes of the ranges before it are added. Values are distinct by then, so a
-    frequent value makes no range large.
+    Many values are sorted into ranges, one per task, and kept in the shared
+    folder so that the ranges stay as they are. Each range is numbered on its
+    own and the sizes of the ranges before it are added. Values are distinct by
+    then, so a frequent value makes no range large.
     """
     distinct = df.select(clean_value(df, name).alias("value")).filter(F.col("value").isNotNull()).distinct()
     total = distinct.count()
     if total <= small:
         code = F.row_number().over(Window.orderBy("value")) - 1
         return distinct.select("value", code.cast("bigint").alias("code")), total
-    sampled = distinct.sample(min(1.0, 20.0 * splitters / total), seed=29).orderBy("value").collect()
-    step = max(1, len(sampled) // splitters)
-    cuts = F.array(*[F.lit(r["value"]) for r in sampled[step::step]])
-    ranged = distinct.withColumn("range", F.size(F.filter(cuts, lambda c: c <= F.col("value"))))
+    spark = df.sparkSession
+    folder = shared_folder(spark, "label-codes")
+    distinct.repartitionByRange("value").withColumn("range", F.spark_partition_id()).write.parquet(folder)
+    ranged = spark.read.parquet(folder)
     sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
-    before, offsets = 0, []
-    for r in range(max(sizes) + 1):
-        offsets.append(before)
-        before += sizes.get(r, 0)
+    offsets = [0]
+    for r in range(max(sizes)):
+        offsets.append(offsets[-1] + sizes.get(r, 0))
     offset = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("range"))
     rank = F.row_number().over(Window.partitionBy("range").orderBy("value"))
     return ranged.select("value", (offset + rank - 1).alias("code")), total

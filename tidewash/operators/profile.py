@@ -168,7 +168,7 @@ def head_rows(df: DataFrame, n: int, order_by: str | Sequence[str] | None = None
     the bound then prunes the scan that reads the other columns.
     """
     if order_by is None:
-        return df.orderBy(row_order(df)).limit(n)
+        return df.withColumn("_row_order", row_order(df)).orderBy("_row_order").limit(n).drop("_row_order")
     names = [order_by] if isinstance(order_by, str) else list(order_by)
     lead = col(names[0])
     bound = df.select(lead.alias("key")).orderBy("key").limit(n).agg(F.max("key")).first()[0]
@@ -194,8 +194,8 @@ def first_samples(
     if len(rows) < HEAD_ROWS:
         return found
     for c in [c for c, values in found.items() if len(values) < k]:
-        order = row_order(df, order_by)
-        present = df.filter(clean_value(df, c).isNotNull()).orderBy(order).limit(k)
+        placed = df.select(row_order(df, order_by).alias("row"), clean_value(df, c).alias(c))
+        present = placed.filter(col(c).isNotNull()).orderBy("row").limit(k)
         found[c] = [r[0] for r in present.select(texts[c]).collect()]
     return found
 

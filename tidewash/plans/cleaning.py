@@ -32,7 +32,7 @@ UNKNOWN = "Unknown"
 # What the log says when a transform has no text.
 NO_TEXT = {"direct": "imputed missing values", "background": "imputed"}
 
-ACTION_FIELDS = ("action", "reason", "transformation")
+ROW_ORDER = "_row_order"
 
 
 @dataclass(frozen=True)
@@ -172,7 +172,9 @@ def _learn(df, routed, types, order_by, null_counts) -> dict:
     """One aggregate: row count, nulls, integer flags and first date texts."""
     wanted = [F.count(F.lit(1)).alias("rows")]
     keys = ["rows"]
-    first = None
+    if any(op == "date" and isinstance(types[c], T.StringType) for c, op in routed.items()):
+        df = df.withColumn(ROW_ORDER, row_order(df, order_by))
+    first = F.col(ROW_ORDER)
     for name, op in routed.items():
         dtype, value = types[name], clean_value(df, name)
         if op in ("median", "unknown") and name not in null_counts:
@@ -185,7 +187,6 @@ def _learn(df, routed, types, order_by, null_counts) -> dict:
                 keys.append(("integers", name))
                 wanted.append(F.count(integer_or_null(col(name))))
         elif op == "date" and isinstance(dtype, T.StringType):
-            first = first if first is not None else row_order(df, order_by)
             keys.append(("first", name))
             wanted.append(F.min_by(value, F.when(value.isNotNull(), first)))
     row = df.agg(*[w.alias(f"f{i}") for i, w in enumerate(wanted)]).first()

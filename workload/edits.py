@@ -139,7 +139,8 @@ def word_tokens(spark, sf):
     t AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) || ' ' AS token, full_text, instr(full_text, '<<<SCHEMA_UPDATES>>>') AS tag_at FROM
       (SELECT doc_id, string_split(text, ' ') AS w, array_to_string([x || ' ' for x in string_split(text, ' ')], '') AS full_text FROM m)),
     c AS (SELECT *, sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM t)
-    SELECT doc_id, count(*) AS shown, CAST(sum(length(token)) AS BIGINT) AS chars FROM c WHERE tag_at = 0 OR upto < tag_at + 19 GROUP BY doc_id""")
+    SELECT doc_id, count(*) FILTER (tag_at = 0 OR upto < tag_at + 19) AS shown,
+      CAST(coalesce(sum(length(token)) FILTER (tag_at = 0 OR upto < tag_at + 19), 0) AS BIGINT) AS chars FROM c GROUP BY doc_id""")
 def visible_tokens(spark, sf):
     half = F.floor(F.length("text") / 2).cast("int")
     marked = F.concat(F.substr("text", F.lit(1), half), F.lit("<<<SCHEMA_UPDATES>>>"), F.substr("text", half + 1))
@@ -147,7 +148,7 @@ def visible_tokens(spark, sf):
         "doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(marked).alias("text")
     )
     shown = answers.select("doc_id", X.visible_tokens(X.word_tokens(F.col("text"))).alias("tokens"))
-    return shown.filter(F.size("tokens") > 0).select(
+    return shown.select(
         "doc_id", F.size("tokens").cast("bigint").alias("shown"), F.length(F.array_join("tokens", "")).cast("bigint").alias("chars")
     )
 
