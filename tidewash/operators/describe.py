@@ -33,7 +33,7 @@ def describe(df: DataFrame) -> DataFrame:
     for i, c in enumerate(order):
         v = values[c]
         basics += [
-            F.count(v).alias(f"count{i}"), F.avg(v).alias(f"mean{i}"), F.min(v).alias(f"min{i}"),
+            F.count(v).alias(f"count{i}"), _mean(df, c, v).alias(f"mean{i}"), F.min(v).alias(f"min{i}"),
             F.max(v).alias(f"max{i}"), F.stddev_samp(v).alias(f"std{i}"),
         ]
     row = df.agg(*basics).first()
@@ -58,6 +58,13 @@ def describe(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
+def _mean(df: DataFrame, name: str, value: Column) -> Column:
+    """Microseconds since 1970 need exact sums; a sum of doubles would lose some of them."""
+    if is_temporal(df.schema[name].dataType):
+        return F.floor(F.avg(timestamp_micros(col(name)).cast("decimal(20,0)"))).cast("double")
+    return F.avg(value)
+
+
 def _cell(value: float | None, statistic: str, is_time: bool) -> Column:
     if not is_time:
         return F.bround(F.lit(value).cast("double"), PLACES)
