@@ -66,3 +66,10 @@ def test_suggestions():
 def test_hot_value_counts(spark):
     df = spark.range(20000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("v"))
     assert rows(H.value_counts(df, "v", 1), "label", "value") == [("-1", 6667)]
+
+
+def test_suggestions_over_many_tables(spark):
+    tables = {"a": ["Gender", "Age", "Age"], "b": ["First", "Monthly_Subscription_Fee"], "c": ["Monthly_Subscription_Fee", "Churned_Status"], "d": ["x"]}
+    columns = spark.createDataFrame([(d, i, c) for d, cs in tables.items() for i, c in enumerate(cs)], "dataset string, pos int, column string")
+    got = {(r.dataset, r.chart_type, r.x_axis, r.y_axis, r.title) for r in H.suggest_for_tables(columns).collect()}
+    assert got == {(d, s.chart_type, s.x_axis, s.y_axis, s.title) for d, cs in tables.items() for s in H.suggest_charts(cs)}

@@ -70,8 +70,8 @@ def test_model_hook_and_prompt(spark):
 def test_summary(spark):
     rows = [("t", i, f"c{i}", "drop" if i % 2 else "keep") for i in range(9)] + [("u", 0, "a", "keep"), ("w", 0, "z", "drop")]
     df = spark.createDataFrame(rows, "dataset string, pos int, column string, action string")
-    got = {r.dataset: (r.drops, r.examples, r.summary) for r in R.plan_summary(df).collect()}
-    assert got["t"] == (4, "c1, c3", "I recommend dropping 4 irrelevant features (like c1, c3...)")
+    got = {r.dataset: (r.drops, r.examples, r.message) for r in R.plan_summary(df, "win").collect()}
+    assert got["t"][:2] == (4, "c1, c3") and "**win**" in got["t"][2] and "dropping 4 irrelevant features (like c1, c3...)" in got["t"][2]
     assert got["u"][:2] == (0, "") and got["w"][:2] == (1, "z")
 
 
@@ -92,8 +92,10 @@ def test_edit_requests(spark, message, expected):
         assert all((r.transformation == "Custom transform") == (r.action == "transform") for r in got)
     short = {r.column for r in E.edit_requests(messages, COLUMNS, keywords=E.SHORT_KEYWORDS).collect()}
     assert short == {c for c, a in expected.items() if a != "transform"}
-    reply = one(spark, E.reply_text(F.lit(message), COLUMNS, F.lit("win")))
-    assert (f"**{', '.join(expected)}**" in reply) if expected else ("**win**" in reply)
+    for style in E.REPLIES:
+        reply = one(spark, E.reply_text(F.lit(message), COLUMNS, F.lit("win"), style))
+        nothing = "No column changes" if style == "offline" else "**win**"
+        assert (f"**{', '.join(expected)}**" if expected else nothing) in reply
 
 
 def test_fold_prefers_the_latest_turn(spark):

@@ -51,6 +51,34 @@ def suggest_charts(columns: Sequence[str], suggestions: Sequence[ChartSpec] = SU
     return [s if s.x_axis in columns else replace(s, x_axis=columns[0]) for s in chosen]
 
 
+def suggest_for_tables(
+    columns: DataFrame, suggestions: Sequence[ChartSpec] = SUGGESTIONS, by: Sequence[str] = ("dataset",)
+) -> DataFrame:
+    """The same over a table of columns (`by`, `pos`, `column`): one row per table and chart.
+
+    One aggregate per table notes which of the named columns it has; no column
+    lists are gathered.
+    """
+    has = lambda name: F.coalesce(F.bool_or(F.col("column") == name), F.lit(False))
+    found = columns.groupBy(*by).agg(
+        F.min_by("column", "pos").alias("first"),
+        *[has(s.y_axis or s.x_axis).alias(f"has{i}") for i, s in enumerate(suggestions)],
+        *[has(s.x_axis).alias(f"x{i}") for i, s in enumerate(suggestions)],
+    )
+    charts = [
+        F.when(
+            F.col(f"has{i}"),
+            F.struct(
+                F.lit(s.chart_type).alias("chart_type"), F.lit(s.title).alias("title"),
+                F.when(F.col(f"x{i}"), F.lit(s.x_axis)).otherwise(F.col("first")).alias("x_axis"),
+                F.lit(s.y_axis).cast("string").alias("y_axis"), F.lit(s.description).alias("description"),
+            ),
+        )
+        for i, s in enumerate(suggestions)
+    ]
+    return found.select(*by, F.inline(F.array_compact(F.array(*charts))))
+
+
 def usable_specs(specs: DataFrame, columns: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
     """Chart specs whose x column exists, over a table of specs and one of columns."""
     names = columns.select(*by, F.col("column").alias("x_axis"))

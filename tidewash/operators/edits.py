@@ -22,9 +22,24 @@ SHORT_KEYWORDS = (
     ("keep", ("keep", "retain", "include"), "Kept by user in chat (fallback).", None),
 )
 
-# The replies.
-DONE_REPLY = "Done! I've updated the action for **%s**. The schema grid on the right has been refreshed."
-HELP_REPLY = "I'm here to help with your goal: **%s**. You can ask me to keep, drop, or transform any specific column by name."
+# The replies (done, nothing done) of the chat, of its streamed
+# form, and of the chat while no model can be reached. %s is the list of updated
+# columns, or the goal.
+REPLIES = {
+    "chat": (
+        "Done! I've updated the action for **%s**. The schema grid on the right has been refreshed.",
+        "I'm here to help with your goal: **%s**. You can ask me to keep, drop, or transform any specific column by name.",
+    ),
+    "stream": (
+        "Done! I've updated the action for **%s**. The schema grid has been refreshed.",
+        "I'm here to help with your goal: **%s**. Mention a column name with 'drop', 'keep', or 'transform' to make changes.",
+    ),
+    "offline": (
+        "\u26a0\ufe0f AI API unavailable. Applied local parsing. Updated: **%s**.",
+        "\u26a0\ufe0f AI API unavailable. Applied local parsing. No column changes detected. "
+        "Try mentioning a column name with 'drop', 'keep', or 'transform'.",
+    ),
+}
 DEFAULT_MESSAGE = "I have processed your request."
 
 EDIT_FIELDS = ("action", "reason", "transformation")
@@ -78,11 +93,13 @@ def edit_requests(
     return _edit_texts(edits, keywords)
 
 
-def reply_text(message: Column, columns: Sequence[str], goal: Column, keywords=FULL_KEYWORDS) -> Column:
-    """The answer to a message: the names that were updated, or a help text with the goal."""
+def reply_text(message: Column, columns: Sequence[str], goal: Column, style: str = "chat", keywords=FULL_KEYWORDS) -> Column:
+    """The answer to a message: the names that were updated, or a help text."""
+    done, nothing = REPLIES[style]
     updated = F.when(requested_action(message, keywords).isNotNull(), mentioned_columns(message, columns))
-    return F.when(F.size(F.coalesce(updated, F.array().cast("array<string>"))) > 0,
-                  F.format_string(DONE_REPLY, F.array_join(updated, ", "))).otherwise(F.format_string(HELP_REPLY, goal))
+    names = F.array_join(F.nullif(updated, F.array().cast("array<string>")), ", ")
+    helped = F.format_string(nothing, goal) if "%s" in nothing else F.lit(nothing)
+    return F.when(names.isNotNull(), F.format_string(done, names)).otherwise(helped)
 
 
 # -- model answers in chat ------------------------------------------------------

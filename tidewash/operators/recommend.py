@@ -53,7 +53,12 @@ RULES = (
 
 # Keys that every recommendation in a model's answer must have.
 ANSWER_KEYS = ("column", "action", "reason", "transformation")
-PLAN_SENTENCE = "I recommend dropping %d irrelevant features (like %s...)"
+# What the assistant says about a new plan, by where it comes from.
+PLAN_MESSAGE = (
+    "Goal set: **%s**.<br>I have completed scanning the dataset. I recommend dropping %d irrelevant features (like %s...) "
+    "to prepare for your modeling objective. Let me know if you want to make overrides."
+)
+OFFLINE_MESSAGE = "Goal set: **%s**.<br>\u26a0\ufe0f API unavailable. Using offline recommendations fallback."
 
 
 def _matches(rule: Rule, name: Column) -> Column:
@@ -96,8 +101,8 @@ def actions_of(recommendations: DataFrame) -> dict[str, dict[str, str | None]]:
     return {r["column"]: {k: r[k] for k in ANSWER_KEYS[1:]} for r in rows}
 
 
-def plan_summary(recommendations: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
-    """Number of drops and the first two dropped names of each table, as a sentence.
+def plan_summary(recommendations: DataFrame, goal: str, by: Sequence[str] = ("dataset",)) -> DataFrame:
+    """Number of drops and the first two dropped names of each table, and the message about them.
 
     The rank limit is applied before the shuffle, so no table's columns are gathered.
     """
@@ -118,7 +123,7 @@ def plan_summary(recommendations: DataFrame, by: Sequence[str] = ("dataset",)) -
     named = F.concat_ws(", ", "one", "two")
     return counts.join(firsts, by, "left").select(
         *by, "drops", named.alias("examples"),
-        F.format_string(PLAN_SENTENCE, F.col("drops"), named).alias("summary"),
+        F.format_string(PLAN_MESSAGE, F.lit(goal), F.col("drops"), named).alias("message"),
     )
 
 
@@ -204,6 +209,7 @@ def recommendations_or_rules(
 ) -> DataFrame:
     """The model's recommendations per table, or all rule recommendations of that table.
 
+    `origin` tells which (OFFLINE_MESSAGE is what the assistant says about rules).
     ``columns`` has one row per table and column, ``answers`` one per table.
     A table without an answer gets the rules too.
     """

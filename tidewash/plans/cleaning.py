@@ -32,6 +32,12 @@ UNKNOWN = "Unknown"
 # What the log says when a transform has no text.
 NO_TEXT = {"direct": "imputed missing values", "background": "imputed"}
 
+# The message after a run.
+CLEANED_MESSAGE = (
+    "Excellent! I've clean-processed the dataset. It has been reduced from **{before}** features to **{after}** signals. "
+    "You can download the clean file or view the charts on the right dashboard tabs."
+)
+
 ROW_ORDER = "_row_order"
 
 
@@ -287,6 +293,11 @@ def _as_date(value: Column, dtype: T.DataType, fmt: DateFormat | None) -> Column
 
 # -- reports on a run -----------------------------------------------------------
 
+def confirmation(plan: CleanPlan) -> str:
+    """What the assistant says when a table has been cleaned."""
+    return CLEANED_MESSAGE.format(before=len(plan.columns), after=len(plan.columns) - len(plan.dropped))
+
+
 def clean_stats(df: DataFrame, plan: CleanPlan) -> DataFrame:
     """One row of run statistics; cleaning never changes the number of rows."""
     names, kept = plan.columns, len(plan.columns) - len(plan.dropped)

@@ -1,8 +1,9 @@
 """Workbooks (.xlsx): sheet names, and the rows of one sheet per workbook.
 
 A workbook is at most MAX_BYTES by admission, so it is the unit of work: Spark
-spreads the files over the tasks, and a small reader inside the task streams the
-rows of one sheet. Types are inferred afterwards by the same pass as for CSV.
+packs the files into tasks of at most spark.sql.files.maxPartitionBytes, and a
+small reader inside the task streams the rows of one sheet. Types are inferred
+afterwards by the same pass as for CSV.
 """
 
 from __future__ import annotations

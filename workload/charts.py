@@ -135,3 +135,23 @@ def usable_chart_specs(spark, sf):
     )
     columns = docs.select(F.col("doc_id").alias("dataset"), F.explode(F.array("lang", "source")).alias("column"))
     return H.usable_specs(specs, columns)
+
+
+_SUGGESTIONS = [
+    H.ChartSpec("histogram", "Ons", "on", None, "counts"),
+    H.ChartSpec("bar", "In by the", "the", "in", "means"),
+    H.ChartSpec("pie", "Nothing", "no such word", None, "shares"),
+]
+
+
+@query("suggest_charts", """
+    WITH w AS (SELECT doc_id AS dataset, unnest(string_split(text, ' ')) AS word, split_part(text, ' ', 1) AS first FROM documents),
+    d AS (SELECT dataset, any_value(first) AS first, bool_or(word = 'on') AS has_on, bool_or(word = 'in') AS has_in, bool_or(word = 'the') AS has_the FROM w GROUP BY dataset)
+    SELECT dataset, 'histogram' AS chart_type, 'Ons' AS title, 'on' AS x_axis, CAST(NULL AS VARCHAR) AS y_axis, 'counts' AS description FROM d WHERE has_on
+    UNION ALL SELECT dataset, 'bar', 'In by the', CASE WHEN has_the THEN 'the' ELSE first END, 'in', 'means' FROM d WHERE has_in""")
+def suggest_charts(spark, sf):
+    """Words of documents as columns of tables, with suggestions for some of them."""
+    columns = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("dataset"), F.posexplode(F.split("text", " ")).alias("pos", "column")
+    )
+    return H.suggest_for_tables(columns, _SUGGESTIONS)

@@ -110,9 +110,10 @@ def action_counts(spark, sf):
     s AS (SELECT dataset, count(*) FILTER (action = 'drop') AS drops FROM r GROUP BY dataset),
     e AS (SELECT s.dataset, drops, concat_ws(', ', (SELECT "column" FROM d WHERE n = 1 AND d.dataset = s.dataset),
             (SELECT "column" FROM d WHERE n = 2 AND d.dataset = s.dataset)) AS examples FROM s)
-    SELECT *, 'I recommend dropping ' || drops || ' irrelevant features (like ' || examples || '...)' AS summary FROM e""")
+    SELECT *, 'Goal set: **{_GOAL}**.<br>I have completed scanning the dataset. I recommend dropping ' || drops || ' irrelevant features (like ' || examples
+      || '...) to prepare for your modeling objective. Let me know if you want to make overrides.' AS message FROM e""")
 def plan_summary(spark, sf):
-    return R.plan_summary(R.recommend(_words(spark, sf), _GOAL))
+    return R.plan_summary(R.recommend(_words(spark, sf), _GOAL), _GOAL)
 
 
 _CONTEXT_SQL = """
@@ -142,16 +143,23 @@ def schema_context(spark, sf):
     return _context(spark, sf)
 
 
-_PAYLOAD_FIELDS = ["column", "type", "null_count", "current_action", "reason", "transformation"]
+_PAYLOAD_FIELDS = ["column", "data_type", "row_count", "unique_values_count", "action", "transformation"]
+_SPARK_TYPES = {
+    "c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string",
+    "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+    "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
+    "p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double",
+}
 
 
 @query("prompt_payload", f"""
-    WITH c AS ({_CONTEXT_SQL}), j AS (SELECT dataset, '[' || string_agg('{{"column":"' || "column" || '","type":"' || type || '","null_count":' || null_count
-      || ',"current_action":"' || current_action || '","reason":"' || reason || '","transformation":'
-      || coalesce('"' || transformation || '"', 'null') || '}}', ',' ORDER BY pos) || ']' AS payload FROM c GROUP BY dataset)
+    WITH a AS ({_ANALYSIS_SQL}), j AS (SELECT dataset, '[' || string_agg('{{"column":"' || "column" || '","data_type":"'
+      || CASE {" ".join(f"WHEN a.column = '{c}' THEN '{t}'" for c, t in _SPARK_TYPES.items())} END || '","row_count":' || row_count
+      || ',"unique_values_count":' || unique_values_count || ',"action":"' || action || '","transformation":'
+      || coalesce('"' || transformation || '"', 'null') || '}}', ',' ORDER BY pos) || ']' AS payload FROM a GROUP BY dataset)
     SELECT dataset, payload, 'Goal: {_GOAL}' || chr(10) || 'Columns:' || chr(10) || payload AS prompt FROM j""")
 def prompt_payload(spark, sf):
-    return R.prompt_payload(_context(spark, sf), _GOAL, _PAYLOAD_FIELDS)
+    return R.prompt_payload(_analysis(spark, sf), _GOAL, _PAYLOAD_FIELDS)
 
 
 @query("model_answers", "SELECT doc_id, length(text) || ' ' || upper(left(text, 1)) AS answer FROM documents")
