@@ -13,8 +13,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -149,50 +147,73 @@ def _propose_cuts(df: DataFrame, columns: Mapping[str, Column], targets: list[_T
 
 
 def _apply_cuts(df, columns, targets: list[_Target], cuts) -> list[_Target]:
-    """One counting scan over all rows places every rank relative to every cut."""
-    if not cuts:
+    """One counting scan over all rows places every rank relative to every cut.
+
+    The cuts of a column split its values into zones: below the first cut, equal
+    to it, between it and the next, and so on. Only the zone counts are moved.
+    """
+    by_column: dict[str, list[float]] = {}
+    for name, cut in cuts:
+        by_column.setdefault(name, []).append(cut)
+    if not by_column:
         return targets
-    counters = []
-    for i, (name, cut) in enumerate(cuts):
-        counters.append(F.count_if(columns[name] < cut).alias(f"smaller{i}"))
-        counters.append(F.count_if(columns[name] <= cut).alias(f"notlarger{i}"))
-    row = df.agg(*counters).first()
-    for i, (name, cut) in enumerate(cuts):
-        targets = [
-            t.cut(cut, row[f"smaller{i}"], row[f"notlarger{i}"]) if t.name == name and t.found is None else t
-            for t in targets
-        ]
+    counts = dict.fromkeys(((n, z) for n, c in by_column.items() for z in range(2 * len(c) + 1)), 0)
+    names = list(by_column)
+    for row in _tally(df, [_zone(columns[n], by_column[n]) for n in names]).groupBy("column", "zone").count().collect():
+        counts[names[row["column"]], row["zone"]] = row["count"]
+    for name, ordered in by_column.items():
+        upto = 0
+        for i, cut in enumerate(ordered):
+            smaller = upto + counts[name, 2 * i]
+            upto = smaller + counts[name, 2 * i + 1]
+            targets = [t.cut(cut, smaller, upto) if t.name == name and t.found is None else t for t in targets]
     return targets
 
 
+def _zone(value: Column, cuts: list[float]) -> Column:
+    zone = F.when(value.isNull(), F.lit(None).cast("int"))
+    for i, cut in enumerate(cuts):
+        zone = zone.when(value < cut, F.lit(2 * i)).when(value == cut, F.lit(2 * i + 1))
+    return zone.otherwise(F.lit(2 * len(cuts)))
+
+
+def _tally(df: DataFrame, zones: list[Column], values: list[Column] | None = None) -> DataFrame:
+    """Rows (column number, zone, and its value if wanted) of the cells that lie in a zone."""
+    extra = [[] for _ in zones] if values is None else [[v.alias("value")] for v in values]
+    cells = [F.struct(F.lit(i).alias("column"), z.alias("zone"), *extra[i]) for i, z in enumerate(zones)]
+    return df.select(F.inline(F.array(*cells))).filter(F.col("zone").isNotNull())
+
+
 def _rank_inside(df, columns, targets: list[_Target]) -> dict[tuple[str, int], float]:
-    """The wanted ranks among the few values left between two cuts, one group per bracket."""
+    """The wanted ranks among the few values left between two cuts, one group per bracket.
+
+    Brackets of one column lie between neighbouring cuts, so a value is in at most one.
+    """
     if not targets:
         return {}
     brackets = list(_by_bracket(targets).values())
-    tests = [group[0].holds(columns[group[0].name]) for group in brackets]
-    entries = [
-        F.when(test, F.struct(F.lit(i).alias("bracket"), columns[group[0].name].alias("value")))
-        for i, (group, test) in enumerate(zip(brackets, tests))
-    ]
+    names = sorted({group[0].name for group in brackets})
+    inside = []
+    for name in names:
+        number = F.when(F.lit(False), F.lit(None).cast("int"))
+        for i, group in enumerate(brackets):
+            if group[0].name == name:
+                number = number.when(group[0].holds(columns[name]), F.lit(i))
+        inside.append(number)
     steps = F.array(*[F.array(*[F.lit(t.rank - t.below) for t in group]) for group in brackets])
     upto = F.sum("n").over(
-        Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("zone").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    in_step = lambda s: (s < F.col("upto")) & (s >= F.col("upto") - F.col("n"))
     picked = (
-        df.filter(reduce(or_, tests))
-        .select(F.inline(F.array_compact(F.array(*entries))))
-        .groupBy("bracket", "value")
+        _tally(df, inside, [columns[n] for n in names])
+        .groupBy("zone", "value")
         .agg(F.count("*").alias("n"))
         .withColumn("upto", upto)
-        .withColumn(
-            "hits",
-            F.filter(F.get(steps, F.col("bracket")), lambda s: (s < F.col("upto")) & (s >= F.col("upto") - F.col("n"))),
-        )
-        .select("bracket", "value", F.explode("hits").alias("step"))
+        .select("zone", "value", F.explode(F.filter(F.get(steps, F.col("zone")), in_step)).alias("step"))
     )
     found = {}
     for row in picked.collect():
-        group = brackets[row["bracket"]]
+        group = brackets[row["zone"]]
         found[group[0].name, group[0].below + row["step"]] = row["value"]
     return found
