@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from tidewash.functions.parsing import strip
@@ -59,6 +61,11 @@ def iso_text(stamp: Column) -> Column:
     return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, although it is used several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # -- JSON answers -------------------------------------------------------------
 
 def without_fence(text: Column) -> Column:
@@ -76,7 +83,7 @@ def json_document(text: Column) -> Column:
     """
     wrapped = F.concat(F.lit("["), text, F.lit("]"))
     items = F.from_json(wrapped, "array<string>", {"allowSingleQuotes": "false"})
-    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+    return _let(items, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
 
 
 def json_answer(text: Column) -> Column:
@@ -116,7 +123,10 @@ def visible_tokens(tokens: Column) -> Column:
     at a known offset of the joined text, so one running length decides; it is
     folded inside the row, without a shuffle. Null tokens are left out.
     """
-    present = F.array_compact(tokens)
+    return _let(F.array_compact(tokens), _shown_tokens)
+
+
+def _shown_tokens(present: Column) -> Column:
     at = F.instr(F.array_join(present, ""), START_TAG)
     # The offset travels in the accumulator; inside the step it would be searched per token.
     start = F.struct(
