@@ -3,6 +3,7 @@ import json
 import zipfile
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,12 @@ def test_csv_types(spark, tmp_path):
     assert trim_headers(df).columns[1] == "n"
 
 
+def test_csv_headers_like_pandas(spark, tmp_path):
+    text = "a,a,,a,b.1,b,b\n1,2,3,4,5,6,7\n"
+    (tmp_path / "h.csv").write_text(text)
+    assert T.read_csv(spark, str(tmp_path / "h.csv")).columns == list(pd.read_csv(io.StringIO(text)).columns)
+
+
 def test_csv_round_trip_of_cleaned(spark):
     df = generator.dirty_table(spark, 200)
     result = clean(df, {"Age": {"action": "keep"}, "Gender": {"action": "keep"}, "Registration_Date": {"action": "transform", "transformation": "date"},

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 DIRECT_ROWS = 100_000      # `percentile` keeps at most this many values per column
 INSIDE_ROWS = 100_000      # this few rows between two cuts are ranked one by one
 SKETCH_ACCURACY = 10_000
+COLUMNS_PER_PASS = 64      # sketches of this many columns share a task
 
 
 @dataclass(frozen=True)
@@ -80,9 +81,10 @@ def exact_quantiles(
         states = [F.percentile(values[n], list(probabilities)).alias(f"q{i}") for i, n in enumerate(batch)]
         row = df.agg(*states).first()
         result.update({n: list(row[i]) for i, n in enumerate(batch)})
-    large = {n: values[n] for n in values if counts[n] > direct_rows}
-    if large:
-        result.update(_cornered_quantiles(df, large, probabilities, counts, inside_rows))
+    large = [n for n in values if counts[n] > direct_rows]
+    for at in range(0, len(large), COLUMNS_PER_PASS):
+        part = {n: values[n] for n in large[at:at + COLUMNS_PER_PASS]}
+        result.update(_cornered_quantiles(df, part, probabilities, counts, inside_rows))
     return result
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import SparkSession
 def build_session(app_name: str = "tidewash", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library is tuned for.
 
-    Partition counts are left to adaptive execution: a large initial number
-    that AQE coalesces on small inputs, and skew-join splitting for hot keys.
+    Adaptive execution merges small shuffle partitions and splits the ones that
+    a hot key makes large. ``conf`` adds to or replaces the settings; on a large
+    cluster raise spark.sql.shuffle.partitions to a few times its cores.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:

@@ -19,16 +19,28 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool = F
     Cells are read as text, then one aggregate decides the type of each column.
     ``multiline`` allows line breaks inside quotes, at the price of one task per file.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path if isinstance(path, str) else list(path))
-    )
+    files = path if isinstance(path, str) else list(path)
+    reader = spark.read.option("inferSchema", False).option("escape", '"').option("multiLine", multiline)
+    heading = reader.option("header", False).csv(files).first()
+    raw = reader.option("header", True).csv(files)
+    if heading is not None:
+        raw = raw.toDF(*header_names(list(heading)))
     return infer_types(raw)
 
 
+def header_names(cells: Sequence[str | None]) -> list[str]:
+    """Distinct column names: a repeated name gets .1, .2, ..., an empty one its position."""
+    names: list[str] = []
+    taken = {c for c in cells if c}
+    for i, cell in enumerate(cells):
+        name, repeat = cell or f"Unnamed: {i}", 0
+        while name in names or (repeat and name in taken):
+            repeat += 1
+            name = f"{cell or f'Unnamed: {i}'}.{repeat}"
+        names.append(name)
+    return names
+
+
 def infer_types(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Text columns typed by their content.
 
