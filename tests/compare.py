@@ -64,7 +64,7 @@ def main(sf: str, only: list[str]) -> None:
 
     spark = build_session(master="local[8]", **{
         "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.log.level": "ERROR",
-        "spark.ui.showConsoleProgress": "false",
+        "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": os.environ.get("ZONE", "UTC"),
     })
     sf_dir = f"/root/testdata/sf{sf}"
     con, sql = connect(sf_dir), entry.oracle_sql()

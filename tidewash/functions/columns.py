@@ -61,11 +61,10 @@ def value_text(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BooleanType):
         return F.when(value, F.lit("True")).when(~value, F.lit("False"))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        whole = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-        micros = F.date_format(value, "SSSSSS")
-        return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+        text = value.cast("string")
+        return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)
     if isinstance(dtype, T.DateType):
-        return F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+        return F.concat(value.cast("string"), F.lit(" 00:00:00"))
     if is_float(dtype):
         return _float_text(value.cast("double"))
     return value.cast("string")

@@ -56,9 +56,8 @@ def file_extension(name: Column) -> Column:
 
 def iso_text(stamp: Column) -> Column:
     """ISO text of a timestamp; microseconds only when there are any."""
-    whole = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(stamp, "SSSSSS")
-    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+    text = F.replace(stamp.cast("string"), F.lit(" "), F.lit("T"))
+    return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -217,7 +217,7 @@ def answers_or_rules(spark, sf):
       event_type || '_' || event_id AS "column", event_type AS action,
       max(date_diff('hour', TIMESTAMP '2024-01-01', ts)) OVER (PARTITION BY user_id) AS newest FROM events) WHERE version = newest""")
 def latest_actions(spark, sf):
-    hours = F.timestamp_diff("HOUR", F.date_trunc("hour", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")), F.date_trunc("hour", F.col("ts")))
+    hours = F.timestamp_diff("HOUR", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     versions = table(spark, sf, "events").select(
         F.col("user_id").alias("dataset"), hours.alias("version"),
         F.concat_ws("_", "event_type", F.col("event_id").cast("string")).alias("column"), F.col("event_type").alias("action"),

@@ -53,6 +53,7 @@ def provider_of(spark, sf):
       array_to_string([lang, source], ', ') AS joined, printf('DOC_%06d', doc_id) AS padded,
       round_even(n_chars / 8.0, 2) AS rounded, CAST(n_chars / 8.0 AS VARCHAR) AS as_text, CAST(n_chars AS DOUBLE) AS as_double,
       coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''), lang) AS filled,
+      strftime(TIMESTAMP '2024-03-10 02:30:00' + to_seconds(doc_id), '%Y-%m-%dT%H:%M:%S') AS iso,
       lower(CASE WHEN contains(source || '.' || upper(lang), '.') THEN upper(lang) END) AS extension FROM documents""")
 def scalar_functions(spark, sf):
     docs = table(spark, sf, "documents")
@@ -74,5 +75,6 @@ def scalar_functions(spark, sf):
         K.value_text(eighth.cast("double"), T.DoubleType()).alias("as_text"),
         F.col("n_chars").cast("double").alias("as_double"),
         X.first_filled(F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")), F.col("lang")).alias("filled"),
+        X.iso_text(F.timestamp_add("SECOND", F.col("doc_id"), F.lit("2024-03-10 02:30:00").cast("timestamp_ntz"))).alias("iso"),
         X.file_extension(F.concat("source", F.lit("."), F.upper("lang"))).alias("extension"),
     )
