@@ -76,6 +76,38 @@ def test_dates_like_pandas(spark, values):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+FORMATS = [
+    "%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y%m%d", "%m/%d/%Y", "%d/%m/%Y", "%m-%d-%Y", "%d.%m.%Y", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S",
+    "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%b %d, %Y", "%B %d, %Y", "%d %b %Y", "%d-%b-%Y", "%Y", "%Y-%m", "%m/%d/%Y %H:%M:%S",
+    "%m/%d/%y", "%Y-%m-%d %I:%M %p", "%Y%m%dT%H:%M:%S",
+]
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_random_dates_like_pandas(spark):
+    """Columns of one layout with foreign, blank, padded and lower-case values mixed in."""
+    rng = random.Random(11)
+    when = lambda: dt.datetime(1900, 1, 1) + dt.timedelta(seconds=rng.randint(0, 200 * 365 * 86400))
+    for layout in FORMATS:
+        values = [when().strftime(layout) for _ in range(5)]
+        values += [when().strftime(rng.choice(FORMATS)), "abc", None, "", values[0] + " ", values[1].lower()]
+        expected = [None if pd.isna(v) else v.to_pydatetime() for v in pd.to_datetime(pd.Series(values), errors="coerce")]
+        assert column(spark, values, "string", do("transform", "date"))[0] == expected, layout
+
+
+def test_random_numbers_like_pandas(spark):
+    rng = random.Random(12)
+    values = sorted({"".join(rng.choice("0123456789+-.e infx\t") for _ in range(rng.randint(0, 6))) for _ in range(5000)})
+    # pandas gives up on a zero with a huge exponent and is a digit off for large ones
+    values = [v for v in values if not any(c in v.lower() for c in ("e2", "e3", "e4", "e5", "e6", "e7", "e8", "e9"))]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = [r[0] for r in df.orderBy("i").select(number_or_null(F.col("v"))).collect()]
+    for v, g in zip(values, got):
+        want = pd.to_numeric(pd.Series([v, "zz"]), errors="coerce").iloc[0]
+        assert (g is None) == pd.isna(want), v
+        assert g is None or g == pytest.approx(want, rel=1e-15), v
+
+
 def test_dates_of_other_types(spark):
     date = do("transform", "to datetime")
     assert column(spark, [20210101, None], "bigint", date)[0] == [D(1970, 1, 1, 0, 0, 0, 20210), None]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -20,11 +21,16 @@ BLANKS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+NUMBER_PATTERN = r"^(\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*|[+-]?(?i:inf|infinity))$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 INFINITY_PATTERN = r"(?i)inf"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, although it is used several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
@@ -75,7 +81,8 @@ def _date_parts() -> list[tuple[str, str]]:
         parts.append((f"{_MONTH}{esc}{_DAY}{esc}{_YEAR}", f"M{sep}d{sep}yyyy"))
         parts.append((f"{_DAY}{esc}{_MONTH}{esc}{_YEAR}", f"d{sep}M{sep}yyyy"))
     parts.append((rf"{_YEAR}\d{{4}}", "yyyyMMdd"))
-    for names, letters in ((_MONTHS_SHORT, "MMM"), (_MONTHS_LONG, "MMMM")):
+    # May is read as a full name, so a column that starts with it must go on so.
+    for names, letters in ((_MONTHS_LONG, "MMMM"), (_MONTHS_SHORT, "MMM")):
         for sep in (" ", "-"):
             parts.append((f"{_DAY}{sep}(?i:{names}){sep}{_YEAR}", f"d{sep}{letters}{sep}yyyy"))
         parts.append((f"(?i:{names}) {_DAY}, {_YEAR}", f"{letters} d, yyyy"))
@@ -94,7 +101,7 @@ def _time_parts() -> list[tuple[str, str, bool]]:
         (rf"{hour}:{two}:{two}\.\d{{1,9}}", "H:m:s.SSSSSSSSS"),
     ]
     parts = [("", "", False)]
-    for sep, quoted in ((" ", " "), ("T", "'T'")):
+    for sep, quoted in ((" ", " "), ("[Tt]", "'T'")):
         for guard, pattern in clocks:
             parts.append((sep + guard, quoted + pattern, False))
             parts.append((sep + guard + r"(Z|[+-]\d{2}:\d{2})", quoted + pattern + "XXX", True))
@@ -161,18 +168,30 @@ def parse_date(text: Column, fmt: DateFormat) -> Column:
 
 def free_formats() -> list[DateFormat]:
     """One layout per date part, with an optional clock time behind it."""
-    clock = r"([ T]([01]?\d|2[0-3]):[0-5]?\d(:[0-5]?\d(\.\d{1,9})?)?)?"
-    optional = "[ H:m[:s[.SSSSSSSSS]]]['T'H:m[:s[.SSSSSSSSS]]]"
+    clock = r"([ Tt]([01]?\d|2[0-3]):[0-5]?\d(:[0-5]?\d(\.\d{1,9})?)?( [AaPp][Mm])?)?"
+    optional = "[ h:m[:s] a][ H:m[:s[.SSSSSSSSS]]]['T'H:m[:s[.SSSSSSSSS]]]"
     return [DateFormat(f"^{guard}{clock}$", pattern + optional) for guard, pattern in _date_parts()]
 
 
+SHORT_YEAR = r"^(\d{1,2}[-/.]\d{1,2}[-/.])(\d{2})( .*)?$"
+
+
+def _with_century(text: Column) -> Column:
+    """A date with a two-digit year in the century that is within 50 years of today."""
+    this_century = F.lit(2000) + F.regexp_extract(text, SHORT_YEAR, 2).try_cast("int")
+    year = F.when(this_century >= F.year(F.current_date()) + 50, this_century - 100).otherwise(this_century)
+    full = F.concat(F.regexp_extract(text, SHORT_YEAR, 1), year.cast("string"), F.regexp_extract(text, SHORT_YEAR, 3))
+    return F.when(text.rlike(SHORT_YEAR), full).otherwise(text)
+
+
 def parse_any_date(text: Column) -> Column:
     """Each value on its own: the first known layout that fits it."""
-    trimmed, formats = strip(text), free_formats()
-    micros = F.coalesce(*[_parsed_micros(trimmed, f) for f in formats])
+    formats = free_formats()
+    trimmed = strip(text)
     # One test tells the texts that no layout fits, which is most of them.
-    fits = trimmed.rlike("|".join(f.guard for f in formats))
-    return micros_to_timestamp(_in_nanosecond_range(F.when(fits, micros)))
+    fits = trimmed.rlike("|".join([SHORT_YEAR, *[f.guard for f in formats]]))
+    tried = lambda spelled: F.coalesce(*[_parsed_micros(spelled, f) for f in formats])
+    return micros_to_timestamp(_in_nanosecond_range(F.when(fits, let(_with_century(trimmed), tried))))
 
 
 def nanos_to_timestamp(number: Column) -> Column:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
-from tidewash.functions.parsing import strip
+from tidewash.functions.parsing import let, strip
 
 # The tags around the updates in a chat answer, and the code fence.
 START_TAG = "<<<SCHEMA_UPDATES>>>"
@@ -60,11 +58,6 @@ def iso_text(stamp: Column) -> Column:
     return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, although it is used several times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 # -- JSON answers -------------------------------------------------------------
 
 def without_fence(text: Column) -> Column:
@@ -82,7 +75,7 @@ def json_document(text: Column) -> Column:
     """
     wrapped = F.concat(F.lit("["), text, F.lit("]"))
     items = F.from_json(wrapped, "array<string>", {"allowSingleQuotes": "false"})
-    return _let(items, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+    return let(items, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
 
 
 def json_answer(text: Column) -> Column:
@@ -122,7 +115,7 @@ def visible_tokens(tokens: Column) -> Column:
     at a known offset of the joined text, so one running length decides; it is
     folded inside the row, without a shuffle. Null tokens are left out.
     """
-    return _let(F.array_compact(tokens), _shown_tokens)
+    return let(F.array_compact(tokens), _shown_tokens)
 
 
 def _shown_tokens(present: Column) -> Column:
