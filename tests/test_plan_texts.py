@@ -206,3 +206,20 @@ def test_rules_table_and_counts(spark):
     df = spark.createDataFrame(rows, "dataset string, pos int, column string, action string, reason string, transformation string")
     assert [(r.action, r.explanation) for r in A.rules_table(df).orderBy("pos").collect()] == [("KEEP", ""), ("TRANSFORM", "r (Transformation: x)"), ("DROP", "r")]
     assert tuple(A.action_counts(df).first()) == ("t", 3, 0, 1, 1)
+
+
+def test_hot_session_by_brute_force(spark):
+    rows = [("hot" if i % 3 == 0 else f"s{i % 50}", i, f"{('drop', 'hello', 'keep')[i % 3 if i % 2 else 0]} c{i % 7} c{i % 5}") for i in range(3000)]
+    names = [(s, f"c{k}") for s in {r[0] for r in rows} for k in range(0, 7, 2)]
+    want = {
+        (s, t, c, "drop" if "drop" in text else "keep") for s, t, text in rows for n, c in names
+        if n == s and c in text and ("drop" in text or "keep" in text)
+    }
+    messages = spark.createDataFrame(rows, "session_id string, turn int, text string").repartition(5)
+    got = E.edit_requests(messages, spark.createDataFrame(names, "session_id string, column string")).collect()
+    assert len(got) == len(want) and {(r.session_id, r.turn, r.column, r.action) for r in got} == want
+    last = {}
+    for s, t, c, a in sorted(want, key=lambda w: w[1]):
+        last[s, c] = a
+    folded = A.fold_edits(None, E.edit_requests(messages, spark.createDataFrame(names, "session_id string, column string")))
+    assert {(r.session_id, r.column): r.action for r in folded.collect()} == last

@@ -115,10 +115,10 @@ def test_duplicate_columns(spark):
 @pytest.mark.parametrize("small", [3, 1000])
 def test_label_codes(spark, small):
     values = [None] + ["hot"] * 500 + [f"v{i:04d}" for i in range(300)]
-    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(6)
+    df = spark.createDataFrame([(v,) for v in values], "value string").repartition(6)
     codes = {v: i for i, v in enumerate(sorted({v for v in values if v}))}
-    got = encode.label_encode(df, "v", "code", small=small).collect()
-    assert len(got) == len(values) and all(r.code == (codes[r.v] if r.v else None) for r in got)
+    got = encode.label_encode(df, "value", "code", small=small).collect()
+    assert len(got) == len(values) and all(r.code == (codes[r.value] if r.value else None) for r in got)
 
 
 def test_mode_and_dates(spark):

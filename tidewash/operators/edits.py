@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewash.functions.parsing import strip
 from tidewash.functions.text import json_answer, tagged_updates, visible_text
+from tidewash.operators.joins import spread_join
 
 # The words that ask for an action, first group found wins, and
 # the reason and transformation an edit from that group carries.
@@ -79,15 +80,13 @@ def edit_requests(
     ``columns`` is the column list of the one table that is discussed, or a
     frame with the ``by`` keys and one row per ``column`` where sessions discuss
     different tables. A list needs no join at all; a frame is joined on the
-    session, and only messages that ask for something take part.
+    session, spread for long sessions, and only messages that ask for something
+    take part.
     """
     asking = messages.withColumn("action", requested_action(F.col(text), keywords)).filter(F.col("action").isNotNull())
     if isinstance(columns, DataFrame):
-        by = list(by)
-        names = columns.select(*[F.col(k).alias(f"_{k}") for k in by], "column")
-        same_session = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in by])
         mentioned = F.contains(F.lower(F.col(text)), F.lower(F.col("column")))
-        edits = asking.join(names, same_session & mentioned).drop(*[f"_{k}" for k in by])
+        edits = spread_join(asking, columns.select(*by, "column"), list(by), condition=mentioned)
     else:
         edits = asking.withColumn("column", F.explode(mentioned_columns(F.col(text), columns)))
     return _edit_texts(edits, keywords)

@@ -8,6 +8,8 @@ from tidewash.functions.columns import clean_value, col
 from tidewash.session import shared_folder
 
 BROADCAST_ROWS = 100_000     # code tables up to this size are sent to all tasks
+HOT_SHARE = 1_000            # a value with more than this fraction of the rows is hot
+SPREAD_SLOTS = 1_024
 
 
 def column_mode(df: DataFrame, name: str):
@@ -29,18 +31,19 @@ def impute_mode(df: DataFrame, name: str) -> DataFrame:
 
 
 def label_codes(df: DataFrame, name: str, small: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
-    """The distinct non-null values with dense codes 0, 1, ... in value order, and their number.
+    """The distinct non-null values with their row counts `n` and dense codes 0, 1, ... in value order.
 
     Many values are sorted into ranges, one per task, and kept in the shared
     folder so that the ranges stay as they are. Each range is numbered on its
     own and the sizes of the ranges before it are added. Values are distinct by
-    then, so a frequent value makes no range large.
+    then, so a frequent value makes no range large. Also returns their number.
     """
-    distinct = df.select(clean_value(df, name).alias("value")).filter(F.col("value").isNotNull()).distinct()
+    present = df.select(clean_value(df, name).alias("value")).filter(F.col("value").isNotNull())
+    distinct = present.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     total = distinct.count()
     if total <= small:
         code = F.row_number().over(Window.orderBy("value")) - 1
-        return distinct.select("value", code.cast("bigint").alias("code")), total
+        return distinct.select("value", "n", code.cast("bigint").alias("code")), total
     spark = df.sparkSession
     folder = shared_folder(spark, "label-codes")
     distinct.repartitionByRange("value").withColumn("range", F.spark_partition_id()).write.parquet(folder)
@@ -51,21 +54,34 @@ def label_codes(df: DataFrame, name: str, small: int = BROADCAST_ROWS) -> tuple[
         offsets.append(offsets[-1] + sizes.get(r, 0))
     offset = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("range"))
     rank = F.row_number().over(Window.partitionBy("range").orderBy("value"))
-    return ranged.select("value", (offset + rank - 1).alias("code")), total
+    return ranged.select("value", "n", (offset + rank - 1).alias("code")), total
 
 
 def label_encode(df: DataFrame, name: str, out: str | None = None, small: int = BROADCAST_ROWS) -> DataFrame:
     """Adds the code of each value; null stays null.
 
-    A small code table, counted first, is broadcast; a large one is joined by
-    shuffle, where adaptive execution splits the values that are frequent.
+    A small code table, counted first, is broadcast. A large one is joined by
+    shuffle without its hot values: those with more than 1/HOT_SHARE of the rows
+    are at most HOT_SHARE values, which are broadcast. Rows that need no shuffled
+    lookup, hot or null, are spread over all tasks.
     """
-    codes, total = label_codes(df, name, small=small)
-    if total <= small:
-        codes = F.broadcast(codes)
     out = out or f"{name}_code"
-    codes = codes.withColumnRenamed("code", out)
-    return df.join(codes, clean_value(df, name) == F.col("value"), "left").drop("value")
+    codes, total = label_codes(df, name, small)
+    value = clean_value(df, name)
+    if total <= small:
+        table = codes.select(F.col("value").alias("_value"), F.col("code").alias(out))
+        return df.join(F.broadcast(table), value == F.col("_value"), "left").drop("_value")
+    rows = codes.agg(F.sum("n")).first()[0]
+    hot = codes.filter(F.col("n") * HOT_SHARE > rows).select(F.col("value").alias("_hot"), F.col("code").alias("_hot_code"))
+    marked = df.join(F.broadcast(hot), value == F.col("_hot"), "left").withColumn(
+        "_key", F.when(F.col("_hot").isNull(), clean_value(df, name))
+    )
+    slot = F.when(F.col("_key").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD_SLOTS))).otherwise(F.lit(0))
+    cold = codes.select(F.col("value").alias("_value"), F.lit(0).cast("bigint").alias("_zero"), F.col("code").alias("_code"))
+    joined = marked.withColumn("_slot", slot.cast("bigint")).join(
+        cold, (F.col("_key") == F.col("_value")) & (F.col("_slot") == F.col("_zero")), "left"
+    )
+    return joined.withColumn(out, F.coalesce("_hot_code", "_code")).select(*df.columns, out)
 
 
 def date_parts(df: DataFrame, name: str, reference: Column | None = None) -> DataFrame:

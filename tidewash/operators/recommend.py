@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidewash.functions.columns import literal_rows
 from tidewash.functions.text import json_answer
+from tidewash.operators.joins import spread_join
 
 
 @dataclass(frozen=True)
@@ -226,7 +227,7 @@ def recommendations_or_rules(
     )
     answered = parsed.filter("usable").select(*by)
     from_rules = (
-        recommend(columns.join(answered, by, "left_anti"), goal)
+        recommend(spread_join(columns, answered, by, "left_anti"), goal)
         .select(*by, F.col("pos").cast("int").alias("pos"), *ANSWER_KEYS, F.lit("rules").alias("origin"))
     )
     return from_model.unionByName(from_rules)

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewash.operators.joins import spread_join
+
 FIELDS = ("action", "reason", "transformation")
 
 
@@ -77,11 +79,10 @@ def fold_edits(
 
 def resolve_names(edits: DataFrame, actions: DataFrame, by: Sequence[str] = ("session_id",)) -> DataFrame:
     """Edit names take the spelling of the first existing entry that differs only in case."""
-    by = list(by)
     known = actions.groupBy(*by, F.lower("column").alias("lowered")).agg(F.min_by("column", "pos").alias("existing"))
+    lowered = edits.withColumn("lowered", F.lower("column"))
     return (
-        edits.withColumn("lowered", F.lower("column"))
-        .join(known, [*by, "lowered"], "left")
+        spread_join(lowered, known, [*by, "lowered"], "left")
         .withColumn("column", F.coalesce("existing", "column"))
         .drop("lowered", "existing")
     )
