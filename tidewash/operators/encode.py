@@ -9,7 +9,6 @@ from tidewash.session import shared_folder
 
 BROADCAST_ROWS = 100_000     # code tables up to this size are sent to all tasks
 HOT_SHARE = 1_000            # a value with more than this fraction of the rows is hot
-SPREAD_SLOTS = 1_024
 
 
 def column_mode(df: DataFrame, name: str):
@@ -62,8 +61,8 @@ def label_encode(df: DataFrame, name: str, out: str | None = None, small: int =
 
     A small code table, counted first, is broadcast. A large one is joined by
     shuffle without its hot values: those with more than 1/HOT_SHARE of the rows
-    are at most HOT_SHARE values, which are broadcast. Rows that need no shuffled
-    lookup, hot or null, are spread over all tasks.
+    are at most HOT_SHARE values, which are broadcast. Hot and null rows take no
+    part in the shuffle.
     """
     out = out or f"{name}_code"
     codes, total = label_codes(df, name, small)
@@ -73,15 +72,13 @@ def label_encode(df: DataFrame, name: str, out: str | None = None, small: int =
         return df.join(F.broadcast(table), value == F.col("_value"), "left").drop("_value")
     rows = codes.agg(F.sum("n")).first()[0]
     hot = codes.filter(F.col("n") * HOT_SHARE > rows).select(F.col("value").alias("_hot"), F.col("code").alias("_hot_code"))
-    marked = df.join(F.broadcast(hot), value == F.col("_hot"), "left").withColumn(
-        "_key", F.when(F.col("_hot").isNull(), clean_value(df, name))
-    )
-    slot = F.when(F.col("_key").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD_SLOTS))).otherwise(F.lit(0))
-    cold = codes.select(F.col("value").alias("_value"), F.lit(0).cast("bigint").alias("_zero"), F.col("code").alias("_code"))
-    joined = marked.withColumn("_slot", slot.cast("bigint")).join(
-        cold, (F.col("_key") == F.col("_value")) & (F.col("_slot") == F.col("_zero")), "left"
-    )
-    return joined.withColumn(out, F.coalesce("_hot_code", "_code")).select(*df.columns, out)
+    marked = df.join(F.broadcast(hot), value == F.col("_hot"), "left")
+    looked_up = F.col("_hot").isNull() & value.isNotNull()
+    settled = marked.filter(~looked_up).withColumn(out, F.col("_hot_code"))
+    cold = codes.select(F.col("value").alias("_value"), F.col("code").alias(out))
+    joined = marked.filter(looked_up).join(cold, value == F.col("_value"), "left")
+    kept = [*df.columns, out]
+    return settled.select(*kept).unionByName(joined.select(*kept))
 
 
 def date_parts(df: DataFrame, name: str, reference: Column | None = None) -> DataFrame:
