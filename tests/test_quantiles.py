@@ -42,3 +42,9 @@ def test_empty_and_single(spark):
     df = spark.createDataFrame([(None, 4.0)], "a double, b double")
     assert exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, [0.5]) == {"a": [None], "b": [4.0]}
     assert exact_quantiles(df, {}, [0.5]) == {}
+
+
+def test_wrong_counts_are_noticed(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("a"))
+    with pytest.raises(ValueError):
+        exact_quantiles(df, {"a": F.col("a")}, [1.0], counts={"a": 5000}, direct_rows=10, inside_rows=10)

@@ -108,12 +108,18 @@ def _cornered_quantiles(df, values, probabilities, counts, inside_rows):
     places = {n: [p * (counts[n] - 1) for p in probabilities] for n in columns}
     ranks = {(n, r) for n, ps in places.items() for p in ps for r in (math.floor(p), math.ceil(p))}
     targets = [_Target(n, r, below=0, upto=counts[n]) for n, r in sorted(ranks)]
-    turn = 0
+    turn = stuck = 0
     while wide := [t for t in targets if t.found is None and t.inside > inside_rows]:
         targets = _apply_cuts(df, columns, targets, _propose_cuts(df, columns, wide, seed=17 + turn))
         turn += 1
+        # A sample of many thousand rows has a cut for every range that holds rows.
+        stuck = stuck + 1 if set(wide) & set(targets) else 0
+        if stuck == 3:
+            raise ValueError("the counts given do not fit the rows that were read")
     found = {(t.name, t.rank): t.found for t in targets if t.found is not None}
     found.update(_rank_inside(df, columns, [t for t in targets if t.found is None]))
+    if missing := ranks - found.keys():
+        raise ValueError(f"the counts given do not fit the rows that were read: {sorted(missing)[:3]}")
     return {
         name: [_between(found[name, math.floor(p)], found[name, math.ceil(p)], p % 1) for p in ps]
         for name, ps in places.items()
