@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewash.functions.columns import (
-    clean_value, col, is_numeric, is_temporal, literal_rows, nan_to_null, pandas_type_name,
+    clean_value, col, is_numeric, is_temporal, literal_rows, pandas_type_name,
     row_order, value_text,
 )
 from tidewash.functions.parsing import timestamp_micros
