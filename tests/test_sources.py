@@ -65,6 +65,7 @@ def test_sessions(spark, tmp_path):
     save("other.txt", {"session_id": "9"})
     records = S.read_sessions(spark, str(tmp_path))
     assert [r.session_id for r in S.list_sessions(records).collect()] == ["2", "1", "3"]
+    assert records.count() == S.list_sessions(records).count() == 3
     found = S.find_session(records, "1").first()
     assert found.column_actions["Age"].action == "keep" and found.chat_history[0].content == "hi"
     assert S.find_session(records, "8").count() == 0
