@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tidewash.session import shared_folder
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
     Cuts the lineage: a lost executor costs the tasks it had not finished, and what is
     derived from the table twice is the same both times.
     """
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
