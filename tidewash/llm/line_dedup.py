@@ -61,12 +61,13 @@ def _lines_at(i: Column) -> list[Column]:
 def repeated_positions(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per document (doc_id, key) with repeats: the sorted positions where a repeat begins."""
     windows = written(line_windows(docs, min_chars), "windows")
-    twice = windows.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h1")
+    # Both short tables are written so that each side of a join has its own shuffle, which Spark can split at a hot window.
+    twice = written(windows.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h1"), "repeated-hashes")
     again = written(windows.join(twice, "h1", "left_semi"), "repeats")
     place = F.struct("doc_id", "key", "pos")
     identity = ["h1", "h2", "chars"]
     first = again.groupBy(*identity).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") < F.col("last"))
-    later = again.join(first.drop("last"), identity).where(place > F.col("first"))
+    later = again.join(written(first.drop("last"), "first-places"), identity).where(place > F.col("first"))
     return later.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("pos")).alias("repeats"))
 
 

@@ -197,11 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     found = rows.mapInArrow(pooled, "doc_id bigint, quality int, x binary").collect()  # max_labelled rows of 400 bytes
     found.sort(key=lambda r: (r["doc_id"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], "<f4") for r in found], np.float64).reshape(len(found), -1)
     y = np.array([r["quality"] for r in found], np.float64)
     if len(set(y.tolist())) < 2:
         model.constant = float(y.mean()) if len(y) else 0.5
         return model
+    x = np.array([np.frombuffer(r["x"], "<f4") for r in found], np.float64)
     model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     scaled = (x - model.mean) / model.spread
     validation = np.arange(len(y)) % VALIDATION == 0

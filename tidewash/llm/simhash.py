@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewash.llm.shared import table, written
@@ -136,6 +136,17 @@ def group_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tu
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def _with_windows(numbers: Column, distance: Column, radius: int) -> Column:
+    """Each of ``numbers`` extended by the windows that hold ``distance``.
+
+    Window w holds the distances from w(r+1) to w(r+1)+2r, so a pair that differs by the
+    radius r or less has a window in common: that of its smaller distance.
+    """
+    first = F.greatest(F.ceil((distance - 2 * radius) / (radius + 1)), F.lit(0))
+    held = F.sequence(first, F.floor(distance / (radius + 1)))
+    return F.flatten(F.transform(numbers, lambda number: F.transform(held, lambda w: (number * 64 + w).cast("int"))))
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (low, high) of different fingerprints that connect all fingerprints within ``radius``.
 
@@ -146,13 +157,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")) for k, mask in enumerate(masks)
     ])).alias("k")).select("k.*", "fp")
     hot = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY).select("choice", "key", F.lit(True).alias("hot"))
-    # Windows [w*4, w*4+7) of a distance hold every pair that differs by 3 or less in it.
-    step = radius + 1
     windows = F.array(F.lit(0))
     for pivot in pivots(DEALING_PIVOTS).view(np.int64).tolist():
         distance = F.bit_count(F.col("fp").bitwiseXOR(F.lit(pivot)))
-        inside = F.sequence(F.greatest(F.floor((distance - 2 * radius) / step) + F.when((distance - 2 * radius) % step != 0, 1).otherwise(0), F.lit(0)), F.floor(distance / step))
-        windows = F.flatten(F.transform(windows, lambda w, inside=inside: F.transform(inside, lambda x: (w * 32 + x).cast("int"))))
+        windows = _with_windows(windows, distance, radius)
     dealt = keyed.join(hot, ["choice", "key"], "left").select(
         "choice", "key", "fp", F.explode(F.when(F.col("hot"), windows).otherwise(F.array(F.lit(0)))).alias("window")
     )
