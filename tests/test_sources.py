@@ -27,6 +27,24 @@ def test_csv_types(spark, tmp_path):
     assert trim_headers(df).columns[1] == "n"
 
 
+def test_csv_line_breaks_and_surplus_cells(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('a,b\n1,"two\nlines"\n2\n3,c\n')
+    rows = sorted(map(tuple, T.read_csv(spark, str(tmp_path / "m.csv")).collect()))
+    assert rows == [(1, "two\nlines"), (2, None), (3, "c")]
+    (tmp_path / "w.csv").write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(ValueError, match="more cells"):
+        T.read_csv(spark, str(tmp_path / "w.csv"))
+
+
+def test_csv_sink_keeps_fractions(spark):
+    df = spark.sql("SELECT 1 AS k, TIMESTAMP_NTZ '2021-01-01 10:00:00.123456' AS t UNION ALL SELECT 2, TIMESTAMP_NTZ '2021-01-01 10:00:00'")
+    folder = shared_folder(spark, "fractions")
+    T.write_cleaned(df, folder, "csv")
+    assert {r.k: r.t for r in T.read_csv(spark, folder).collect()} == {1: "2021-01-01 10:00:00.123456", 2: "2021-01-01 10:00:00"}
+    told = {r.k: json.loads(r.j)["t"] for r in df.select("k", S.json_record("t").alias("j")).collect()}
+    assert told == {1: "2021-01-01T10:00:00.123456", 2: "2021-01-01T10:00:00"}
+
+
 def test_csv_headers_like_pandas(spark, tmp_path):
     text = "a,a,,a,b.1,b,b\n1,2,3,4,5,6,7\n"
     (tmp_path / "h.csv").write_text(text)
@@ -144,3 +162,11 @@ def test_workbooks(spark, tmp_path):
     assert len(rows) == 12002
     assert tuple(rows[0]) == (1, "x", 1.5, True, "2021-01-01 00:00:00", None) and tuple(rows[1]) == (2, "y", 2.0, False, "2021-01-02 12:00:00", 7.0)
     assert W.read_workbook(spark, str(tmp_path / "a.xlsx"), "Second").collect()[0]["k"] == 5
+
+
+def test_workbooks_are_not_thinned(spark, tmp_path, monkeypatch):
+    make_workbook(tmp_path / "w.xlsx", {"S": [["k"], [1, 2, 3], [4]]})
+    assert sorted(map(tuple, W.read_workbook(spark, str(tmp_path)).select("k", "`Unnamed: 1`", "`Unnamed: 2`").collect())) == [(1, 2.0, 3.0), (4, None, None)]
+    monkeypatch.setattr(W, "MAX_BYTES", 100)
+    with pytest.raises(ValueError, match="more than 100 bytes"):
+        W.read_workbook(spark, str(tmp_path))

@@ -60,7 +60,7 @@ def test_job_states_follow_the_events(spark):
         elif session in state:
             state[session] = (*state[session][:2], progress, message)
     names = "session_id string, seq int, kind string, status string, error string, progress int, progress_msg string"
-    df = spark.createDataFrame(events, names)
+    df = spark.createDataFrame(events, names).withColumn("result", F.when(F.col("kind") == "set", F.concat(F.lit("r"), F.col("seq"))))
     folder = write_parts(spark, df, ["seq >= 5", "seq < 5"])
     out = shared_folder(spark, "out")
     S.run_latest_to_table(S.job_states(stream_of(spark, folder, df.schema)), f"{out}/rows", f"{out}/progress")
@@ -68,3 +68,5 @@ def test_job_states_follow_the_events(spark):
     for states in (S.job_states(df), S.latest_of(spark, f"{out}/rows", ["session_id"])):
         got = {r.session_id: (r.status, r.error, r.progress, r.progress_msg) for r in S.state_of(states, asked).collect()}
         assert got == {"a": state["a"], "b": state["b"], "c": ("idle", None, 0, ""), "d": ("idle", None, 0, "")}
+        results = {r.session_id: r.result for r in S.state_of(states, asked).collect()}
+        assert results == {"a": "r2", "b": "r6", "c": None, "d": None}

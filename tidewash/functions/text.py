@@ -70,12 +70,15 @@ def without_fence(text: Column) -> Column:
 def json_document(text: Column) -> Column:
     """The text if it is exactly one JSON value, else null.
 
-    Reading it as the only element of an array rejects text behind the value,
-    which the JSON functions would silently ignore.
+    The JSON functions ignore what stands behind a value. So it is read as the only
+    element of an array and as a field with another behind it: text that closes the
+    one early leaves the other broken.
     """
-    wrapped = F.concat(F.lit("["), text, F.lit("]"))
-    items = F.from_json(wrapped, "array<string>", {"allowSingleQuotes": "false"})
-    return let(items, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
+    strict = {"allowSingleQuotes": "false"}
+    items = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", strict)
+    fields = F.from_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":1}')), "value string, end int", strict)
+    whole = F.coalesce(fields["end"] == 1, F.lit(False))
+    return let(items, lambda found: F.when((F.size(found) == 1) & whole, F.get(found, F.lit(0))))
 
 
 def json_answer(text: Column) -> Column:

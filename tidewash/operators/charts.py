@@ -11,6 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewash.functions.columns import clean_value, col, is_numeric, row_order, value_text
+from tidewash.session import shared_folder
 
 log = logging.getLogger(__name__)
 
@@ -103,6 +104,23 @@ def _numbered(top: DataFrame, *order: Column) -> DataFrame:
     return top.withColumn("pos", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
 
 
+def _numbered_ranges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds pos 0, 1, ... in the order of ``keys`` to any number of rows.
+
+    Rows are sorted into ranges and written, so their numbers stay; a row's number is its
+    place in its range plus the sizes of the earlier ranges.
+    """
+    folder = shared_folder(rows.sparkSession, "ranges")
+    spread = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    spread.withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).write.parquet(folder)
+    ranges = rows.sparkSession.read.parquet(folder)
+    sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("range", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = ranges.join(F.broadcast(starts), "range")  # one row per range
+    return placed.withColumn("pos", (F.col("start") + F.col("at") - F.col("first")).cast("bigint"))
+
+
 def value_counts(df: DataFrame, x: str, k: int) -> DataFrame:
     """The k most frequent non-null values with their counts; ties by label."""
     tallies = (
@@ -122,7 +140,9 @@ def points(df: DataFrame, x: str, y: str, order_by: str | Sequence[str] | None =
            limit: int | None = PAGE_LIMITS["scatter"], sort_x: bool = False) -> DataFrame:
     """Pairs with both values present: the first ones in row order, or by x.
 
-    Without a limit (the report's charts) all pairs come back unnumbered.
+    Without a limit (the report's charts) all pairs come back: a scatter's
+    unnumbered, a line's with ``pos`` by x. Numbers of all rows come from sorted
+    ranges and the counts of the ranges before, so no task sees all rows.
     """
     pairs = df.filter(clean_value(df, x).isNotNull() & clean_value(df, y).isNotNull())
     order = [col(x).alias("kx")] if sort_x else []
@@ -133,9 +153,11 @@ def points(df: DataFrame, x: str, y: str, order_by: str | Sequence[str] | None =
         _text(df, x).alias("label"), xn.alias("x"), xt.alias("x_text"), yn.alias("y"), yt.alias("y_text"),
     )
     out = ["label", "x", "x_text", "y", "y_text"]
-    if limit is None:
+    if limit is None and not sort_x:
         return shaped.select(*out)
     keys = ["kx", "row"] if sort_x else ["row"]
+    if limit is None:
+        return _numbered_ranges(shaped, keys).select("pos", *out)
     top = shaped.orderBy(*keys).limit(limit)
     return _numbered(top, *[F.col(k) for k in keys]).select("pos", *out)
 

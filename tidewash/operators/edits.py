@@ -137,9 +137,15 @@ def parse_tagged_answer(answers: DataFrame, text: str = "text") -> DataFrame:
 
 
 def update_rows(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """The updates of parsed answers as edits, one row per column."""
-    return parsed.select(*keep, F.explode("updates").alias("column", "entry")).select(
-        *keep, "column", *[F.col("entry")[f].alias(f) for f in EDIT_FIELDS]
+    """The updates of parsed answers as edits, one row per column, with its place in the answer.
+
+    Of a name that an answer repeats the last entry counts.
+    """
+    entries = F.map_entries("updates")
+    rows = parsed.select(*keep, F.map_keys("updates").alias("names"), F.posexplode(entries).alias("pos", "update"))
+    later = F.slice("names", F.col("pos") + 2, F.size("names"))
+    return rows.where(~F.array_contains(later, F.col("update.key"))).select(
+        *keep, F.col("update.key").alias("column"), *[F.col("update.value")[f].alias(f) for f in EDIT_FIELDS], "pos"
     )
 
 

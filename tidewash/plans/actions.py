@@ -67,14 +67,17 @@ def fold_edits(
 ) -> DataFrame:
     """The action map after all edits: per column the entry of the latest turn.
 
-    The base entries count as turn -1, so base and edits merge in one aggregate.
+    Within a turn the last edit counts, by ``pos`` where the edits have one (two
+    spellings of a name may meet in one column). The base entries count as turn -1,
+    so base and edits merge in one aggregate.
     """
     keys = [*by, "column"]
-    rows = edits.select(*keys, F.col(turn).cast("bigint").alias("turn"), *FIELDS)
+    place = F.col("pos") if "pos" in edits.columns else F.lit(0)
+    rows = edits.select(*keys, F.col(turn).cast("bigint").alias("turn"), place.cast("int").alias("pos"), *FIELDS)
     if actions is not None:
-        base = actions.select(*keys, F.lit(-1).cast("bigint").alias("turn"), *FIELDS)
+        base = actions.select(*keys, F.lit(-1).cast("bigint").alias("turn"), F.lit(0).alias("pos"), *FIELDS)
         rows = base.unionByName(rows)
-    return _unpack(rows.groupBy(*keys).agg(F.max_by(_entry(), "turn").alias("entry")), keys)
+    return _unpack(rows.groupBy(*keys).agg(F.max_by(_entry(), F.struct("turn", "pos")).alias("entry")), keys)
 
 
 def resolve_names(edits: DataFrame, actions: DataFrame, by: Sequence[str] = ("session_id",)) -> DataFrame:

@@ -12,10 +12,16 @@ SESSION_SCHEMA = """
     column_actions map<string,struct<action:string,reason:string,transformation:string>>,
     chat_history array<struct<role:string,content:string>>,
     charts array<struct<chart_type:string,title:string,x_axis:string,y_axis:string,description:string>>,
-    cleaned_filename string, sheet_name string, pdf_filename string, created_at string
+    cleaned_filename string, sheet_name string, pdf_filename string, created_at string,
+    bg_result struct<download_url:string,
+        stats:struct<initial_rows:bigint,initial_cols:bigint,final_rows:bigint,final_cols:bigint,
+            dropped_columns:array<string>,transformations_applied:array<string>>,
+        charts:array<map<string,string>>,preview:array<map<string,string>>>
 """
 LISTED = ("session_id", "name", "original_filename", "goal", "created_at")
-TIME_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}
+# A private character marks the end of a time, so that a fraction of zero is taken off times only.
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'\ue000'"
+TIME_FORMATS = {"timestampFormat": _TIME, "timestampNTZFormat": _TIME}
 _BROKEN = "_broken"
 
 
@@ -49,8 +55,9 @@ def find_session(sessions: DataFrame, session_id: str) -> DataFrame:
 
 
 def json_record(*columns: Column | str) -> Column:
-    """Columns as one JSON text: nulls kept, timestamps in ISO form."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false", **TIME_FORMATS})
+    """Columns as one JSON text: nulls kept, timestamps in ISO form, with their microseconds if there are any."""
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false", **TIME_FORMATS})
+    return F.regexp_replace(text, "(\\.000000)?\ue000\"", "\"")
 
 
 def write_sessions(sessions: DataFrame, path: str) -> None:

@@ -13,19 +13,28 @@ TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool = False) -> DataFrame:
+SURPLUS = "_surplus"
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], multiline: bool = True) -> DataFrame:
     """A comma separated file with a header, missing tokens as null, types inferred.
 
-    Cells are read as text, then one aggregate decides the type of each column.
-    ``multiline`` allows line breaks inside quotes, at the price of one task per file.
+    Cells are read as text, then one aggregate decides the type of each column; it also
+    counts rows with more cells than the header, which are an error. Line breaks inside
+    quotes are part of a cell, so a file is one task; ``multiline=False`` lets Spark split
+    large files that have none.
     """
     files = path if isinstance(path, str) else list(path)
     reader = spark.read.option("inferSchema", False).option("escape", '"').option("multiLine", multiline)
     heading = reader.option("header", False).csv(files).first()
-    raw = reader.option("header", True).csv(files)
-    if heading is not None:
-        raw = raw.toDF(*header_names(list(heading)))
-    return infer_types(raw)
+    if heading is None:
+        return infer_types(reader.option("header", True).csv(files))
+    names = header_names(list(heading))
+    surplus = SURPLUS
+    while surplus in names:
+        surplus += "_"
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, surplus]])
+    return infer_types(reader.option("header", True).schema(schema).csv(files), surplus=surplus)
 
 
 def header_names(cells: Sequence[str | None]) -> list[str]:
@@ -41,8 +50,8 @@ def header_names(cells: Sequence[str | None]) -> list[str]:
     return names
 
 
-def infer_types(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Text columns typed by their content.
+def infer_types(raw: DataFrame, columns: Sequence[str] | None = None, surplus: str | None = None) -> DataFrame:
+    """Text columns typed by their content; a cell in the column ``surplus`` is an error.
 
     bigint if every cell is a whole number, double if all present cells are
     numbers (or none is present), boolean if every cell is true or false, else
@@ -51,7 +60,7 @@ def infer_types(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """
     texts = [
         f.name for f in raw.schema.fields
-        if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)
+        if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns) and f.name != surplus
     ]
     if not texts:
         return raw
@@ -65,7 +74,10 @@ def infer_types(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFra
             F.count(integer_or_null(v)).alias(f"i{i}"),
             F.count_if(v.isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"b{i}"),
         ]
-    facts = raw.agg(F.count(F.lit(1)).alias("rows"), *counted).first()
+    too_wide = F.count(col(surplus)) if surplus else F.lit(0)
+    facts = raw.agg(F.count(F.lit(1)).alias("rows"), too_wide.alias("too_wide"), *counted).first()
+    if facts["too_wide"]:
+        raise ValueError(f"{facts['too_wide']} rows have more cells than the header")
 
     def typed(name: str):
         if name not in cells:
@@ -79,13 +91,17 @@ def infer_types(raw: DataFrame, columns: Sequence[str] | None = None) -> DataFra
             return v.isin(*TRUE_WORDS)
         return v
 
-    return raw.select(*[typed(c).alias(c) for c in raw.columns])
+    return raw.select(*[typed(c).alias(c) for c in raw.columns if c != surplus])
 
 
 def write_cleaned(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """The cleaned table as parquet or as CSV with a header; no index column."""
-    writer = df.write.mode("overwrite")
+    """The cleaned table as parquet or as CSV with a header; no index column.
+
+    CSV holds times as their text, with the fraction of a second where there is one.
+    """
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+        times = (T.TimestampType, T.TimestampNTZType)
+        texts = [col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, times) else col(f.name) for f in df.schema.fields]
+        df.select(*texts).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     else:
-        writer.format(fmt).save(path)
+        df.write.mode("overwrite").format(fmt).save(path)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewash.sources.listing import MAX_BYTES
-from tidewash.sources.tables import infer_types
+from tidewash.sources.tables import header_names, infer_types
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -29,8 +29,12 @@ DATE_FORMAT_IDS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 
 
 def workbook_files(spark: SparkSession, path: str) -> DataFrame:
+    """The workbooks below ``path``; one beyond the size of admission is an error, as it is on upload."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", True).load(path)
-    return files.filter(F.col("length") <= MAX_BYTES).select("path", "content")
+    large = files.filter(F.col("length") > MAX_BYTES).select("path").limit(1).collect()
+    if large:
+        raise ValueError(f"{large[0]['path']} has more than {MAX_BYTES} bytes")
+    return files.select("path", "content")
 
 
 def list_sheets(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +69,8 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = DEFAULT_SH
     headers = cells.filter("row_no = 0").select("cells").distinct().limit(2).collect()
     if len(headers) != 1:
         raise ValueError("the workbooks have no common header row")
-    names = headers[0]["cells"]
+    width = cells.agg(F.max(F.size("cells"))).first()[0]
+    names = header_names([*headers[0]["cells"], *[None] * (width - len(headers[0]["cells"]))])
     raw = cells.filter("row_no > 0").select(*[_cell(i).alias(n) for i, n in enumerate(names)])
     return infer_types(raw)
 

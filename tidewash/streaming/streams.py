@@ -11,7 +11,7 @@ from tidewash.plans.actions import FIELDS
 from tidewash.plans.cleaning import CleanPlan, apply
 
 # The state of a session that has no job.
-IDLE = {"status": "idle", "error": None, "progress": 0, "progress_msg": ""}
+IDLE = {"status": "idle", "result": None, "error": None, "progress": 0, "progress_msg": ""}
 
 
 def read_stream(spark: SparkSession, folder: str, glob: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -77,11 +77,12 @@ def latest_of(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
 def job_states(events: DataFrame) -> DataFrame:
     """The state of each session's job from its events.
 
-    A `set` event replaces the whole state; an `update` event changes progress
-    and its message, and only counts behind a `set`. Events are ordered by seq.
+    A `set` event replaces the whole state, its result (a JSON text) included; an
+    `update` event changes progress and its message, and only counts behind a `set`.
+    Events are ordered by seq.
     """
     is_set = F.col("kind") == "set"
-    state = F.struct("status", "error", "progress", "progress_msg", "seq")
+    state = F.struct("status", "result", "error", "progress", "progress_msg", "seq")
     folded = events.groupBy("session_id").agg(
         F.max_by(F.when(is_set, state), F.when(is_set, F.col("seq"))).alias("base"),
         F.max(F.when(~is_set, F.struct("seq", "progress", "progress_msg"))).alias("step"),
@@ -90,6 +91,7 @@ def job_states(events: DataFrame) -> DataFrame:
     return folded.filter(F.col("base").isNotNull()).select(
         "session_id",
         F.col("base.status").alias("status"),
+        F.col("base.result").alias("result"),
         F.col("base.error").alias("error"),
         F.when(newer, F.col("step.progress")).otherwise(F.col("base.progress")).alias("progress"),
         F.when(newer, F.col("step.progress_msg")).otherwise(F.col("base.progress_msg")).alias("progress_msg"),
@@ -101,5 +103,5 @@ def state_of(states: DataFrame, sessions: DataFrame) -> DataFrame:
     known = states.withColumn("known", F.lit(True))
     joined = sessions.select("session_id").join(known, "session_id", "left")
     value = lambda name: F.when(F.col("known"), F.col(name)).otherwise(F.lit(IDLE[name]))
-    types = {"status": "string", "error": "string", "progress": "int", "progress_msg": "string"}
+    types = {"status": "string", "result": "string", "error": "string", "progress": "int", "progress_msg": "string"}
     return joined.select("session_id", *[value(n).cast(t).alias(n) for n, t in types.items()])

@@ -56,6 +56,14 @@ def line_points(spark, sf):
     return H.line_points(order_gaps(spark, sf), "o_orderdate", "o_totalprice", order_by="o_orderkey")
 
 
+@query("line_points_of_report", f"""
+    SELECT CAST(row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS BIGINT) AS pos, CAST(o_custkey AS VARCHAR) AS label,
+      CAST(o_custkey AS DOUBLE) AS x, CAST(NULL AS VARCHAR) AS x_text, o_totalprice AS y, CAST(NULL AS VARCHAR) AS y_text
+    FROM ({ORDER_GAPS_SQL}) WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL""")
+def line_points_of_report(spark, sf):
+    return H.line_points(order_gaps(spark, sf), "o_custkey", "o_totalprice", order_by="o_orderkey", limit=None)
+
+
 @query("bar_means", """
     SELECT CAST(row_number() OVER (ORDER BY l_quantity) - 1 AS BIGINT) AS pos, CAST(l_quantity AS VARCHAR) AS label,
       round(avg(l_extendedprice), 4) AS value FROM lineitem GROUP BY l_quantity ORDER BY l_quantity LIMIT 15""")
@@ -117,9 +125,13 @@ def render_charts(spark, sf):
     """(SELECT 3, 'bar', 'Price by customer', CAST(row_number() OVER (ORDER BY o_custkey) - 1 AS BIGINT), CAST(o_custkey AS VARCHAR),
       round(avg(o_totalprice), 4), NULL, NULL FROM t WHERE o_custkey IS NOT NULL GROUP BY o_custkey ORDER BY o_custkey LIMIT 12)""",
     _counted(4, "bar", "Priorities", "o_orderpriority", 10),
+    """SELECT 5, 'scatter', 'Points', NULL, CAST(o_custkey AS VARCHAR), o_totalprice, CAST(o_custkey AS DOUBLE), o_totalprice
+      FROM t WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL""",
+    """SELECT 8, 'line', 'Prices', row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1, CAST(o_custkey AS VARCHAR), o_totalprice,
+      CAST(o_custkey AS DOUBLE), o_totalprice FROM t WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL""",
 ]))
 def render_report_charts(spark, sf):
-    specs = [s for s in _SPECS if s.chart_type != "scatter"]
+    specs = [*_SPECS, H.ChartSpec("line", "Prices", "o_custkey", "o_totalprice")]
     rendered = H.render_charts(order_gaps(spark, sf), specs, order_by="o_orderkey", report=True)
     return rendered.withColumn("value", F.round("value", 4)).drop("x_text", "y_text")
 

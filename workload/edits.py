@@ -80,6 +80,33 @@ def fold_edits(spark, sf):
     return A.fold_edits(base, E.edit_requests(messages, _COLUMNS))
 
 
+@query("fold_answers", """
+    SELECT conv_id AS session_id, 'Age' AS "column", 'keep' AS action, 'second' AS reason, CAST(NULL AS VARCHAR) AS transformation
+    FROM conversations GROUP BY conv_id
+    UNION ALL SELECT conv_id, 'fee', 'transform', 'turn ' || max(turn), 'again' FROM conversations GROUP BY conv_id
+    UNION ALL SELECT conv_id, 'other', 'keep', 'base', NULL FROM conversations GROUP BY conv_id""")
+def fold_answers(spark, sf):
+    """Answers that name a column in two spellings, and one column twice: the last entry counts."""
+    entry = lambda name, action, reason, extra: F.concat(
+        F.lit(f'"{name}": {{"action": "{action}", "reason": "'), reason, F.lit(f'", "transformation": {extra}}}'))
+    told = F.concat(F.lit("turn "), F.col("turn").cast("string"))
+    block = F.concat(
+        F.lit("{"), entry("AGE", "drop", F.lit("first"), "null"), F.lit(", "), entry("Fee", "drop", F.lit("x"), "null"), F.lit(", "),
+        entry("age", "keep", F.lit("second"), "null"), F.lit(", "), entry("Fee", "transform", told, '"again"'), F.lit("}"),
+    )
+    turns = table(spark, sf, "conversations")
+    answers = turns.select(
+        F.col("conv_id").alias("session_id"), "turn", F.concat("text", F.lit("<<<SCHEMA_UPDATES>>>"), block, F.lit("<<<END>>>")).alias("text")
+    )
+    names = F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(n).alias("column")) for k, n in enumerate(("Age", "fee", "other"))])
+    base = turns.select(F.col("conv_id").alias("session_id")).distinct().select("session_id", F.inline(names))
+    edits = E.update_rows(E.parse_tagged_answer(answers), ["session_id", "turn"])
+    actions = base.select(
+        "session_id", "column", F.lit("keep").alias("action"), F.lit("base").alias("reason"), F.lit(None).cast("string").alias("transformation")
+    )
+    return A.fold_edits(actions, A.resolve_names(edits, base))
+
+
 @query("resolve_names", f"""
     WITH e AS ({_LIST_EDITS}), k AS (SELECT DISTINCT conv_id AS session_id FROM conversations)
     SELECT e.session_id, turn, CASE WHEN e."column" = 'Age' AND e.session_id % 2 = 0 THEN 'AGE' WHEN e."column" = 'Gender' THEN 'gender'
@@ -123,7 +150,7 @@ def tagged_answers(spark, sf):
 
 
 @query("tagged_updates", """
-    SELECT doc_id, source AS "column", 'drop' AS action, 'asked' AS reason, CAST(NULL AS VARCHAR) AS transformation FROM documents WHERE doc_id % 4 = 0""")
+    SELECT doc_id, source AS "column", 'drop' AS action, 'asked' AS reason, CAST(NULL AS VARCHAR) AS transformation, CAST(0 AS INTEGER) AS pos FROM documents WHERE doc_id % 4 = 0""")
 def tagged_updates(spark, sf):
     return E.update_rows(E.parse_tagged_answer(_tagged(spark, sf)), ["doc_id"])
 

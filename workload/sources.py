@@ -14,7 +14,7 @@ from workload.registry import query, table
 @query("csv_scan", f"""
     WITH t AS ({ORDER_GAPS_SQL})
     SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderstatus, o_totalprice,
-      CASE WHEN o_orderkey % 10 = 1 THEN 'say "hi", ' ELSE '' END || o_orderpriority AS quoted, o_orderkey % 2 = 0 AS even, CAST(NULL AS DOUBLE) AS nothing FROM t""")
+      CASE WHEN o_orderkey % 10 = 1 THEN 'say "hi",' || chr(10) ELSE '' END || o_orderpriority AS quoted, o_orderkey % 2 = 0 AS even, CAST(NULL AS DOUBLE) AS nothing FROM t""")
 def csv_scan(spark, sf):
     k = F.col("o_orderkey")
     folder = shared_folder(spark, "csv-scan")
@@ -23,7 +23,7 @@ def csv_scan(spark, sf):
         F.coalesce(F.col("o_custkey").cast("string"), F.lit("N/A")).alias("o_custkey"),
         F.coalesce("o_orderstatus", F.lit("null")).alias("o_orderstatus"),
         F.coalesce(F.col("o_totalprice").cast("string"), F.lit("")).alias("o_totalprice"),
-        F.concat(F.when(k % 10 == 1, F.lit('say "hi", ')).otherwise(F.lit("")), F.col("o_orderpriority")).alias("quoted"),
+        F.concat(F.when(k % 10 == 1, F.lit('say "hi",\n')).otherwise(F.lit("")), F.col("o_orderpriority")).alias("quoted"),
         F.when(k % 2 == 0, "True").otherwise("False").alias("even"),
         F.lit("NaN").alias("nothing"),
     ).write.option("header", True).option("escape", '"').csv(folder)
@@ -43,10 +43,32 @@ def clean_sink(spark, sf):
     return spark.read.parquet(folder)
 
 
+# A third of the orders gets a fraction of a second.
+_FRACTIONS_SQL = "CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 123450 MICROSECOND ELSE o_orderdate END"
+
+
+def _with_fractions():
+    return F.when(F.col("o_orderkey") % 3 == 0, F.expr("o_orderdate + INTERVAL '0.12345' SECOND")).otherwise(F.col("o_orderdate"))
+
+
+@query("clean_sink_csv", f"""
+    SELECT o_orderkey, coalesce(o_orderstatus, 'Unknown') AS o_orderstatus,
+      strftime({_FRACTIONS_SQL}, '%Y-%m-%d %H:%M:%S') || CASE WHEN o_orderkey % 3 = 0 THEN '.12345' ELSE '' END AS o_orderdate
+    FROM ({ORDER_GAPS_SQL})""")
+def clean_sink_csv(spark, sf):
+    orders = order_gaps(spark, sf).select("o_orderkey", "o_orderstatus", _with_fractions().alias("o_orderdate"))
+    folder = shared_folder(spark, "cleaned-csv")
+    actions = {c: {"action": "keep"} for c in orders.columns}
+    T.write_cleaned(C.clean(orders, actions).data, folder, "csv")
+    return T.read_csv(spark, folder)
+
+
 def _session_folder(spark, sf) -> str:
-    """One session record per conversation, as JSON lines."""
+    """One session record per conversation with all its turns, as JSON lines."""
     folder = shared_folder(spark, "sessions")
-    first = table(spark, sf, "conversations").filter("turn = 0")
+    said = F.struct("turn", "role", F.col("text").alias("content"))
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("said"))
+    first = turns.withColumn("role", F.col("said")[0]["role"]).withColumn("text", F.col("said")[0]["content"])
     k = F.col("conv_id")
     S.write_sessions(
         first.select(
@@ -54,7 +76,8 @@ def _session_folder(spark, sf) -> str:
             F.concat("role", F.lit(".csv")).alias("name"),
             F.concat("role", F.lit(".csv")).alias("original_filename"),
             F.col("text").alias("goal"),
-            F.array(F.struct("role", F.col("text").alias("content"))).alias("chat_history"),
+            F.transform("said", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("chat_history"),
+            F.struct(F.concat(F.lit("/api/download/"), k.cast("string")).alias("download_url")).alias("bg_result"),
             F.when(k % 9 != 0, F.format_string("2024-01-%02dT10:00:00", k % 28 + 1)).alias("created_at"),
         ),
         folder,
@@ -69,19 +92,27 @@ def session_listing(spark, sf):
     return S.list_sessions(S.read_sessions(spark, _session_folder(spark, sf), one_per_file=False))
 
 
-@query("session_lookup", "SELECT 's' || conv_id AS session_id, text AS goal, role AS first_role FROM conversations WHERE turn = 0 AND conv_id = 7")
+@query("session_lookup", """
+    SELECT 's' || conv_id AS session_id, arg_min(text, turn) AS goal, arg_min(role, turn) AS first_role,
+      string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history, '/api/download/' || conv_id AS download_url
+    FROM conversations WHERE conv_id = 7 GROUP BY conv_id""")
 def session_lookup(spark, sf):
     found = S.find_session(S.read_sessions(spark, _session_folder(spark, sf), one_per_file=False), "s7")
-    return found.select("session_id", "goal", F.get("chat_history", F.lit(0))["role"].alias("first_role"))
+    told = F.transform("chat_history", lambda x: F.concat(x["role"], F.lit(": "), x["content"]))
+    return found.select(
+        "session_id", "goal", F.get("chat_history", F.lit(0))["role"].alias("first_role"),
+        F.array_join(told, "\n").alias("history"), F.col("bg_result.download_url").alias("download_url"),
+    )
 
 
-@query("json_records", """
-    SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":' || CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END
-      || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '","keys":[' || o_orderkey || ',' || o_custkey || ']}' AS record FROM orders""")
+@query("json_records", f"""
+    SELECT o_orderkey, '{{"o_orderkey":' || o_orderkey || ',"o_orderstatus":' || CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END
+      || ',"o_orderdate":"' || strftime({_FRACTIONS_SQL}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 3 = 0 THEN '.123450' ELSE '' END
+      || '","keys":[' || o_orderkey || ',' || o_custkey || ']}}' AS record FROM orders""")
 def json_records(spark, sf):
     orders = table(spark, sf, "orders")
     status = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("o_orderstatus")
-    record = S.json_record("o_orderkey", status, "o_orderdate", F.array("o_orderkey", "o_custkey").alias("keys"))
+    record = S.json_record("o_orderkey", status, _with_fractions().alias("o_orderdate"), F.array("o_orderkey", "o_custkey").alias("keys"))
     return orders.select("o_orderkey", record.alias("record"))
 
 

@@ -49,14 +49,14 @@ def edit_stream(spark, sf):
 
 
 _JOB_EVENTS_SQL = """SELECT user_id % 50 AS session_id, event_id AS seq, CASE WHEN event_type IN ('signup', 'error') THEN 'set' ELSE 'update' END AS kind,
-    event_type AS status, CASE WHEN event_type = 'error' THEN props END AS error, CAST(event_id % 100 AS INTEGER) AS progress, props AS progress_msg FROM events WHERE user_id % 50 <> 3"""
+    event_type AS status, CASE WHEN event_type = 'error' THEN props END AS error, CASE WHEN event_type = 'signup' THEN props END AS result, CAST(event_id % 100 AS INTEGER) AS progress, props AS progress_msg FROM events WHERE user_id % 50 <> 3"""
 
 
 @query("job_states", f"""
     WITH e AS ({_JOB_EVENTS_SQL}), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS n FROM e WHERE kind = 'set') WHERE n = 1),
     u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS n FROM e WHERE kind = 'update') WHERE n = 1),
     s AS (SELECT DISTINCT 's' || (user_id % 50) AS session_id, user_id % 50 AS k FROM events)
-    SELECT s.session_id, coalesce(b.status, 'idle') AS status, b.error,
+    SELECT s.session_id, coalesce(b.status, 'idle') AS status, b.result, b.error,
       CASE WHEN b.seq IS NULL THEN 0 WHEN u.seq > b.seq THEN u.progress ELSE b.progress END AS progress,
       CASE WHEN b.seq IS NULL THEN '' WHEN u.seq > b.seq THEN u.progress_msg ELSE b.progress_msg END AS progress_msg
     FROM s LEFT JOIN b ON b.session_id = s.k LEFT JOIN u ON u.session_id = s.k""")
@@ -66,6 +66,7 @@ def job_states(spark, sf):
     events = _stream(spark, sf, "events").filter("user_id % 50 <> 3").select(
         session, F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_type").alias("status"),
         F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
+        F.when(F.col("event_type") == "signup", F.col("props")).alias("result"),
         (F.col("event_id") % 100).cast("int").alias("progress"), F.col("props").alias("progress_msg"),
     )
     folder = shared_folder(spark, "job-states")
