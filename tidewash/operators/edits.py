@@ -36,8 +36,8 @@ REPLIES = {
         "I'm here to help with your goal: **%s**. Mention a column name with 'drop', 'keep', or 'transform' to make changes.",
     ),
     "offline": (
-        "\u26a0\ufe0f AI API unavailable. Applied local parsing. Updated: **%s**.",
-        "\u26a0\ufe0f AI API unavailable. Applied local parsing. No column changes detected. "
+        "⚠️ AI API unavailable. Applied local parsing. Updated: **%s**.",
+        "⚠️ AI API unavailable. Applied local parsing. No column changes detected. "
         "Try mentioning a column name with 'drop', 'keep', or 'transform'.",
     ),
 }

@@ -59,7 +59,7 @@ PLAN_MESSAGE = (
     "Goal set: **%s**.<br>I have completed scanning the dataset. I recommend dropping %d irrelevant features (like %s...) "
     "to prepare for your modeling objective. Let me know if you want to make overrides."
 )
-OFFLINE_MESSAGE = "Goal set: **%s**.<br>\u26a0\ufe0f API unavailable. Using offline recommendations fallback."
+OFFLINE_MESSAGE = "Goal set: **%s**.<br>⚠️ API unavailable. Using offline recommendations fallback."
 
 
 def _matches(rule: Rule, name: Column) -> Column:

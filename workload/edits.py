@@ -30,7 +30,19 @@ def _messages(spark, sf) -> DataFrame:
     )
 
 
-def _edits_sql(columns: str, on: str, keywords=E.FULL_KEYWORDS) -> str:
+# Fixed values, written out here so that the SQL does not share them with the code under test.
+_FULL_SQL = [
+    ("drop", ("drop", "remove", "delete", "eliminate"), "Dropped by user request in chat.", None),
+    ("keep", ("keep", "add", "retain", "include"), "Kept by user request in chat.", None),
+    ("transform", ("transform", "convert", "encode", "impute"), "Transform requested in chat.", "Custom transform"),
+]
+_SHORT_SQL = [
+    ("drop", ("drop", "remove", "delete"), "Dropped by user in chat (fallback).", None),
+    ("keep", ("keep", "retain", "include"), "Kept by user in chat (fallback).", None),
+]
+
+
+def _edits_sql(columns: str, on: str, keywords=_FULL_SQL) -> str:
     case = lambda i: "CASE " + " ".join(
         "WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in k[1]) + " THEN "
         + ("CAST(NULL AS VARCHAR)" if k[i] is None else f"'{k[i]}'") for k in keywords
@@ -48,7 +60,7 @@ def edit_requests(spark, sf):
     return E.edit_requests(_messages(spark, sf), _COLUMNS).drop("text")
 
 
-@query("edit_requests_short", _edits_sql(_LIST_SQL, "true", E.SHORT_KEYWORDS))
+@query("edit_requests_short", _edits_sql(_LIST_SQL, "true", _SHORT_SQL))
 def edit_requests_short(spark, sf):
     return E.edit_requests(_messages(spark, sf), _COLUMNS, keywords=E.SHORT_KEYWORDS).drop("text")
 

@@ -13,14 +13,31 @@ from workload.registry import query, table
 _GOAL = "predict churn"
 
 
+# Fixed values, written out here so that the SQL does not share them with the code under test:
+# condition on the lower-cased name, action, reason, transformation.
+_RULES_SQL = [
+    ("contains(n, 'id') OR contains(n, 'hash')", "drop",
+     "Useless random identifier. High cardinality and zero correlation to goal 'predict churn'.", None),
+    ("contains(n, 'name')", "drop", "Personally identifiable information (PII) that doesn't aid model training.", None),
+    ("contains(n, 'noise') OR contains(n, 'system')", "drop", "Synthetic noise column representing non-predictive random signals.", None),
+    ("contains(n, 'empty') OR contains(n, 'null')", "drop", "Empty column with 100% missing values.", None),
+    ("contains(n, 'duplicated')", "drop", "Duplicate copy of fee column. Redundant features cause multicollinearity.", None),
+    ("contains(n, 'date')", "transform",
+     "Date string needs to be parsed to allow extraction of chronological metrics like tenure.", "Convert to datetime object"),
+    ("n IN ('gender', 'sex')", "transform",
+     "Categorical string column with missing values. Requires imputation and label encoding.", "Impute missing with mode and label encode"),
+    ("n IN ('age', 'income')", "transform",
+     "Numeric column containing missing values that need numerical imputation.", "Impute missing values using column median"),
+    ("n IN ('churn', 'churned', 'churned_status', 'status')", "keep", "Direct target label representing the classification outcome.", None),
+    ("true", "keep", "Key numerical or categorical feature directly relevant to predicting user behavior.", None),
+]
+
+
 def _rule_case(column: str, field: int) -> str:
     """The rules as one SQL CASE; field 0 action, 1 reason, 2 transformation."""
-    parts = []
-    for rule in R.RULES:
-        tests = [f"contains(lower({column}), '{w}')" for w in rule.contains] + [f"lower({column}) = '{w}'" for w in rule.equals]
-        value = (rule.action, rule.reason.replace("{goal}", _GOAL), rule.transformation)[field]
-        shown = "CAST(NULL AS VARCHAR)" if value is None else "'" + value.replace("'", "''") + "'"
-        parts.append(f"WHEN {' OR '.join(tests)} THEN {shown}")
+    shown = lambda v: "CAST(NULL AS VARCHAR)" if v is None else "'" + v.replace("'", "''") + "'"
+    parts = [f"WHEN {test.replace('n, ', f'lower({column}), ').replace('n IN', f'lower({column}) IN')} THEN {shown(rule[field])}"
+             for test, *rule in _RULES_SQL]
     return "CASE " + " ".join(parts) + " END"
 
 
@@ -35,12 +52,25 @@ _WORDS_SQL = """(SELECT doc_id AS dataset, unnest(range(len(w))) AS pos, unnest(
     (SELECT doc_id, string_split(text, ' ') AS w FROM documents))"""
 
 
+# Words made into names that reach every rule.
+_NAMED_SQL = f"""(SELECT CASE pos % 12 WHEN 0 THEN "column" || '_Noise' WHEN 1 THEN 'EMPTY ' || "column" WHEN 2 THEN 'Duplicated' || "column"
+    WHEN 3 THEN 'Gender' WHEN 4 THEN 'income' WHEN 5 THEN 'Churned_Status' WHEN 6 THEN "column" || '_Date' WHEN 7 THEN 'First' || "column" || 'Name'
+    WHEN 8 THEN 'Hash_' || "column" WHEN 9 THEN 'SEX' WHEN 10 THEN 'Age' ELSE "column" END AS "column" FROM {_WORDS_SQL})"""
+
+
 @query("rule_recommend", f"""
     SELECT "column", count(*) AS uses, {_rule_case('"column"', 0)} AS action, {_rule_case('"column"', 1)} AS reason,
-      {_rule_case('"column"', 2)} AS transformation FROM {_WORDS_SQL} GROUP BY "column" """)
+      {_rule_case('"column"', 2)} AS transformation FROM {_NAMED_SQL} GROUP BY "column" """)
 def rule_recommend(spark, sf):
     """A catalogue of names, counted first, so each distinct name is decided once."""
-    names = _words(spark, sf).groupBy("column").agg(F.count(F.lit(1)).alias("uses"))
+    k, word = F.col("pos") % 12, F.col("column")
+    name = (
+        F.when(k == 0, F.concat(word, F.lit("_Noise"))).when(k == 1, F.concat(F.lit("EMPTY "), word)).when(k == 2, F.concat(F.lit("Duplicated"), word))
+        .when(k == 3, "Gender").when(k == 4, "income").when(k == 5, "Churned_Status").when(k == 6, F.concat(word, F.lit("_Date")))
+        .when(k == 7, F.concat(F.lit("First"), word, F.lit("Name"))).when(k == 8, F.concat(F.lit("Hash_"), word)).when(k == 9, "SEX").when(k == 10, "Age")
+        .otherwise(word)
+    )
+    names = _words(spark, sf).groupBy(name.alias("column")).agg(F.count(F.lit(1)).alias("uses"))
     return R.recommend(names, _GOAL)
 
 
