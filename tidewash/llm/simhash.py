@@ -29,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from tidewash.llm.shared import table, written
+from tidewash.llm.shared import table, whole_row, written
 from tidewash.llm.tokens import slices
 
 SHINGLE = 3
@@ -95,28 +96,29 @@ def block_masks(n: int, radius: int = RADIUS) -> list[int]:
     return [mask - (1 << 64) if mask >> 63 else mask for mask in masks]
 
 
-def _forest(fps: np.ndarray, table_: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of a group that connect what all its links connect: each member is reached once."""
+def _forest(fps: np.ndarray, table_: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Links (one, others) of a group that connect what all its links connect: each member is reached once."""
     left = np.arange(len(fps))
     frontier: list[int] = []
     while len(left):
         if not frontier:
             frontier, left = [int(left[0])], left[1:]
         one = frontier.pop()
-        near = left[(np.abs(table_[left] - table_[one]) <= radius).all(axis=1)]
-        near = near[np.bitwise_count(fps[near] ^ fps[one]) <= radius]
-        if len(near):
-            yield np.full(len(near), fps[one]), fps[near]
+        close = (np.abs(table_[left] - table_[one]) <= radius).all(axis=1)
+        close[close] = np.bitwise_count(fps[left[close]] ^ fps[one]) <= radius
+        if close.any():
+            near, left = left[close], left[~close]
+            yield one, near
             frontier.extend(near.tolist())
-            left = np.setdiff1d(left, near, assume_unique=True)
 
 
 def group_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each run of equal ``groups``; runs longer than SMALL_GROUP give a forest."""
+    """Places of linked members inside each run of equal ``groups``; runs longer than SMALL_GROUP give a forest."""
     table_ = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(fps)]]))
-    left, right = [], []
+    none = np.zeros(0, np.int64)
+    left, right = [none], [none]
     small = np.repeat(sizes <= SMALL_GROUP, sizes)
     rest = np.repeat(starts + sizes, sizes) - np.arange(len(fps)) - 1  # members behind each
     for lag in range(1, SMALL_GROUP):
@@ -125,15 +127,49 @@ def group_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tu
             break
         at = at[(np.abs(table_[at] - table_[at + lag]) <= radius).all(axis=1)]
         at = at[np.bitwise_count(fps[at] ^ fps[at + lag]) <= radius]
-        left.append(fps[at])
-        right.append(fps[at + lag])
+        left.append(at)
+        right.append(at + lag)
     for k in np.flatnonzero(sizes > SMALL_GROUP).tolist():
         part = slice(starts[k], starts[k] + sizes[k])
-        for a, b in _forest(fps[part], table_[part], radius):
-            left.append(a)
-            right.append(b)
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+        for one, others in _forest(fps[part], table_[part], radius):
+            left.append(np.full(len(others), starts[k] + one))
+            right.append(starts[k] + others)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def meetings(dealt: DataFrame, radius: int) -> DataFrame:
+    """Pairs (low, high) of linked ids among the rows (choice, key, window, id, fp) that share the first three."""
+    names = ["choice", "key", "window"]
+    id_type = dealt.schema["id"].dataType
+    together = dealt.select(*names, "id", "fp").repartition(*names).sortWithinPartitions(*names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last group may go on in the next batch
+
+        def found(rows: pa.Table, groups: np.ndarray) -> pa.RecordBatch:
+            a, b = group_links(groups, rows["fp"].to_numpy().view(np.uint64), radius)
+            ids = rows["id"].combine_chunks()
+            low, high = ids.take(pa.array(a)), ids.take(pa.array(b))
+            return pa.RecordBatch.from_arrays([low, high], ["low", "high"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if not rows.num_rows:
+                continue
+            changes = np.zeros(rows.num_rows, bool)
+            for name in names:
+                values = rows[name].to_numpy()
+                changes[1:] |= values[1:] != values[:-1]
+            last = int(np.flatnonzero(changes)[-1]) if changes.any() else 0
+            held = rows.slice(last)
+            if last:
+                yield found(rows.slice(0, last), np.cumsum(changes[:last]))
+        if held is not None and held.num_rows:
+            yield found(held, np.zeros(held.num_rows, np.int64))
+
+    met = together.mapInArrow(meet, StructType([StructField("low", id_type), StructField("high", id_type)]))
+    return met.select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).distinct()
 
 
 def _with_windows(numbers: Column, distance: Column, radius: int) -> Column:
@@ -162,39 +198,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         distance = F.bit_count(F.col("fp").bitwiseXOR(F.lit(pivot)))
         windows = _with_windows(windows, distance, radius)
     dealt = keyed.join(hot, ["choice", "key"], "left").select(
-        "choice", "key", "fp", F.explode(F.when(F.col("hot"), windows).otherwise(F.array(F.lit(0)))).alias("window")
+        "choice", "key", F.col("fp").alias("id"), "fp", F.explode(F.when(F.col("hot"), windows).otherwise(F.array(F.lit(0)))).alias("window")
     )
-    together = dealt.repartition("choice", "key", "window").sortWithinPartitions("choice", "key", "window")
-    names = ["choice", "key", "window"]
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None  # the last group may go on in the next batch
-
-        def found(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-            changes = np.zeros(len(rows["fp"]), bool)
-            for name in names:
-                changes[1:] |= rows[name][1:] != rows[name][:-1]
-            a, b = group_links(np.cumsum(changes), rows["fp"].view(np.uint64), radius)
-            a, b = a.view(np.int64), b.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["low", "high"])
-
-        for batch in batches:
-            rows = {name: batch[name].to_numpy(zero_copy_only=False) for name in [*names, "fp"]}
-            if held is not None:
-                rows = {name: np.concatenate([held[name], rows[name]]) for name in rows}
-            if not len(rows["fp"]):
-                continue
-            same = np.ones(len(rows["fp"]), bool)
-            for name in names:
-                same &= rows[name] == rows[name][-1]
-            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            held = {name: values[last:].copy() for name, values in rows.items()}
-            if last:
-                yield found({name: values[:last] for name, values in rows.items()})
-        if held is not None and len(held["fp"]):
-            yield found(held)
-
-    return together.select("choice", "key", "window", "fp").mapInArrow(meet, "low bigint, high bigint").distinct()
+    return meetings(dealt, radius)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,6 +242,140 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return classes(written(fingerprints(docs, shingle), "marked"), radius)
 
 
+# --- Groups by the similarity of the shingles themselves ---------------------------------------
+
+SIMILARITY = 0.8
+WIDE_SHINGLE = 5
+WIDE_SEEDS = (42, 43, 44, 45)
+#: Sampled keys of a wide fingerprint; at a similarity of 0.9 a pair shares one with 99 %, at 0.8 with about 72 %.
+WIDE_KEYS = 48
+#: Differing bits of the first 64 up to which a meeting is verified; at a similarity of 0.8 9.7 differ on average.
+WIDE_RADIUS = 16
+#: Members of a hot key that all its slices hold.
+ANCHORS = 64
+#: Up to so many rows of 16-byte keys are broadcast.
+MAX_BROADCAST = 2_000_000
+
+
+def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text; a shorter text is one shingle."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = zip(*(words[k:] for k in range(shingle))) if len(words) >= shingle else [tuple(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(gram), seed) for gram in grams), np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit fingerprint for each of WIDE_SEEDS, from the distinct shingles of a text."""
+    counts = np.zeros((len(WIDE_SEEDS), 64), np.int64)
+    for at in range(0, len(hashes), ROWS_AT_ONCE):
+        some = hashes[at : at + ROWS_AT_ONCE]
+        for k in range(len(WIDE_SEEDS)):
+            # Hashes of another seed: the first hash, mixed with an odd number of its own.
+            mixed = some * np.uint64(2 * k + 0x9E3779B97F4A7C15)
+            mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+            mixed ^= mixed >> np.uint64(29)
+            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[k] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
+def wide_masks(n: int) -> np.ndarray:
+    """For each key, a mask on every word of the wide fingerprint; as many bits as ``n`` texts need."""
+    rng = np.random.default_rng(11)
+    bits = max(16, min(40, int(np.ceil(np.log2(max(n, 2)))) + 3))
+    masks = np.zeros((WIDE_KEYS, len(WIDE_SEEDS)), np.uint64)
+    for row in masks:
+        for b in rng.choice(64 * len(WIDE_SEEDS), bits, replace=False).tolist():
+            row[b // 64] |= np.uint64(1 << b % 64)
+    return masks
+
+
+def bounded(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """``df`` marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def similar_pairs(texts: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (low, high) of different texts whose distinct shingles have the Jaccard similarity asked for.
+
+    ``texts`` has id (16 bytes, its digest) and text; copies are harmless. Every pair returned
+    is verified on all shingles of both texts; keys find pairs with the chances above.
+    """
+    n = texts.select(F.approx_count_distinct("id")).first()[0]
+    masks = wide_masks(n)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            wide = np.array([wide_fingerprint(shingle_hashes(t, shingle)) for t in batch["text"].to_pylist()], np.uint64)
+            wide = wide.reshape(-1, len(WIDE_SEEDS))
+            key = np.zeros((len(wide), WIDE_KEYS), np.uint64)
+            for k in range(len(WIDE_SEEDS)):
+                key = (key ^ wide[:, k : k + 1] & masks[None, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(32)
+            each = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, WIDE_KEYS), pa.int32()), pa.array(key.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(wide[:, 0].view(np.int64)), each], ["id", "fp", "keys"])
+
+    marked = written(texts.mapInArrow(keys, "id binary, fp bigint, keys array<bigint>"), "wide-keys")
+    keyed = marked.groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    keyed = keyed.select("id", "fp", F.posexplode("keys").alias("choice", "key"))
+    sizes = written(keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "wide-groups")
+    shared = keyed.join(sizes, ["choice", "key"])
+    # A hot key is dealt over slices; all of them hold its anchors, by which its near copies are connected.
+    n_slices = F.ceil(F.col("n") / HOT_KEY).cast("int")
+    own = F.array(F.pmod(F.xxhash64("id"), n_slices).cast("int"))
+    anchor = (n_slices > 1) & (F.pmod(F.xxhash64("id", "key"), F.col("n")) < ANCHORS)
+    dealt = shared.select("choice", "key", "id", "fp", F.explode(F.when(anchor, F.sequence(F.lit(0), n_slices - 1)).otherwise(own)).alias("window"))
+    pairs = written(meetings(dealt, WIDE_RADIUS), "wide-pairs")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes = [shingle_hashes(t, shingle).tobytes() for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(hashes, pa.binary())], ["id", "hashes"])
+
+    wanted = pairs.select(F.explode(F.array("low", "high")).alias("wanted")).distinct()
+    found = texts.join(bounded(wanted), F.col("id") == F.col("wanted"), "left_semi").mapInArrow(sets, "id binary, hashes binary")
+    found = written(found, "shingle-sets", compression="zstd").groupBy("id").agg(F.first("hashes").alias("hashes"))
+    both = pairs.join(found.select(F.col("id").alias("low"), F.col("hashes").alias("a")), "low").join(
+        found.select(F.col("id").alias("high"), F.col("hashes").alias("b")), "high"
+    )
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            kept = []
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                kept.append(common >= similarity * (len(a) + len(b) - common) and (len(a) > 0) == (len(b) > 0))
+            yield batch.select(["low", "high"]).filter(pa.array(kept, pa.bool_()))
+
+    return both.select("low", "high", "a", "b").mapInArrow(verify, "low binary, high binary")
+
+
+def one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that with the smallest doc_id (nulls last).
+
+    Exact copies, repeated rows and, as one group, texts without words belong together. Rows
+    are told apart by their place in the files, so ``docs`` must be a scan of files.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    blank = F.trim(F.translate(text, "\t\n\x0b\f\r", "     ")) == ""
+    digest = F.unhex(F.md5(F.when(blank, F.lit("")).otherwise(text)))
+    numbered = docs.select(whole_row(docs).alias("row"), F.monotonically_increasing_id().alias("number"))
+    places = written(
+        docs.select(F.monotonically_increasing_id().alias("number"), digest.alias("id"), F.col("doc_id").alias("doc_id")), "places"
+    )
+    pairs = similar_pairs(docs.select(digest.alias("id"), text.alias("text")), shingle, similarity)
+    roots = components(written(pairs, "similar"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "number"))
+    texts = written(places.groupBy("id").agg(first.alias("first")), "texts")
+    members = texts.join(roots, texts["id"] == roots["node"], "left").select(F.coalesce("root", "id").alias("root"), "first")
+    stays = members.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.number").alias("stays"))
+    goes = written(places.join(stays, F.col("number") == F.col("stays"), "left_anti").select(F.col("number").alias("goes")), "goes")
+    return numbered.join(bounded(goes), F.col("number") == F.col("goes"), "left_anti").select("row.*")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
