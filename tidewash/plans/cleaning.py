@@ -113,9 +113,15 @@ def fit(
     order_by: str | Sequence[str] | None = None,
     null_counts: Mapping[str, int] | None = None,
     log: str = "direct",
+    later_rows: bool = False,
 ) -> CleanPlan:
     """Learn the plan for one table.
 
+    ``later_rows`` makes a plan for rows that come after the fit, such as a stream:
+    every fill is learned, also where the table has no gap yet, and numbers become
+    double, as no column is known to stay whole.
+
+
     ``actions`` maps a column to its action, reason and transformation; names
     that the table lacks are skipped, columns without an action stay as they
     are. ``order_by`` says which row is first for the date layout (default: file
@@ -130,9 +136,9 @@ def fit(
         if c in types
     }
     facts = _learn(df, routed, types, order_by, null_counts or {})
-    medians = _medians(df, routed, types, facts)
+    medians = _medians(df, routed, types, facts, later_rows)
     steps = tuple(
-        _step(c, op, types[c], facts, medians, actions[c], log) for c, op in routed.items()
+        _step(c, op, types[c], facts, medians, actions[c], log, later_rows) for c, op in routed.items()
     )
     return CleanPlan(
         steps=steps,
@@ -193,11 +199,11 @@ def _learn(df, routed, types, order_by, null_counts) -> dict:
     return facts
 
 
-def _medians(df, routed, types, facts) -> dict[str, float | None]:
-    """Medians of the numeric columns that have something to fill."""
+def _medians(df, routed, types, facts, later_rows) -> dict[str, float | None]:
+    """Medians of the numeric columns that have, or may get, something to fill."""
     values = {}
     for name, op in routed.items():
-        holes = 0 < facts.get(("present", name), 0) < facts["rows"]
+        holes = 0 < facts.get(("present", name), 0) < facts["rows"] + later_rows
         boolean_gap = op == "median" and isinstance(types[name], T.BooleanType)
         if op in ("median", "number_median") and holes and not boolean_gap:
             values[name] = _number(df, name, types[name])
@@ -205,7 +211,7 @@ def _medians(df, routed, types, facts) -> dict[str, float | None]:
     return {n: q[0] for n, q in exact_quantiles(df, values, [0.5], counts).items()}
 
 
-def _step(name, op, dtype, facts, medians, action, log) -> Step:
+def _step(name, op, dtype, facts, medians, action, log, later_rows) -> Step:
     text = action.get("transformation")
     message = None
     if action.get("action") == "transform":
@@ -216,7 +222,7 @@ def _step(name, op, dtype, facts, medians, action, log) -> Step:
         shown = message is not None and log == "direct"
         why = f"Failed to transform '{name}': {dtype.simpleString()} columns are not cleaned"
         return Step(name, "failed", message=why if shown else None)
-    rows, present = facts["rows"], facts.get(("present", name), 0)
+    rows, present = facts["rows"] + later_rows, facts.get(("present", name), 0)  # a later row may hold a gap
     if op == "date":
         sample = facts.get(("first", name))
         return Step(name, "date", date_format=guess_date_format(sample), out_type="timestamp_ntz", message=message)

@@ -16,16 +16,27 @@ def _stream(spark, sf, name):
 
 
 @query("clean_stream", """
-    WITH t AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS o_totalprice FROM orders),
-    m AS (SELECT median(o_totalprice) AS p FROM t)
-    SELECT o_orderkey, o_orderstatus, coalesce(o_totalprice, p) AS o_totalprice FROM t, m""")
+    WITH m AS (SELECT median(o_totalprice) AS p FROM orders)
+    SELECT o_orderkey, CAST(o_custkey AS DOUBLE) + CASE WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 0 END AS o_custkey,
+      CASE WHEN o_orderkey % 5 = 0 THEN 'Unknown' ELSE o_orderstatus END AS o_orderstatus,
+      CASE WHEN o_orderkey % 7 = 0 THEN p ELSE o_totalprice END AS o_totalprice FROM orders, m""")
 def clean_stream(spark, sf):
-    """A plan fitted on the table, applied to the same rows as a stream."""
-    gaps = lambda df: df.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")))
-    actions = {"o_totalprice": {"action": "keep"}, "o_custkey": {"action": "drop"}, "o_orderdate": {"action": "drop"}, "o_orderpriority": {"action": "drop"}}
-    plan = C.fit(gaps(table(spark, sf, "orders")), actions)
+    """A plan fitted on a table without gaps, applied in several batches to rows with gaps and decimals."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderstatus", "o_totalprice", "o_orderdate")
+    later = orders.select(
+        "o_orderkey", F.concat("o_custkey", F.when(k % 3 == 0, ".5").otherwise("")).alias("o_custkey"),
+        F.when(k % 5 != 0, F.col("o_orderstatus")).alias("o_orderstatus"), F.when(k % 7 != 0, F.col("o_totalprice")).alias("o_totalprice"), "o_orderdate",
+    )
     folder = shared_folder(spark, "clean-stream")
-    S.run_to_files(S.clean_stream(gaps(_stream(spark, sf, "orders")), plan), f"{folder}/rows", f"{folder}/progress")
+    later.repartition(4, "o_orderkey").write.parquet(f"{folder}/later")
+    actions = {
+        "o_custkey": {"action": "transform", "transformation": "convert to number"}, "o_orderstatus": {"action": "keep"},
+        "o_totalprice": {"action": "keep"}, "o_orderdate": {"action": "drop"},
+    }
+    plan = C.fit(orders, actions, later_rows=True)
+    stream = S.read_stream(spark, f"{folder}/later", "*.parquet", later.schema, files_per_batch=1)
+    S.run_to_files(S.clean_stream(stream, plan), f"{folder}/rows", f"{folder}/progress")
     return spark.read.parquet(f"{folder}/rows")
 
 
