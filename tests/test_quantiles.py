@@ -48,3 +48,14 @@ def test_wrong_counts_are_noticed(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("a"))
     with pytest.raises(ValueError):
         exact_quantiles(df, {"a": F.col("a")}, [1.0], counts={"a": 5000}, direct_rows=10, inside_rows=10)
+
+
+def test_both_ways_agree_to_the_last_bit(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame(pd.DataFrame({"v": rng.normal(0, 1e3, 1001), "w": np.where(rng.random(1001) < 0.3, -np.inf, rng.random(1001))}))
+    probabilities = [k / 96 for k in range(97)]
+    values = {c: F.col(c) for c in df.columns}
+    counts = dict.fromkeys(df.columns, 1001)
+    direct = exact_quantiles(df, values, probabilities, counts, direct_rows=10**6)
+    cornered = exact_quantiles(df, values, probabilities, counts, direct_rows=10, inside_rows=200)
+    assert repr(direct) == repr(cornered)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidewash.functions.columns import clean_value, col, is_temporal, value_text
+from tidewash.functions.columns import clean_value, col, is_numeric, is_temporal, value_text
 from tidewash.functions.parsing import micros_to_timestamp, timestamp_micros
 from tidewash.operators.quantiles import exact_quantiles
 
@@ -110,6 +110,29 @@ def describe_objects(df: DataFrame) -> DataFrame:
     )
 
 
+def describe_report(df: DataFrame) -> DataFrame:
+    """The report's table of a frame: at most the columns that its page shows are computed.
+
+    Statistics as rows. A frame without numbers or times gets count, unique, top and freq
+    of each column, as texts.
+    """
+    shown = [c for c in df.columns][: REPORT_COLUMNS - 1]
+    measured = [c for c in df.columns if is_numeric(df.schema[c].dataType) or is_temporal(df.schema[c].dataType)]
+    if measured:
+        return narrow_report(describe(df.select(*[col(c) for c in measured[: REPORT_COLUMNS - 1]])))
+    rows = describe_objects(df.select(*[col(c) for c in shown]))
+
+    def cell(statistic: str, i: int) -> Column:
+        value = F.max(F.when(F.col("pos") == i, F.col(statistic).cast("string")))
+        return F.coalesce(value, F.lit("0")) if statistic in ("count", "unique") else value
+
+    table = F.array(*[
+        F.struct(F.lit(k).alias("pos"), F.lit(s).alias("statistic"), *[cell(s, i).alias(c) for i, c in enumerate(shown)])
+        for k, s in enumerate(("count", "unique", "top", "freq"))
+    ])
+    return rows.agg(table.alias("report")).select(F.inline("report"))
+
+
 def narrow_report(described: DataFrame) -> DataFrame:
     """The statistic label and the first five columns, as wide as the report page."""
     keep = [c for c in described.columns if c != "pos"][:REPORT_COLUMNS]

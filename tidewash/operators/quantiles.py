@@ -121,13 +121,14 @@ def _cornered_quantiles(df, values, probabilities, counts, inside_rows):
     if missing := ranks - found.keys():
         raise ValueError(f"the counts given do not fit the rows that were read: {sorted(missing)[:3]}")
     return {
-        name: [_between(found[name, math.floor(p)], found[name, math.ceil(p)], p % 1) for p in ps]
+        name: [_between(found[name, math.floor(p)], found[name, math.ceil(p)], p) for p in ps]
         for name, ps in places.items()
     }
 
 
-def _between(lower: float, upper: float, share: float) -> float:
-    return lower if lower == upper else lower + (upper - lower) * share
+def _between(lower: float, upper: float, place: float) -> float:
+    """The value at a place between two ranks, by the formula of ``percentile``, so that both ways agree to the last bit."""
+    return lower if lower == upper else (math.ceil(place) - place) * lower + (place - math.floor(place)) * upper
 
 
 def _by_bracket(targets: list[_Target]) -> dict[tuple, list[_Target]]:

@@ -173,7 +173,24 @@ def describe_numbers(spark, sf):
 
 @query("describe_report_width", _describe_sql("SELECT * FROM lineitem", _LINE_NUMBERS[:5]))
 def describe_report_width(spark, sf):
-    return D.narrow_report(D.describe(table(spark, sf, "lineitem").select(*_LINE_NUMBERS)))
+    return D.describe_report(table(spark, sf, "lineitem").select(*_LINE_NUMBERS))
+
+
+_PART_TEXTS = ["p_name", "p_brand", "p_type"]
+
+
+def _part_cells(pos: int, statistic: str, cell) -> str:
+    return f"SELECT CAST({pos} AS INTEGER) AS pos, '{statistic}' AS statistic, " + ", ".join(f"{cell(c)} AS {c}" for c in _PART_TEXTS)
+
+
+@query("describe_report_objects", "\nUNION ALL ".join([
+    _part_cells(0, "count", lambda c: f"(SELECT CAST(count({c}) AS VARCHAR) FROM part)"),
+    _part_cells(1, "unique", lambda c: f"(SELECT CAST(count(DISTINCT {c}) AS VARCHAR) FROM part)"),
+    _part_cells(2, "top", lambda c: f"(SELECT {c} FROM part GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"),
+    _part_cells(3, "freq", lambda c: f"(SELECT CAST(max(n) AS VARCHAR) FROM (SELECT count(*) AS n FROM part GROUP BY {c}))"),
+]))
+def describe_report_objects(spark, sf):
+    return D.describe_report(table(spark, sf, "part").select(*_PART_TEXTS))
 
 
 def _time_cells(c: str) -> list[str]:
