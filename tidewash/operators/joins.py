@@ -11,9 +11,9 @@ _SLOT = "_slot"
 
 
 def spread(facts: DataFrame) -> DataFrame:
-    """Adds a slot from the row's content: the rows of one key fall into SLOTS groups."""
+    """Adds a slot from the row's content and its partition: the rows of one key, equal ones too, fall into SLOTS groups."""
     hashable = [f.name for f in facts.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
-    return facts.withColumn(_SLOT, F.pmod(F.xxhash64(*hashable), F.lit(SLOTS)))
+    return facts.withColumn(_SLOT, F.pmod(F.xxhash64(*hashable, F.spark_partition_id()), F.lit(SLOTS)))
 
 
 def spread_join(

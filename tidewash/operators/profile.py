@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidewash.functions.columns import (
     clean_value, col, is_numeric, is_temporal, literal_rows, pandas_type_name,
@@ -182,8 +182,8 @@ def first_samples(
 ) -> dict[str, list[str]]:
     """The first k non-null values of every column, as text.
 
-    Most columns show k values within the first rows. Only a column that does
-    not is searched on its own, as a top-k over that one column.
+    Most columns show k values within the first rows. All that do not are searched
+    together in one pass, whose rank limit leaves k rows a column before the shuffle.
     """
     if k <= 0:
         return {c: [] for c in df.columns}
@@ -193,10 +193,14 @@ def first_samples(
     found = {c: [r[i] for r in rows if r[i] is not None][:k] for i, c in enumerate(texts)}
     if len(rows) < HEAD_ROWS:
         return found
-    for c in [c for c, values in found.items() if len(values) < k]:
-        placed = df.select(row_order(df, order_by).alias("row"), clean_value(df, c).alias(c))
-        present = placed.filter(col(c).isNotNull()).orderBy("row").limit(k)
-        found[c] = [r[0] for r in present.select(texts[c]).collect()]
+    sparse = [c for c, values in found.items() if len(values) < k]
+    if sparse:
+        cells = F.array(*[F.struct(F.lit(i).alias("pos"), texts[c].alias("text")) for i, c in enumerate(sparse)])
+        present = df.select(row_order(df, order_by).alias("row"), F.inline(cells)).filter(F.col("text").isNotNull())
+        place = F.row_number().over(Window.partitionBy("pos").orderBy("row"))
+        first = present.withColumn("place", place).filter(F.col("place") <= k).collect()
+        for i, c in enumerate(sparse):
+            found[c] = [r["text"] for r in sorted((r for r in first if r["pos"] == i), key=lambda r: r["place"])]
     return found
 
 
