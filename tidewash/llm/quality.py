@@ -41,7 +41,7 @@ THRESHOLD = 0.3
 HELD_OUT_OF = 5
 VALIDATION = 5
 SEED = 7
-#: Tasks that sum neighbours; each sends one table of BUCKETS x DIMENSIONS to the driver.
+#: Tasks, at most, that sum neighbours; each sends one table of BUCKETS x DIMENSIONS (whole numbers, so any order adds up alike).
 FIT_TASKS = 8
 
 
@@ -170,7 +170,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Data
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    rows = training_rows(docs, labels, max_labelled).repartition(FIT_TASKS, "doc_id").sortWithinPartitions("doc_id")
+    # The scan keeps all its tasks; coalesce bounds those behind the shuffle, whose tables go to the driver.
+    rows = training_rows(docs, labels, max_labelled).repartition("doc_id").coalesce(FIT_TASKS)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((BUCKETS, DIMENSIONS))
