@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewash.functions.columns import clean_value, col
 from tidewash.session import shared_folder
 
-BROADCAST_ROWS = 100_000     # code tables up to this size are sent to all tasks
+BROADCAST_ROWS = 100_000     # code tables up to this many rows
+BROADCAST_BYTES = 32 << 20   # and this many bytes of values are sent to all tasks
 HOT_SHARE = 1_000            # a value with more than this fraction of the rows is hot
+HOT_BYTES = 4_096            # longer hot values stay in the shuffle; 1,000 of these are 4 MB
 
 
 def column_mode(df: DataFrame, name: str):
@@ -29,20 +31,21 @@ def impute_mode(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(clean_value(df, name), F.lit(mode).cast(df.schema[name].dataType)))
 
 
-def label_codes(df: DataFrame, name: str, small: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
+def label_codes(df: DataFrame, name: str, small: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """The distinct non-null values with their row counts `n` and dense codes 0, 1, ... in value order.
 
     Many values are sorted into ranges, one per task, and kept in the shared
     folder so that the ranges stay as they are. Each range is numbered on its
     own and the sizes of the ranges before it are added. Values are distinct by
-    then, so a frequent value makes no range large. Also returns their number.
+    then, so a frequent value makes no range large. Also returns whether the table
+    is small in rows and bytes.
     """
     present = df.select(clean_value(df, name).alias("value")).filter(F.col("value").isNotNull())
     distinct = present.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    total = distinct.count()
-    if total <= small:
+    size = distinct.agg(F.count(F.lit(1)).alias("rows"), F.sum(_bytes(F.col("value"))).alias("bytes")).first()
+    if size["rows"] <= small and (size["bytes"] or 0) <= BROADCAST_BYTES:
         code = F.row_number().over(Window.orderBy("value")) - 1
-        return distinct.select("value", "n", code.cast("bigint").alias("code")), total
+        return distinct.select("value", "n", code.cast("bigint").alias("code")), True
     spark = df.sparkSession
     folder = shared_folder(spark, "label-codes")
     distinct.repartitionByRange("value").withColumn("range", F.spark_partition_id()).write.parquet(folder)
@@ -53,7 +56,11 @@ def label_codes(df: DataFrame, name: str, small: int = BROADCAST_ROWS) -> tuple[
         offsets.append(offsets[-1] + sizes.get(r, 0))
     offset = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("range"))
     rank = F.row_number().over(Window.partitionBy("range").orderBy("value"))
-    return ranged.select("value", "n", (offset + rank - 1).alias("code")), total
+    return ranged.select("value", "n", (offset + rank - 1).alias("code")), False
+
+
+def _bytes(value: Column) -> Column:
+    return F.octet_length(value.cast("string")).cast("bigint")
 
 
 def label_encode(df: DataFrame, name: str, out: str | None = None, small: int = BROADCAST_ROWS) -> DataFrame:
@@ -61,17 +68,17 @@ def label_encode(df: DataFrame, name: str, out: str | None = None, small: int =
 
     A small code table, counted first, is broadcast. A large one is joined by
     shuffle without its hot values: those with more than 1/HOT_SHARE of the rows
-    are at most HOT_SHARE values, which are broadcast. Hot and null rows take no
-    part in the shuffle.
+    are at most HOT_SHARE values, which are broadcast unless they are very long
+    texts. Hot and null rows take no part in the shuffle.
     """
     out = out or f"{name}_code"
-    codes, total = label_codes(df, name, small)
+    codes, few = label_codes(df, name, small)
     value = clean_value(df, name)
-    if total <= small:
+    if few:
         table = codes.select(F.col("value").alias("_value"), F.col("code").alias(out))
         return df.join(F.broadcast(table), value == F.col("_value"), "left").drop("_value")
     rows = codes.agg(F.sum("n")).first()[0]
-    hot = codes.filter(F.col("n") * HOT_SHARE > rows).select(F.col("value").alias("_hot"), F.col("code").alias("_hot_code"))
+    hot = codes.filter((F.col("n") * HOT_SHARE > rows) & (_bytes(F.col("value")) <= HOT_BYTES)).select(F.col("value").alias("_hot"), F.col("code").alias("_hot_code"))
     marked = df.join(F.broadcast(hot), value == F.col("_hot"), "left")
     looked_up = F.col("_hot").isNull() & value.isNotNull()
     settled = marked.filter(~looked_up).withColumn(out, F.col("_hot_code"))
