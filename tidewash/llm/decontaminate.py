@@ -67,7 +67,7 @@ def _windows(n: int, condition: str) -> str:
 def with_hits(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_grams: int = MAX_GRAMS
 ) -> tuple[DataFrame, DataFrame]:
-    """(marked, grams): each row of ``docs`` as ``row``, its ``n_words`` and its ``hits``.
+    """(marked, grams): each row of ``docs`` as ``row``, its ``key``, ``words``, ``n_words`` and ``hits``.
 
     ``hits`` is an array of (start from 1, n, gram) in order of start for each window length.
     Beyond ``max_grams`` windows the same rows come from a join instead of a set.
@@ -78,7 +78,11 @@ def with_hits(
     for n in range(1, PREFIX):
         head = head.when(F.col("n") == n, _head_hash(grams_words, n))
     known = [tuple(r) for r in grams.select("gram", "n", head).limit(max_grams + 1).collect()]
-    rows = docs.select(whole_row(docs).alias("row"), normal_words(F.col("text")).alias("words"))
+    # A filter on hits must not move below this projection, where it would cut the words anew for
+    # each window; the number of the row, which is not deterministic, holds it above.
+    rows = docs.select(
+        whole_row(docs).alias("row"), normal_words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("key")
+    )
     if len(known) > max_grams:
         return _joined_hits(rows, grams), grams
     lists = []
@@ -91,13 +95,12 @@ def with_hits(
         ))
     nothing = "cast(array() as array<struct<start:int,n:int,gram:string>>)"
     hits = F.expr(f"concat({', '.join([nothing, *lists])})")
-    return rows.select("row", F.size("words").alias("n_words"), hits.alias("hits")), grams
+    return rows.select("key", "row", "words", F.size("words").alias("n_words"), hits.alias("hits")), grams
 
 
 def _joined_hits(rows: DataFrame, grams: DataFrame) -> DataFrame:
     """The rows of ``with_hits`` for a set too large for the plan: windows are joined by their text."""
     lengths = [r[0] for r in grams.select("n").distinct().collect()]
-    rows = rows.select("row", "words", F.size("words").alias("n_words"), F.monotonically_increasing_id().alias("key"))
     windows = F.expr(f"concat({', '.join(_windows(n, '') for n in sorted(lengths))})")
     found = (
         rows.select("key", F.explode(windows).alias("hit"))
@@ -105,7 +108,7 @@ def _joined_hits(rows: DataFrame, grams: DataFrame) -> DataFrame:
         .groupBy("key").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
     )
     nothing = F.array().cast("array<struct<start:int,n:int,gram:string>>")
-    return rows.join(found, "key", "left").select("row", "n_words", F.coalesce("hits", nothing).alias("hits"))
+    return rows.join(found, "key", "left").select("key", "row", "words", F.size("words").alias("n_words"), F.coalesce("hits", nothing).alias("hits"))
 
 
 def covered_spans(hits: Column) -> Column:
@@ -152,7 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         lookup = F.broadcast(lookup)
     hits = (
         marked.select(
-            F.monotonically_increasing_id().alias("key"), F.col("row.doc_id").alias("doc_id"), "n_words",
+            "key", F.col("row.doc_id").alias("doc_id"), "n_words",
             n_covered(F.col("hits")).alias("n_hit"),
             F.array_distinct(F.transform("hits", lambda h: h["gram"])).alias("found"),
         )
@@ -172,13 +175,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any hit, unchanged; no shuffle while the set is bounded."""
     marked, _ = with_hits(docs, benchmark, window)
-    return marked.where(F.size("hits") == 0).select("row.*")
+    return marked.where((F.size("hits") == 0) & (F.col("key") >= 0)).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` where the text of a hit document is the normalised words outside its hits."""
     marked, _ = with_hits(docs, benchmark, window)
-    words = normal_words(F.col("row.text"))
+    words = F.col("words")
     spans = covered_spans(F.col("hits"))
     starts = F.concat(F.array(F.lit(1)), F.transform(spans, lambda s: s["stop"]))
     stops = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.col("n_words") + 1))

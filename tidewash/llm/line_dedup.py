@@ -40,9 +40,11 @@ def line_windows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines = docs.select(
         "doc_id", F.xxhash64("doc_id", "text").alias("key"),
         F.transform(split_lines(F.col("text")), lambda x: F.rtrim(x, F.lit(TRAIL))).alias("lines"),
-    ).where(F.size("lines") >= LINES)
+    )
+    # No filter on the number of lines: Spark would cut the text once for the filter and once for the windows.
+    starts = F.when(F.size("lines") >= LINES, F.sequence(F.lit(1), F.size("lines") - (LINES - 1))).otherwise(F.array().cast("array<int>"))
     window = F.transform(
-        F.sequence(F.lit(1), F.size("lines") - (LINES - 1)),
+        starts,
         lambda i: F.struct(
             i.alias("pos"), F.xxhash64(*_lines_at(i)).alias("h1"), F.hash(*_lines_at(i)).alias("h2"),
             sum((F.length(x) for x in _lines_at(i)), F.lit(0)).alias("chars"),
