@@ -249,8 +249,6 @@ WIDE_SHINGLE = 5
 WIDE_SEEDS = (42, 43, 44, 45)
 #: Sampled keys of a wide fingerprint; at a similarity of 0.9 a pair shares one with 99 %, at 0.8 with about 72 %.
 WIDE_KEYS = 48
-#: Differing bits of the first 64 up to which a meeting is verified; at a similarity of 0.8 9.7 differ on average.
-WIDE_RADIUS = 16
 #: Members of a hot key that all its slices hold.
 ANCHORS = 64
 #: Up to so many rows of 16-byte keys are broadcast.
@@ -297,46 +295,232 @@ def bounded(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def similar_pairs(texts: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (low, high) of different texts whose distinct shingles have the Jaccard similarity asked for.
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables of whole groups (rows equal in ``names``), each with the starts of its groups and its end."""
+    held: pa.Table | None = None  # the last group may go on in the next batch
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        if not rows.num_rows:
+            continue
+        starts = _starts(rows, names)
+        held = rows.slice(int(starts[-1]))
+        if len(starts) > 1:
+            yield rows.slice(0, int(starts[-1])).combine_chunks(), starts
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.array([0, held.num_rows])
 
-    ``texts`` has id (16 bytes, its digest) and text; copies are harmless. Every pair returned
-    is verified on all shingles of both texts; keys find pairs with the chances above.
+
+def _starts(rows: pa.Table, names: list[str]) -> np.ndarray:
+    changes = np.zeros(rows.num_rows, bool)
+    changes[0] = True
+    for name in names:
+        values = rows[name].to_numpy()
+        changes[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(changes)
+
+
+def _open(sizes: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether pairs can have the similarity: the first shingle they share has ``at`` others of its set before it."""
+    need = np.ceil(similarity / (1 + similarity) * (sizes[a] + sizes[b]) - 1e-6)
+    return np.minimum(sizes[a] - at[a], sizes[b] - at[b]) >= need
+
+
+def first_meetings(starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of whole groups, and the members of groups over SMALL_GROUP.
+
+    Small groups give all pairs that can be similar. Large ones give those of one hub, which
+    only unite most of a group of near copies; ``second_meetings`` looks at all the others.
+    """
+    counts = np.diff(starts)
+    small = np.repeat(counts <= SMALL_GROUP, counts)
+    rest = np.repeat(starts[1:], counts) - np.arange(len(sizes)) - 1  # members behind each
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lag in range(1, SMALL_GROUP):
+        one = np.flatnonzero(small & (rest >= lag))
+        if not len(one):
+            break
+        one = one[_open(sizes, at, one, one + lag, similarity)]
+        left.append(one)
+        right.append(one + lag)
+    for k in np.flatnonzero(counts > SMALL_GROUP).tolist():
+        members = np.arange(starts[k], starts[k + 1])
+        hub = members[np.argmin(at[members])]  # the one with the fewest shingles of its own
+        others = members[members != hub]
+        others = others[_open(sizes, at, np.full(len(others), hub), others, similarity)]
+        left.append(np.full(len(others), hub))
+        right.append(others)
+    return np.concatenate(left), np.concatenate(right), np.flatnonzero(~small)
+
+
+def second_meetings(sizes: np.ndarray, at: np.ndarray, roots: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs of a large group that can be similar and are not united yet; None if those are very many."""
+    counts = np.bincount(roots)
+    none = np.zeros(0, np.int64)
+    if len(sizes) ** 2 - (counts**2).sum() > 2 * SMALL_GROUP * len(sizes):
+        return None
+    largest = roots == np.argmax(counts)
+    left, right = [none], [none]
+    for one in np.flatnonzero(~largest).tolist():
+        others = np.flatnonzero((roots != roots[one]) & (largest | (np.arange(len(roots)) > one)))
+        others = others[_open(sizes, at, np.full(len(others), one), others, similarity)]
+        left.append(np.full(len(others), one))
+        right.append(others)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def similar_forest(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs of a group that connect, with ``roots``, what all its similar pairs connect.
+
+    A member is taken off only when it is united or its similarity on all shingles is enough.
     """
+    sizes = np.array([len(s) for s in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    n_codes = int(code.max()) + 1 if len(code) else 0
+    is_left, n_left, n_indexed = np.ones(len(sets), bool), len(sets), 2 * len(sets)
+    low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    frontier: list[int] = []
+    while n_left:
+        if not frontier:
+            frontier.append(int(np.argmax(is_left)))
+            is_left[frontier[0]] = False
+        one = frontier.pop()
+        united = np.flatnonzero(is_left & (roots == roots[one]))
+        is_left[united] = False
+        frontier.extend(united.tolist())
+        n_left = int(is_left.sum())
+        if 2 * n_left <= n_indexed:  # the members with each shingle, of those that are left
+            rows = np.flatnonzero(is_left[owner])
+            rows = rows[np.argsort(code[rows], kind="stable")]
+            holders, n_indexed = owner[rows], n_left
+            ends = np.cumsum(np.bincount(code[rows], minlength=n_codes))
+        own = code[first[one] : first[one + 1]]
+        lengths = ends[own] - np.where(own > 0, ends[own - 1], 0)
+        places = np.arange(lengths.sum()) + np.repeat(ends[own] - np.cumsum(lengths), lengths)
+        common = np.bincount(holders[places], minlength=len(sets))
+        near = np.flatnonzero(is_left & (common > 0) & (common >= similarity * (sizes + sizes[one] - common)))
+        is_left[near] = False
+        n_left -= len(near)
+        frontier.extend(near.tolist())
+        low.append(np.full(len(near), one))
+        high.append(near)
+    return np.concatenate(low), np.concatenate(high)
+
+
+def wide_dealt(texts: DataFrame, shingle: int) -> DataFrame:
+    """Rows (key, window, id, size, at) of the texts that may be similar if they share key and window."""
     n = texts.select(F.approx_count_distinct("id")).first()[0]
     masks = wide_masks(n)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            wide = np.array([wide_fingerprint(shingle_hashes(t, shingle)) for t in batch["text"].to_pylist()], np.uint64)
-            wide = wide.reshape(-1, len(WIDE_SEEDS))
-            key = np.zeros((len(wide), WIDE_KEYS), np.uint64)
+            sets = [shingle_hashes(t, shingle) for t in batch["text"].to_pylist()]
+            wide = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, len(WIDE_SEEDS))
+            key = np.zeros((len(wide), WIDE_KEYS), np.uint64) + np.arange(WIDE_KEYS, dtype=np.uint64)
             for k in range(len(WIDE_SEEDS)):
                 key = (key ^ wide[:, k : k + 1] & masks[None, :, k]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(32)
             each = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, WIDE_KEYS), pa.int32()), pa.array(key.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(wide[:, 0].view(np.int64)), each], ["id", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(s) for s in sets], pa.int32()), each], ["id", "size", "keys"])
 
-    marked = written(texts.mapInArrow(keys, "id binary, fp bigint, keys array<bigint>"), "wide-keys")
-    keyed = marked.groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    keyed = keyed.select("id", "fp", F.posexplode("keys").alias("choice", "key"))
-    sizes = written(keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "wide-groups")
-    shared = keyed.join(sizes, ["choice", "key"])
+    marked = written(texts.mapInArrow(keys, "id binary, size int, keys array<bigint>"), "wide-keys")
+    keyed = marked.groupBy("id").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    keyed = keyed.select("id", "size", F.explode("keys").alias("key"), F.lit(0).alias("at"))
+    sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "wide-groups")
     # A hot key is dealt over slices; all of them hold its anchors, by which its near copies are connected.
     n_slices = F.ceil(F.col("n") / HOT_KEY).cast("int")
     own = F.array(F.pmod(F.xxhash64("id"), n_slices).cast("int"))
     anchor = (n_slices > 1) & (F.pmod(F.xxhash64("id", "key"), F.col("n")) < ANCHORS)
-    dealt = shared.select("choice", "key", "id", "fp", F.explode(F.when(anchor, F.sequence(F.lit(0), n_slices - 1)).otherwise(own)).alias("window"))
-    pairs = written(meetings(dealt, WIDE_RADIUS), "wide-pairs")
+    windows = F.when(anchor, F.sequence(F.lit(0), n_slices - 1)).otherwise(own)
+    return keyed.join(sizes, "key").select("key", F.explode(windows).alias("window"), "id", "size", "at")
+
+
+def similar_pairs(texts: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (low, high) of different texts whose distinct shingles have the Jaccard similarity asked for.
+
+    ``texts`` has id (16 bytes, its digest) and text; copies are harmless. Every pair returned
+    is verified on all shingles of both texts, and the pairs connect whatever candidates of the
+    given similarity connect: a pair is passed over only if both are connected already.
+    """
+    names = ["key", "window"]
+    schema = "key bigint, window int, low binary, high binary, root binary, size int, at int"
+
+    def out(rows: pa.Table, a: np.ndarray, b: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
+        """Pairs, and members of groups that are still to be looked at, as rows of one table."""
+        no = lambda of: pa.nulls(len(a), rows.schema.field(of).type)
+        of = lambda name, at: rows[name].combine_chunks().take(pa.array(at))
+        root = of("root", members) if "root" in rows.column_names else pa.nulls(len(members), pa.binary())
+        both = lambda x, y: pa.concat_arrays([x, y])
+        return pa.RecordBatch.from_arrays([
+            both(no("key"), of("key", members)), both(no("window"), of("window", members)),
+            both(of("id", a), of("id", members)), both(of("id", b), pa.nulls(len(members), pa.binary())),
+            both(pa.nulls(len(a), pa.binary()), root), both(no("size"), of("size", members)), both(no("at"), of("at", members)),
+        ], ["key", "window", "low", "high", "root", "size", "at"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches, names):
+            yield out(rows, *first_meetings(starts, rows["size"].to_numpy(), rows["at"].to_numpy(), similarity))
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for rows, starts in whole_groups(batches, names):
+            for lo, hi in itertools.pairwise(starts.tolist()):
+                group = rows.slice(lo, hi - lo)
+                roots = group["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+                found = second_meetings(group["size"].to_numpy(), group["at"].to_numpy(), roots, similarity)
+                yield out(group, none, none, np.arange(hi - lo)) if found is None else out(group, *found, none)
+
+    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches, names):
+            for lo, hi in itertools.pairwise(starts.tolist()):
+                group = rows.slice(lo, hi - lo)
+                roots = group["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+                a, b = similar_forest([np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()], roots, similarity)
+                ids = group["id"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["low", "high"])
+
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*names).sortWithinPartitions(*names)
+
+    def sides(met: DataFrame) -> DataFrame:
+        ordered = met.where("high IS NOT NULL").select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high"))
+        return ordered.distinct()
+
+    members = ["key", "window", F.col("low").alias("id"), "size", "at"]
+    met = written(together(wide_dealt(texts, shingle)).mapInArrow(first, schema), "wide-first")
+    similar = written(verified(texts, written(sides(met), "wide-pairs"), shingle, similarity), "similar")
+    large = met.where("high IS NULL").select(*members)
+    if large.isEmpty():
+        return similar
+    roots = written(components(similar), "wide-roots")
+    large = large.join(roots, F.col("id") == F.col("node"), "left").select("key", "window", "id", "size", "at", F.coalesce("root", "id").alias("root"))
+    met = written(together(large).mapInArrow(second, schema), "wide-second")
+    similar = similar.unionByName(verified(texts, written(sides(met), "wide-pairs"), shingle, similarity))
+    crowded = met.where("high IS NULL").select(*members, "root")
+    if crowded.isEmpty():
+        return similar
+    sets = shingle_sets(texts, crowded.select(F.col("id").alias("wanted")).distinct(), shingle)
+    crowded = crowded.join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("key", "window", "id", "root", "hashes")
+    return similar.unionByName(together(crowded).mapInArrow(third, "low binary, high binary"))
+
+
+def shingle_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(id, hashes) of the texts that are ``wanted``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             hashes = [shingle_hashes(t, shingle).tobytes() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(hashes, pa.binary())], ["id", "hashes"])
 
-    wanted = pairs.select(F.explode(F.array("low", "high")).alias("wanted")).distinct()
     found = texts.join(bounded(wanted), F.col("id") == F.col("wanted"), "left_semi").mapInArrow(sets, "id binary, hashes binary")
-    found = written(found, "shingle-sets", compression="zstd").groupBy("id").agg(F.first("hashes").alias("hashes"))
+    return written(found, "shingle-sets", compression="zstd").groupBy("id").agg(F.first("hashes").alias("hashes"))
+
+
+def verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (low, high; written) that have the similarity on all their shingles."""
+    found = shingle_sets(texts, pairs.select(F.explode(F.array("low", "high")).alias("wanted")).distinct(), shingle)
     both = pairs.join(found.select(F.col("id").alias("low"), F.col("hashes").alias("a")), "low").join(
         found.select(F.col("id").alias("high"), F.col("hashes").alias("b")), "high"
     )
