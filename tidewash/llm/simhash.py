@@ -246,11 +246,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 SIMILARITY = 0.8
 WIDE_SHINGLE = 5
-WIDE_SEEDS = (42, 43, 44, 45)
-#: Sampled keys of a wide fingerprint; at a similarity of 0.9 a pair shares one with 99 %, at 0.8 with about 72 %.
-WIDE_KEYS = 48
-#: Members of a hot key that all its slices hold.
-ANCHORS = 64
+#: Texts in which the common shingles are counted, and how many shingles are known as common at most.
+SAMPLE_TEXTS = 32_768
+MAX_COMMON = 1 << 19
 #: Up to so many rows of 16-byte keys are broadcast.
 MAX_BROADCAST = 2_000_000
 
@@ -264,32 +262,6 @@ def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarr
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(gram), seed) for gram in grams), np.uint64))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit fingerprint for each of WIDE_SEEDS, from the distinct shingles of a text."""
-    counts = np.zeros((len(WIDE_SEEDS), 64), np.int64)
-    for at in range(0, len(hashes), ROWS_AT_ONCE):
-        some = hashes[at : at + ROWS_AT_ONCE]
-        for k in range(len(WIDE_SEEDS)):
-            # Hashes of another seed: the first hash, mixed with an odd number of its own.
-            mixed = some * np.uint64(2 * k + 0x9E3779B97F4A7C15)
-            mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-            mixed ^= mixed >> np.uint64(29)
-            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[k] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<u8").reshape(-1)
-
-
-def wide_masks(n: int) -> np.ndarray:
-    """For each key, a mask on every word of the wide fingerprint; as many bits as ``n`` texts need."""
-    rng = np.random.default_rng(11)
-    bits = max(16, min(40, int(np.ceil(np.log2(max(n, 2)))) + 3))
-    masks = np.zeros((WIDE_KEYS, len(WIDE_SEEDS)), np.uint64)
-    for row in masks:
-        for b in rng.choice(64 * len(WIDE_SEEDS), bits, replace=False).tolist():
-            row[b // 64] |= np.uint64(1 << b % 64)
-    return masks
-
-
 def bounded(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     """``df`` marked for broadcast if it has few rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -409,40 +381,75 @@ def similar_forest(sets: list[np.ndarray], roots: np.ndarray, similarity: float)
     return np.concatenate(low), np.concatenate(high)
 
 
-def wide_dealt(texts: DataFrame, shingle: int) -> DataFrame:
-    """Rows (key, window, id, size, at) of the texts that may be similar if they share key and window."""
-    n = texts.select(F.approx_count_distinct("id")).first()[0]
-    masks = wide_masks(n)
+def common_shingles(texts: DataFrame, one_of: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several of the sampled texts have, and how many have them.
+
+    They only set the order of rarity; any order finds the same pairs.
+    """
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            some = np.concatenate([np.zeros(0, np.uint64), *(shingle_hashes(t, shingle) for t in batch["text"].to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], ["hash"])
+
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(one_of)) == 0).groupBy("id").agg(F.first("text").alias("text"))
+    counted = sample.mapInArrow(hashes, "hash bigint").groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    counted = written(counted.where("n > 1"), "common-shingles")
+    least, known = 2, 0
+    for n, how_many in sorted(map(tuple, counted.groupBy("n").count().collect()), reverse=True):
+        known += how_many
+        if known > MAX_COMMON:
+            least = n + 1
+            break
+    found = counted.where(F.col("n") >= least).coalesce(8).toArrow()
+    hash_, n = found["hash"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(hash_)
+    return hash_[order], n[order].astype(np.int32)
+
+
+def rarest(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of a text, one of which each similar text has among its own rarest; with their sample counts.
+
+    A similar text shares at least ``similarity`` of these shingles, so it cannot miss all of one
+    more than the rest; and of the shared shingles the rarest stands among the rarest of both.
+    """
+    known, counts = common
+    count = np.zeros(len(hashes), np.int32)
+    if len(known):
+        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        count = np.where(known[place] == hashes, counts[place], 0)
+    order = np.lexsort((hashes, count))[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]
+    return hashes[order], count[order]
+
+
+def wide_dealt(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Rows (key, window, id, size, at): similar texts share a key, a shingle, and a window of it.
+
+    ``at`` is the number of shingles of the text that are rarer than the key.
+    """
+    one_of = max(1, texts.select(F.approx_count_distinct("id")).first()[0] // SAMPLE_TEXTS)
+    common = common_shingles(texts, one_of, shingle)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_hashes(t, shingle) for t in batch["text"].to_pylist()]
-            wide = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, len(WIDE_SEEDS))
-            key = np.zeros((len(wide), WIDE_KEYS), np.uint64) + np.arange(WIDE_KEYS, dtype=np.uint64)
-            for k in range(len(WIDE_SEEDS)):
-                key = (key ^ wide[:, k : k + 1] & masks[None, :, k]) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(32)
-            each = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, WIDE_KEYS), pa.int32()), pa.array(key.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(s) for s in sets], pa.int32()), each], ["id", "size", "keys"])
-
-    marked = written(texts.mapInArrow(keys, "id binary, size int, keys array<bigint>"), "wide-keys")
-    keyed = marked.groupBy("id").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
-    keyed = keyed.select("id", "size", F.explode("keys").alias("key"), F.lit(0).alias("at"))
-    sizes = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "wide-groups")
-    # A hot key is dealt over slices; all of them hold its anchors, by which its near copies are connected.
-    n_slices = F.ceil(F.col("n") / HOT_KEY).cast("int")
-    own = F.array(F.pmod(F.xxhash64("id"), n_slices).cast("int"))
-    anchor = (n_slices > 1) & (F.pmod(F.xxhash64("id", "key"), F.col("n")) < ANCHORS)
-    windows = F.when(anchor, F.sequence(F.lit(0), n_slices - 1)).otherwise(own)
-    return keyed.join(sizes, "key").select("key", F.explode(windows).alias("window"), "id", "size", "at")
+            each = [rarest(s, common, similarity) if len(s) else (s, np.zeros(0, np.int32)) for s in sets]
+            ends = np.cumsum([0, *(len(k) for k, _ in each)]).astype(np.int32)
+            flat = pa.array(np.concatenate([k.view(np.int64) for k, _ in each]))
+            lists = [pa.ListArray.from_arrays(pa.array(ends), flat)]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(s) for s in sets], pa.int32()), *lists], ["id", "size", "keys"])
+
+    marked = texts.mapInArrow(keys, "id binary, size int, keys array<bigint>")
+    marked = marked.groupBy("id").agg(F.first(F.struct("size", "keys")).alias("m")).select("id", "m.*")
+    return marked.select("id", "size", F.posexplode("keys").alias("at", "key")).select("key", F.lit(0).alias("window"), "id", "size", "at")
 
 
 def similar_pairs(texts: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (low, high) of different texts whose distinct shingles have the Jaccard similarity asked for.
 
     ``texts`` has id (16 bytes, its digest) and text; copies are harmless. Every pair returned
-    is verified on all shingles of both texts, and the pairs connect whatever candidates of the
-    given similarity connect: a pair is passed over only if both are connected already.
+    is verified on all shingles of both texts, and the pairs connect whatever all similar pairs
+    connect: a pair is passed over only if both are connected already.
     """
     names = ["key", "window"]
     schema = "key bigint, window int, low binary, high binary, root binary, size int, at int"
@@ -489,7 +496,7 @@ def similar_pairs(texts: DataFrame, shingle: int = WIDE_SHINGLE, similarity: flo
         return ordered.distinct()
 
     members = ["key", "window", F.col("low").alias("id"), "size", "at"]
-    met = written(together(wide_dealt(texts, shingle)).mapInArrow(first, schema), "wide-first")
+    met = written(together(wide_dealt(texts, shingle, similarity)).mapInArrow(first, schema), "wide-first")
     similar = written(verified(texts, written(sides(met), "wide-pairs"), shingle, similarity), "similar")
     large = met.where("high IS NULL").select(*members)
     if large.isEmpty():
