@@ -435,13 +435,17 @@ def wide_dealt(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
             sets = [shingle_hashes(t, shingle) for t in batch["text"].to_pylist()]
             each = [rarest(s, common, similarity) if len(s) else (s, np.zeros(0, np.int32)) for s in sets]
             ends = np.cumsum([0, *(len(k) for k, _ in each)]).astype(np.int32)
-            flat = pa.array(np.concatenate([k.view(np.int64) for k, _ in each]))
-            lists = [pa.ListArray.from_arrays(pa.array(ends), flat)]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(s) for s in sets], pa.int32()), *lists], ["id", "size", "keys"])
-
-    marked = texts.mapInArrow(keys, "id binary, size int, keys array<bigint>")
-    marked = marked.groupBy("id").agg(F.first(F.struct("size", "keys")).alias("m")).select("id", "m.*")
-    return marked.select("id", "size", F.posexplode("keys").alias("at", "key")).select("key", F.lit(0).alias("window"), "id", "size", "at")
+            flat = [pa.array(np.concatenate(x)) for x in ([k.view(np.int64) for k, _ in each], [np.ceil(c * (one_of / HOT_KEY)).clip(1).astype(np.int32) for _, c in each])]
+            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in flat]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(s) for s in sets], pa.int32()), *lists], ["id", "size", "keys", "parts"])
+
+    marked = texts.mapInArrow(keys, "id binary, size int, keys array<bigint>, parts array<int>")
+    marked = marked.groupBy("id").agg(F.first(F.struct("size", "keys", "parts")).alias("m")).select("id", "m.*")
+    keyed = marked.select("id", "size", F.posexplode(F.arrays_zip("keys", "parts")).alias("at", "k"))
+    # A hot key is dealt over slices, each pair of which is a window: own slice and each other one.
+    own, n = F.pmod(F.xxhash64("id"), F.col("k.parts")).cast("int"), F.col("k.parts")
+    windows = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.least(x, own) * n + F.greatest(x, own))
+    return keyed.select(F.col("k.keys").alias("key"), F.explode(windows).alias("window"), "id", "size", "at")
 
 
 def similar_pairs(texts: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
