@@ -67,6 +67,20 @@ def test_licence_classes_and_screening():
     assert (model.probabilities([paragraphs[k] for k in skipped]).argmax(axis=1) == 0).all()
 
 
+def test_screening_keeps_what_none_does_not_hold():
+    """"None" is the largest class, but with many others close behind it has less than a half."""
+    weights = np.zeros((licenses.FEATURES, len(licenses.CLASSES)))
+    bias = np.zeros(len(licenses.CLASSES))
+    for temperature in (0.5, 1.0, 2.0):
+        bias[0] = 0.9 * temperature * np.log(len(bias) - 1)
+        model = licenses.Model(weights, bias, temperature)
+        p = model.probabilities(["Released under the MIT License."])[0]
+        assert p.argmax() == 0 and p[0] < 0.5 and model.candidates(["Released under the MIT License."]).tolist() == [0]
+        bias[0] = 1.1 * temperature * np.log(len(bias) - 1)
+        model = licenses.Model(weights, bias, temperature)
+        assert model.probabilities(["Released."])[0][0] > 0.5 and not len(model.candidates(["Released."]))
+
+
 def test_licence_edge_cases(spark):
     schema = "doc_id bigint, text string, family string"
     rows = [(1, None), (2, ""), (3, "\n \n"), (None, "Released under the MIT License."), (4, "w " * 50_000 + "Licensed under the Apache License, Version 2.0."), (4, "a\nReleased under the MIT License.\nb")]

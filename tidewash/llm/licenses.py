@@ -8,7 +8,8 @@ calibrates it. A predicted family counts only if a template of that family agree
 paragraph in enough of its words; a notice that no template confirms is "unknown".
 
 Most paragraphs are settled by one sum: each feature has a bound on what it can add to any
-class over "none", and a paragraph whose bound is negative is "none" without looking further.
+class over "none", and a paragraph whose bound proves a probability of 0.5 is "none" without
+looking further.
 
 Defined results: a null or empty text has no paragraphs; repeated rows are scanned one by one;
 an empty table gives no rows, and the classifier is then trained without "none" paragraphs of
@@ -179,14 +180,18 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
     def candidates(self, paragraphs: list[str]) -> np.ndarray:
-        """The paragraphs that may be of another class than "none"."""
+        """The paragraphs that may have a probability of "none" below 0.5.
+
+        It is 0.5 at least where each other class lies temperature x ln(their number) below "none".
+        """
         n = len(paragraphs)
+        margin = self.bound_bias + self.temperature * float(np.log(len(CLASSES) - 1))
         text, feature = grams(Words(paragraphs, LETTERS, lower=True))
-        open_ = np.bincount(text, self.bound[feature], n) + self.bound_bias >= 0
+        open_ = np.bincount(text, self.bound[feature], n) + margin >= 0
         # The same with each feature once, so that what speaks against counts too.
         rest = open_[text] & (self.most[feature] != 0)
         text, feature = np.divmod(_distinct(text[rest] * FEATURES + feature[rest]), FEATURES)
-        return np.flatnonzero(open_ & (np.bincount(text, self.most[feature], n) + self.bound_bias >= 0))
+        return np.flatnonzero(open_ & (np.bincount(text, self.most[feature], n) + margin >= 0))
 
     def families(self, paragraphs: list[str]) -> list[tuple[int, str, float]]:
         """(number, family, probability) of the paragraphs that are notices."""
