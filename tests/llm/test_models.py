@@ -88,3 +88,23 @@ def test_licence_edge_cases(spark):
     got = [(r.doc_id, r.n_paragraphs if r.doc_id != 4 or r.n_paragraphs < 5 else "many", sorted({n.family for n in r.notices})) for r in licenses.scan(docs, licenses.fit(docs)).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, []), (2, 0, []), (3, 0, []), (None, 1, ["MIT"]), (4, "many", ["Apache-2.0"]), (4, 3, ["MIT"])], key=str)
     assert licenses.scan(docs.limit(0), licenses.fit(docs.limit(0))).count() == 0
+
+
+WRAPPED = {
+    "MIT": "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.",
+    "BSD": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:",
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+}
+
+
+def test_wrapped_notices(spark):
+    names = list(WRAPPED)
+    plain = "The cat sat on the mat.\nIt was a long day in the town\nand the rain did not stop."
+    rows = [(k, f"{plain}\n\n{WRAPPED[name]}\n\n{plain}") for k, name in enumerate(names)] + [(9, plain)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in licenses.scan(docs, licenses.fit(given)).collect()}
+    assert not got[9].notices
+    for k, name in enumerate(names):
+        assert name in {n.family for n in got[k].notices}, (name, got[k].notices)
+        assert got[k].n_paragraphs == len(licenses.paragraphs_of(rows[k][1]))

@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs (lines; long lines in overlapping windows) are classed by a multinomial logistic
+Paragraphs (lines, and windows over consecutive lines, as notices are often wrapped; long ones
+in overlapping windows) are classed by a multinomial logistic
 regression on hashed 1- to 3-grams of words. It is trained with numpy on variants of short
 licence notices, on notices of no known licence, and on a bounded number of paragraphs of the
 corpus as the class "none"; one temperature, fitted on notices kept from the training,
@@ -18,6 +19,7 @@ the corpus. Extra columns are not carried.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -135,17 +137,40 @@ def distinct_grams(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.divmod(_distinct(text * FEATURES + feature), FEATURES)
 
 
+def units_of(line: str) -> list[str]:
+    """The line, if it has words; a long line as windows of PARAGRAPH_WORDS words that overlap by half."""
+    if line.count(" ") < PARAGRAPH_WORDS:
+        return [line] if line and not line.isspace() else []
+    words = line.split()
+    step = PARAGRAPH_WORDS // 2
+    return [" ".join(words[k : k + PARAGRAPH_WORDS]) for k in range(0, max(1, len(words) - step), step)]
+
+
 def paragraphs_of(text: str | None) -> list[str]:
-    """Lines with words; a long line as windows of PARAGRAPH_WORDS words that overlap by half."""
-    found = []
-    for line in (text or "").split("\n"):
-        if line.count(" ") < PARAGRAPH_WORDS:
-            if line and not line.isspace():
-                found.append(line)
+    """The units of all lines."""
+    return [unit for line in (text or "").split("\n") for unit in units_of(line)]
+
+
+def joined_lines(text: str | None) -> list[tuple[str, int, int]]:
+    """Windows over consecutive lines with words that reach over a line's end, with the first and last unit they touch."""
+    found: list[tuple[str, int, int]] = []
+    words: list[str] = []
+    ends: list[int] = []  # words up to the end of each line of the block
+    firsts: list[int] = [0]  # the first unit of each line, and of the next
+    step = PARAGRAPH_WORDS // 2
+    for line in [*(text or "").split("\n"), ""]:
+        own = line.split()
+        if own:
+            words += own
+            ends.append(len(words))
+            firsts.append(firsts[-1] + len(units_of(line)))
             continue
-        words = line.split()
-        step = PARAGRAPH_WORDS // 2
-        found += [" ".join(words[k : k + PARAGRAPH_WORDS]) for k in range(0, max(1, len(words) - step), step)]
+        if len(ends) > 1:
+            for k in range(0, max(1, len(words) - step), step):
+                one, last = bisect.bisect_right(ends, k), bisect.bisect_left(ends, min(k + PARAGRAPH_WORDS, len(words)))
+                if one < last:
+                    found.append((" ".join(words[k : k + PARAGRAPH_WORDS]), firsts[one], firsts[last + 1] - 1))
+        words, ends, firsts = [], [], [firsts[-1] + len(units_of(line))]
     return found
 
 
@@ -159,6 +184,29 @@ def agreement_set(paragraph: str) -> frozenset[str]:
     return frozenset([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))])
 
 
+def shares_of(words: frozenset[str]) -> dict[str, float]:
+    return {name: max(len(t & words) / len(t) for t in sets) for name, sets in template_sets().items()}
+
+
+def with_joined(found: list[dict], joined: list[dict]) -> list[dict]:
+    """The notices of single units and those of joined lines (with the ``last`` unit) that add to them.
+
+    A family confirmed over several lines replaces unknown ones of its lines that resemble it most.
+    """
+    for notice in joined:
+        inside = [x for x in found if notice["paragraph"] <= x["paragraph"] <= notice["last"]]
+        if notice["family"] == UNKNOWN and inside or any(x["family"] == notice["family"] for x in inside):
+            continue
+        parts = []
+        if notice["family"] != UNKNOWN:
+            for x in inside:
+                shares = shares_of(agreement_set(x["text"])) if x["family"] == UNKNOWN else {}
+                if shares and max(shares, key=shares.get) == notice["family"]:
+                    parts.append(x)
+        found = [x for x in found if not any(x is y for y in parts)] + [{k: v for k, v in notice.items() if k != "last"}]
+    return sorted(found, key=lambda x: x["paragraph"])
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # FEATURES x classes
@@ -205,7 +253,7 @@ class Model:
                 continue
             family = CLASSES[2:][int(np.argmax(p[2:]))]
             words = agreement_set(paragraph)
-            shares = {name: max(len(t & words) / len(t) for t in sets) for name, sets in template_sets().items()}
+            shares = shares_of(words)
             if max(shares.values()) < RESEMBLANCE:
                 continue
             confirmed = p[CLASSES.index(family)] >= p[1] and shares[family] >= AGREEMENT
@@ -287,7 +335,10 @@ def fit(docs: DataFrame, max_docs: int = MAX_NONE_DOCS) -> Model:
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_paragraphs, and the notices (paragraph from 0, family, probability, text) of each document."""
+    """doc_id, n_paragraphs, and the notices (paragraph from 0, family, probability, text) of each document.
+
+    Joined lines are not counted as paragraphs; a notice over several has the number of its first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         notice = pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("text", pa.string())])
@@ -299,6 +350,15 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             for k, family, p in model.families(every):
                 doc = int(np.searchsorted(first, k, side="right")) - 1
                 found[doc].append({"paragraph": k - int(first[doc]), "family": family, "probability": round(p, 6), "text": every[k]})
+            windows = [joined_lines(text) for text in batch["text"].to_pylist()]
+            every_window = [w for of_doc in windows for w in of_doc]
+            first = np.cumsum([0, *map(len, windows)])
+            joined: list[list[dict]] = [[] for _ in each]
+            for k, family, p in model.families([w for w, _, _ in every_window]):
+                text, one, last = every_window[k]
+                doc = int(np.searchsorted(first, k, side="right")) - 1
+                joined[doc].append({"paragraph": one, "family": family, "probability": round(p, 6), "text": text, "last": last})
+            found = [with_joined(a, b) if b else a for a, b in zip(found, joined)]
             columns = [batch["doc_id"], pa.array(map(len, each), pa.int64()), pa.array(found, pa.list_(notice))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_paragraphs", "notices"])
 
