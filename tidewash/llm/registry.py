@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewash.llm import decontaminate, licenses, line_dedup, main_text, packing, quality, sharding, simhash, token_files, top_k
+from tidewash.llm import decontaminate, licenses, line_dedup, main_text, packing, quality, runs, sharding, simhash, token_files, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_html_extraction": main_text.op9_html_extraction,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 #: The others are checked against brute force in tests/llm: their results hang on tokenizers, hashes or trained weights.
