@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewash.llm import decontaminate, licenses, line_dedup, main_text, packing, quality, runs, sharding, simhash, token_files, top_k, whitening
+from tidewash.llm import decontaminate, epsilon_grid, licenses, line_dedup, main_text, packing, quality, runs, sharding, simhash, token_files, top_k, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_html_extraction": main_text.op9_html_extraction,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op11_embedding_near_dedup": epsilon_grid.op11_embedding_near_dedup,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op6_exact_top_k": top_k.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
+    "op11_embedding_near_dedup": epsilon_grid.ORACLE,
 }
