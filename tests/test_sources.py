@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import zipfile
 from datetime import datetime
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewash.plans.cleaning import clean
 from tidewash.session import shared_folder
-from tidewash.sources import generator, listing, sessions as S, tables as T, workbook as W
+from tidewash.sources import csv_records, generator, listing, sessions as S, tables as T, workbook as W
 from tidewash.sources.headers import trim_headers
 
 
@@ -36,6 +37,87 @@ def test_csv_line_breaks_and_surplus_cells(spark, tmp_path):
         T.read_csv(spark, str(tmp_path / "w.csv"))
 
 
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_csv_loses_no_cell(spark, tmp_path):
+    for k, text in enumerate(["a,b\n1,2\n3,4,,lost\n", 'a,b\n1,"2\n"\n3,4,,lost\n', 'a,b\n1,2\n3,4,\n', 'a,b\n1,"x, ""y""",z\n']):
+        (tmp_path / f"{k}.csv").write_text(text)
+        with pytest.raises(ValueError, match="1 rows have more cells"):
+            T.read_csv(spark, str(tmp_path / f"{k}.csv"))
+    (tmp_path / "few.csv").write_text('a,b,c\n1\n2,"x,""y\n"\n\n  \n3,5" pipe,\n')
+    assert sorted(map(tuple, T.read_csv(spark, str(tmp_path / "few.csv")).collect())) == [(1, None, None), (2, 'x,"y\n', None), (3, '5" pipe', None)]
+
+
+@pytest.mark.parametrize("cell", ["x", '"x\ny"'])
+def test_csv_headers_of_files_must_agree(spark, tmp_path, cell):
+    for name, header in (("1.csv", "a,b"), ("2.csv", "b,a"), ("3.csv", "a,b")):
+        (tmp_path / name).write_text(f"{header}\n1,{cell}\n")
+    with pytest.raises(Exception, match="header"):
+        T.read_csv(spark, [str(tmp_path / n) for n in ("1.csv", "2.csv")]).collect()
+    assert T.read_csv(spark, [str(tmp_path / n) for n in ("1.csv", "3.csv")]).count() == 2
+    (tmp_path / "open.csv").write_text('a,b\n1,"x\n2,y\n')
+    with pytest.raises(ValueError, match="does not end"):
+        T.read_csv(spark, str(tmp_path / "open.csv"))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_with_line_breaks_is_read_by_many_tasks(spark, tmp_path, small_splits, end):
+    rng = random.Random(end)
+    rows = []
+    for k in range(400):
+        text = "".join(rng.choice(['"', ",", end, "a", " b", "é", '""', "\n"]) for _ in range(rng.choice([0, 1, 3, 12])))
+        rows.append((k, text, f'{k}" pipe', end * 600 if k % 90 == 7 else "t"))  # some records go over several splits
+    quote = lambda t: '"' + t.replace('"', '""') + '"'
+    body = "".join(f"{k},{quote(a)},{b},{quote(c)}{end}" for k, a, b, c in rows)
+    (tmp_path / "many.csv").write_bytes(("id,text,size,long" + end + body).encode())
+    (tmp_path / "other.csv").write_bytes(f"id,text,size,long{end}1000,x,y,z".encode())
+    files = [str(tmp_path / "many.csv"), str(tmp_path / "other.csv")]
+    lines = csv_records.physical_lines(spark, files)
+    assert lines.rdd.getNumPartitions() > 20
+    states = csv_records.split_states(csv_records.split_maps(lines)).collect()
+    assert sum(r["inside"] for r in states) > 5 and any(r["inside"] and r["opener"] < r["block"] - 300 for r in states)
+    got = {r.id: tuple(r)[1:] for r in T.read_csv(spark, files).collect()}
+    expected = pd.read_csv(tmp_path / "many.csv", na_filter=False, lineterminator=None)
+    assert len(got) == 401 and got[1000] == ("x", "y", "z")
+    tokens = {"", "NA", "n/a"}
+    for k, a, b, c in rows:
+        assert got[k] == (None if a in tokens else a, b, c)
+    if end == "\n":
+        assert [got[k][0] or "" for k in range(400)] == expected["text"].tolist()
+
+
+def test_csv_lone_carriage_returns(spark, tmp_path):
+    (tmp_path / "r.csv").write_bytes(b'a,b\r1,"x\ry"\r2,z\r')
+    assert sorted(map(tuple, T.read_csv(spark, str(tmp_path / "r.csv")).collect())) == [(1, "x\ny"), (2, "z")]  # one kind of line end
+
+
+def test_csv_states_of_lines():
+    cases = ['', 'a,b', '"a"', '"a', 'a,"b', '"a""', '"a"",b', '5" x,"y', '5" x,y"', '"a"b"c,d', '"a",,"', ',', '"', '""', '"""', 'x","y', '","', '"a,b",c"']
+    for line in cases:
+        for inside in (False, True):
+            state = "in" if inside else "start"
+            at = 0
+            while at < len(line):  # the machine that a reader of one character at a time is
+                ch = line[at]
+                if state == "in":
+                    if ch == '"':
+                        if line[at + 1 : at + 2] == '"':
+                            at += 1
+                        else:
+                            state = "cell"
+                elif ch == ",":
+                    state = "start"
+                else:
+                    state = "in" if ch == '"' and state == "start" else "cell"
+                at += 1
+            assert csv_records._after(line, inside) == (state == "in"), (line, inside)
+
+
 def test_csv_sink_keeps_fractions(spark):
     df = spark.sql("SELECT 1 AS k, TIMESTAMP_NTZ '2021-01-01 10:00:00.123456' AS t UNION ALL SELECT 2, TIMESTAMP_NTZ '2021-01-01 10:00:00'")
     folder = shared_folder(spark, "fractions")
