@@ -22,8 +22,7 @@ def test_value_counts_ties_and_nulls(spark):
 
 
 def test_few_or_many(df):
-    assert H.has_few_values(df, "few") and not H.has_few_values(df, "many") and H.has_few_values(df, "s")
-    assert not H.has_few_values(df, "y")
+    assert H.few_valued(df, ["few", "many", "s", "y"]) == {"few", "s"} and H.few_valued(df, []) == set()
 
 
 def test_bar_branches(df):
@@ -50,12 +49,46 @@ def test_render_skips(df):
         H.ChartSpec("histogram", "A", "few"), H.ChartSpec("bar", "B", "ghost"), H.ChartSpec("scatter", "C", "y"),
         H.ChartSpec("bar", "D", "few", "s"), H.ChartSpec("bar", "E", "s", "ghost"), H.ChartSpec("radar", "F", "s"),
     ]
-    assert {r.title for r in H.render_charts(df, specs, "i").select("title").distinct().collect()} == {"A", "E"}
+    assert {r.title for r in H.render_charts(df, specs, "i").select("title").distinct().collect()} == {"A", "C", "E", "F"}
+    empty = [(r.title, r.pos, r.label) for r in H.render_charts(df, specs, "i").collect() if r.title in "CF"]
+    assert sorted(empty) == [("C", None, None), ("F", None, None)]
     report = {r.title for r in H.render_charts(df, specs, "i", report=True).select("title").distinct().collect()}
     assert report == {"A", "C", "E", "F"}
     assert H.render_charts(df, [H.ChartSpec("bar", "B", "ghost")]) is None
 
 
+def test_counts_and_means_take_one_pass(spark, tmp_path):
+    data = [(i, float(i % 7) - 3.0, i % 5, f"k{i % 9}", None if i % 4 == 0 else i / 3, i % 2 == 0) for i in range(400)] + [(401, -0.0, None, "", None, None)]
+    spark.createDataFrame(data, "i int, d double, n int, s string, y double, b boolean").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).withColumn("t", F.to_timestamp_ntz(F.concat(F.lit("2024-0"), F.col("n") + 1, F.lit("-01")))).withColumn("m", F.col("d").cast("decimal(9,2)"))
+    specs = [H.ChartSpec(kind, f"{kind} {x} {y}", x, y) for kind, y in (("histogram", None), ("pie", None), ("bar", None), ("bar", "y")) for x in ("d", "n", "s", "b", "t", "m")]
+    for report in (False, True):
+        got = H.render_charts(df, specs, "i", report).orderBy("chart_id", "pos").collect()
+        for number, spec in enumerate(specs):
+            title, alone = H.chart_data(df, spec, "i", report)
+            expected = [(title, r.pos, r.label, pytest.approx(r.value)) for r in alone.orderBy("pos").collect()]
+            assert [(r.title, r.pos, r.label, r.value) for r in got if r.chart_id == number] == expected
+    items = [H._item(df, k, s, {"d", "n", "s", "b", "t"}, False, "direct") for k, s in enumerate(specs) if s.x_axis != "m"]
+    assert {i.shows for i in items} == {H.COUNTS, H.MEANS}
+    plan = H.grouped_charts(df, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1
+
+
+def test_charts_that_fail_at_run_time(df):
+    broken = df.withColumn("bad", F.when(F.col("i") == 250, F.raise_error(F.lit("no such value"))).otherwise(F.col("few")))
+    broken = broken.withColumn("worse", F.when(F.col("i") == 250, F.raise_error(F.lit("no number"))).cast("double"))
+    specs = [
+        H.ChartSpec("histogram", "A", "few"), H.ChartSpec("pie", "B", "bad"), H.ChartSpec("bar", "C", "few", "worse"), H.ChartSpec("bar", "D", "bad", "y"),
+        H.ChartSpec("scatter", "E", "few", "y"), H.ChartSpec("scatter", "F", "bad", "y"), H.ChartSpec("bar", "G", "few", "y"), H.ChartSpec("line", "H", "y", "worse"),
+    ]
+    for report, expected in ((False, {"A", "E", "G (Average)"}), (True, {"A", "E", "G"})):
+        got = H.render_charts(broken, specs, "i", report)
+        assert {r.title for r in got.collect()} == expected
+        good = [s for s in specs if s.title in "AEG"]
+        rows_of = lambda frame: sorted(tuple(r)[1:] for r in frame.collect())
+        assert str(rows_of(got)) == str(rows_of(H.render_charts(df, good, "i", report)))
+
+
 def test_suggestions():
     names = lambda columns: [(s.chart_type, s.x_axis, s.y_axis) for s in H.suggest_charts(columns)]
     assert names(["Gender", "Age"]) == [("histogram", "Age", None), ("pie", "Gender", None)]

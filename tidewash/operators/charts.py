@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from typing import TypeVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidewash.functions.columns import clean_value, col, is_numeric, row_order, value_text
 from tidewash.session import shared_folder
 
 log = logging.getLogger(__name__)
+R = TypeVar("R")
 
 # How many entries a chart shows, on the page and in the report.
 PAGE_LIMITS = {"histogram": 10, "pie": 6, "bar": 15, "scatter": 100, "line": 50, "mean": 15}
@@ -185,19 +188,23 @@ def bar_means(df: DataFrame, x: str, y: str, k: int = PAGE_LIMITS["mean"]) -> Da
     return _numbered(top, F.col("key")).select("pos", label.alias("label"), "value")
 
 
-def has_few_values(df: DataFrame, x: str, limit: int = MEAN_VALUES) -> bool:
-    """Fewer than ``limit`` distinct non-null values, without moving all of them.
+def few_valued(df: DataFrame, names: Sequence[str], limit: int = MEAN_VALUES) -> set[str]:
+    """Those of the columns that have fewer than ``limit`` distinct non-null values, in two jobs for all of them.
 
-    Values are first counted by hash bucket, at most KEY_BUCKETS groups. As many
-    buckets as the limit prove as many values; only below it are the values
-    themselves counted, and then there are few of them.
+    Values are first counted by hash bucket, at most KEY_BUCKETS of them a column. As many
+    buckets as the limit prove as many values; only below it are the values themselves counted,
+    and then there are few of them.
     """
-    value = clean_value(df, x)
-    present = df.filter(value.isNotNull())
-    buckets = present.select(F.pmod(F.xxhash64(value), F.lit(KEY_BUCKETS)).alias("b")).distinct().count()
-    if buckets >= limit:
-        return False
-    return present.select(value.alias("v")).distinct().limit(limit).count() < limit
+    if not names:
+        return set()
+    bucket = lambda x: F.when(clean_value(df, x).isNotNull(), F.pmod(F.xxhash64(clean_value(df, x)), F.lit(KEY_BUCKETS)))
+    buckets = df.agg(*[F.size(F.collect_set(bucket(x))).alias(f"n{i}") for i, x in enumerate(names)]).first()
+    open_ = [x for i, x in enumerate(names) if buckets[i] < limit]
+    if not open_:
+        return set()
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("at"), _label(df, x).alias("label")) for i, x in enumerate(open_)])).alias("v")).select("v.*")
+    counts = dict(values.filter(F.col("label").isNotNull()).distinct().groupBy("at").count().collect())
+    return {x for i, x in enumerate(open_) if counts.get(i, 0) < limit}
 
 
 def bar_raw(df: DataFrame, x: str, y: str, order_by=None, limit: int = PAGE_LIMITS["bar"]) -> DataFrame:
@@ -207,26 +214,53 @@ def bar_raw(df: DataFrame, x: str, y: str, order_by=None, limit: int = PAGE_LIMI
 
 # -- dispatch -----------------------------------------------------------------------
 
-def chart_data(df: DataFrame, spec: ChartSpec, order_by=None, report: bool = False, mode: str = "direct") -> tuple[str, DataFrame | None]:
-    """(title, rows) of one chart in the common shape; rows are None for a chart without data."""
+COUNTS, MEANS, POINTS, NOTHING = "counts", "means", "points", "nothing"
+
+
+@dataclass(frozen=True)
+class _Item:
+    """One chart to draw: what it shows of which columns, and how much of it."""
+
+    number: int
+    kind: str
+    title: str
+    shows: str
+    x: str
+    y: str | None = None
+    limit: int | None = None
+    sort_x: bool = False
+
+    def rows(self, df: DataFrame, order_by) -> DataFrame:
+        if self.shows == COUNTS:
+            return _common(value_counts(df, self.x, self.limit))
+        if self.shows == MEANS:
+            return _common(bar_means(df, self.x, self.y, self.limit))
+        return _common(points(df, self.x, self.y, order_by, self.limit, self.sort_x))
+
+
+def _item(df: DataFrame, number: int, spec: ChartSpec, few: set[str], report: bool, mode: str) -> _Item:
     limits = REPORT_LIMITS if report else PAGE_LIMITS
     kind, x, y = spec.chart_type, spec.x_axis, spec.y_axis
     has_y = y is not None and y in df.columns
+    item = _Item(number, kind, spec.title, NOTHING, x, y)
     if kind in ("histogram", "pie"):
-        return spec.title, _common(value_counts(df, x, limits[kind]))
-    if kind == "scatter" and has_y:
-        return spec.title, _common(scatter_points(df, x, y, order_by, limits[kind]))
-    if kind == "line" and has_y:
-        return spec.title, _common(line_points(df, x, y, order_by, limits[kind]))
+        return replace(item, shows=COUNTS, limit=limits[kind])
+    if kind in ("scatter", "line") and has_y:
+        return replace(item, shows=POINTS, limit=limits[kind], sort_x=kind == "line")
     if kind == "bar" and has_y:
         if report:
-            return spec.title, _common(bar_means(df, x, y, limits["mean"]))
-        if has_few_values(df, x):
-            return spec.title + MEAN_SUFFIX[mode], _common(bar_means(df, x, y, limits["mean"]))
-        return spec.title, _common(bar_raw(df, x, y, order_by, limits["bar"]))
-    if kind == "bar" or report:
-        return spec.title, _common(value_counts(df, x, limits["bar"]))
-    return spec.title, None
+            return replace(item, shows=MEANS, limit=limits["mean"])
+        if x in few:
+            return replace(item, shows=MEANS, title=spec.title + MEAN_SUFFIX[mode], limit=limits["mean"])
+        return replace(item, shows=POINTS, limit=limits["bar"])
+    return replace(item, shows=COUNTS, limit=limits["bar"]) if kind == "bar" or report else item
+
+
+def chart_data(df: DataFrame, spec: ChartSpec, order_by=None, report: bool = False, mode: str = "direct") -> tuple[str, DataFrame | None]:
+    """(title, rows) of one chart in the common shape; rows are None for a chart without data, as one whose y is absent."""
+    means = not report and spec.chart_type == "bar" and spec.y_axis in df.columns
+    item = _item(df, 0, spec, few_valued(df, [spec.x_axis]) if means else set(), report, mode)
+    return item.title, None if item.shows == NOTHING else item.rows(df, order_by)
 
 
 def _common(rows: DataFrame) -> DataFrame:
@@ -241,19 +275,107 @@ def _common(rows: DataFrame) -> DataFrame:
     )
 
 
+def _label(df: DataFrame, name: str) -> Column:
+    """The text of a value; zeros of both signs are one."""
+    value, kind = clean_value(df, name), df.schema[name].dataType
+    return value_text(value + F.lit(0.0).cast(kind) if isinstance(kind, (T.FloatType, T.DoubleType)) else value, kind)
+
+
+def _order_key(df: DataFrame, name: str) -> Column | None:
+    """A value as a struct that sorts as the value does, of one type for all columns; None if there is none."""
+    value, kind = clean_value(df, name), df.schema[name].dataType
+    whole, number, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        whole = value.cast("bigint")
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        number = value.cast("double") + F.lit(0.0)
+    elif isinstance(kind, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        text = value.cast("string")  # times as ISO texts sort by time
+    else:
+        return None
+    return F.struct(whole.alias("whole"), number.alias("number"), text.alias("text"))
+
+
+def grouped_charts(df: DataFrame, items: Sequence[_Item]) -> DataFrame:
+    """The rows of all charts of counts and means, in one pass over ``df``.
+
+    Every row gives one (group, key, label, y) for each pair of columns that is charted; groups
+    are merged before they move, and ranked up to the longest chart on both sides of the shuffle.
+    """
+    groups = list(dict.fromkeys((i.shows, i.x, i.y if i.shows == MEANS else None) for i in items))
+    tagged = []
+    for at, (shows, x, y) in enumerate(groups):
+        label = _label(df, x)
+        key = _order_key(df, x) if shows == MEANS else None
+        value = clean_value(df, y).cast("double") if shows == MEANS else F.lit(None).cast("double")
+        none = F.lit(None).cast("struct<whole:bigint,number:double,text:string>")
+        tagged.append(F.struct(F.lit(at).alias("group"), (none if key is None else key).alias("key"), label.alias("label"), value.alias("y")))
+    rows = df.select(F.explode(F.array(*tagged)).alias("t")).select("t.*").filter(F.col("label").isNotNull())
+    tallies = rows.groupBy("group", "key", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
+    longest = max(i.limit for i in items)
+    first = Window.partitionBy("group").orderBy(F.when(F.col("key").isNull(), -F.col("n")), "key", "label")
+    ranked = tallies.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= longest)
+    charts = df.sparkSession.createDataFrame(
+        [(i.number, i.kind, i.title, groups.index((i.shows, i.x, i.y if i.shows == MEANS else None)), i.limit, i.shows == MEANS) for i in items],
+        "chart_id int, chart_type string, title string, chart_group int, most int, is_mean boolean",
+    )
+    met = ranked.join(F.broadcast(charts), (F.col("group") == F.col("chart_group")) & (F.col("rank") <= F.col("most")))
+    return met.select(
+        "chart_id", "chart_type", "title", (F.col("rank") - 1).cast("bigint").alias("pos"), "label",
+        F.when(F.col("is_mean"), F.col("mean")).otherwise(F.col("n").cast("double")).alias("value"), *[F.lit(None).cast(t).alias(c) for c, t in NO_POINT.items()],
+    )
+
+
+NO_POINT = {"x": "double", "y": "double", "x_text": "string", "y_text": "string"}
+CHART_ROWS = "chart_id int, chart_type string, title string, pos bigint, label string, value double, x double, y double, x_text string, y_text string"
+
+
 def render_charts(df: DataFrame, specs: Sequence[ChartSpec], order_by=None, report: bool = False, mode: str = "direct") -> DataFrame | None:
-    """All charts of a list as one long table; a chart that fails or lacks its x column is left out."""
-    frames = []
-    for i, spec in enumerate(specs):
-        if spec.x_axis not in df.columns:
-            continue
-        try:
-            title, rows = chart_data(df, spec, order_by, report, mode)
-        except (TypeError, PySparkException) as problem:
-            log.warning("chart %s skipped: %s", spec.title, problem)
-            continue
-        if rows is not None:
-            frames.append(
-                rows.select(F.lit(i).alias("chart_id"), F.lit(spec.chart_type).alias("chart_type"), F.lit(title).alias("title"), "*")
-            )
-    return reduce(DataFrame.unionByName, frames) if frames else None
+    """All charts of a list as one long table; a chart that fails, also at run time, or lacks its x column is left out.
+
+    All counts and means take one pass together; only when that fails is each of them tried
+    alone. A chart without data, as one whose y column is absent, is one row without pos and
+    label. Rows of charts with a limit come to the driver; the report's others are written.
+    """
+    spark = df.sparkSession
+    wanted = [(i, s) for i, s in enumerate(specs) if s.x_axis in df.columns]
+    numeric = lambda s: s.y_axis in df.columns and is_numeric(df.schema[s.y_axis].dataType)
+    bars = {} if report else {s.x_axis: None for _, s in wanted if s.chart_type == "bar" and s.y_axis in df.columns}
+    few = _tried(lambda: few_valued(df, list(bars)), "distinct values")
+    if few is None:  # a column fails: each by itself
+        few = {x for x in bars if _tried(lambda x=x: few_valued(df, [x]), x)}
+    items = []
+    for number, spec in wanted:
+        item = _item(df, number, spec, few, report, mode)
+        if item.shows == MEANS and not numeric(spec):
+            log.warning("chart %s skipped: %s is not numeric", spec.title, spec.y_axis)
+        else:
+            items.append(item)
+    together = [i for i in items if i.shows == COUNTS or (i.shows == MEANS and _order_key(df, i.x) is not None)]
+    found = _tried(lambda: grouped_charts(df, together).collect(), "charts of counts and means") if together else []
+    alone = [i for i in items if i.shows != NOTHING and (found is None or i not in together)]
+    rows, frames = list(found or []), []
+    for item in alone:
+        named = lambda item=item: item.rows(df, order_by).select(F.lit(item.number).alias("chart_id"), F.lit(item.kind).alias("chart_type"), F.lit(item.title).alias("title"), "*")
+        if item.limit is None:
+            frames += [f for f in [_tried(lambda: _written(named()), item.title)] if f is not None]
+        else:
+            rows += _tried(lambda: named().collect(), item.title) or []
+    rows += [(i.number, i.kind, i.title, *[None] * 7) for i in items if i.shows == NOTHING]
+    if rows or not frames:
+        frames.append(spark.createDataFrame(rows, CHART_ROWS))
+    return reduce(DataFrame.unionByName, frames) if items else None
+
+
+def _tried(run: Callable[[], R], what: str) -> R | None:
+    try:
+        return run()
+    except (TypeError, PySparkException, Py4JJavaError) as problem:
+        log.warning("%s skipped: %s", what, problem)
+        return None
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    folder = shared_folder(rows.sparkSession, "chart")
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(CHART_ROWS).parquet(folder)

@@ -87,6 +87,7 @@ _SPECS = [
     H.ChartSpec("scatter", "Points", "o_custkey", "o_totalprice"),
     H.ChartSpec("bar", "No mean", "o_orderstatus", "o_orderpriority"),
     H.ChartSpec("line", "No column", "ghost", "o_totalprice"),
+    H.ChartSpec("scatter", "No y", "o_custkey", "ghost"),
 ]
 
 
@@ -112,6 +113,7 @@ def _means(i: int, title: str, k: int) -> str:
     _pairs(3, "bar", "Price by customer", 15),
     _counted(4, "bar", "Priorities", "o_orderpriority", 15),
     _pairs(5, "scatter", "Points", 100),
+    "SELECT 8, 'scatter', 'No y', NULL, NULL, NULL, NULL, NULL",
 ]))
 def render_charts(spark, sf):
     rendered = H.render_charts(order_gaps(spark, sf), _SPECS, order_by="o_orderkey")
@@ -127,7 +129,8 @@ def render_charts(spark, sf):
     _counted(4, "bar", "Priorities", "o_orderpriority", 10),
     """SELECT 5, 'scatter', 'Points', NULL, CAST(o_custkey AS VARCHAR), o_totalprice, CAST(o_custkey AS DOUBLE), o_totalprice
       FROM t WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL""",
-    """SELECT 8, 'line', 'Prices', row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1, CAST(o_custkey AS VARCHAR), o_totalprice,
+    _counted(8, "scatter", "No y", "o_custkey", 10),
+    """SELECT 9, 'line', 'Prices', row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1, CAST(o_custkey AS VARCHAR), o_totalprice,
       CAST(o_custkey AS DOUBLE), o_totalprice FROM t WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL""",
 ]))
 def render_report_charts(spark, sf):
