@@ -1,11 +1,13 @@
 """Packing and token files: round trips against the tokenizer on whole texts."""
 
+import functools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidewash.llm import packing, token_files
+from tidewash.llm import packing, token_files, tokens
 from tidewash.llm.tokens import default_tokenizer, encoder
 
 TEXTS = [
@@ -19,8 +21,11 @@ def frame(spark, rows):
     return spark.createDataFrame([(a, b, "x", 1) for a, b in rows], SCHEMA)
 
 
+library = functools.cache(lambda: encoder(default_tokenizer()).tokenizer)
+
+
 def whole(text, end):
-    return encoder(default_tokenizer()).tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+    return library().encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def crc(ids):
@@ -35,6 +40,21 @@ def test_encoder_is_the_tokenizer():
     assert encode.encode_all([], 9) == []
 
 
+def test_long_texts_go_in_portions(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 50)
+    encode = encoder(default_tokenizer())
+    texts = [TEXTS[0][1] * 9, "x" * 300, "", None, "é " * 200, "a\n" * 100 + "b" * 120 + " <|endoftext|> end", " " * 400]
+    for text, ids in zip(texts, encode.encode_all(texts, 9)):
+        assert ids.tolist() == whole(text, 9)
+
+
+def test_slices_keep_rows_and_bytes_small():
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * n for n in (10, 2000, 5, 5, 9000, 1, 1, 1)] * 40})
+    parts = list(tokens.slices([batch], 64, 4000))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert max(p.num_rows for p in parts) <= 64 and all(p.num_rows == 1 or p.nbytes <= 4000 for p in parts)
+
+
 def test_packs_every_piece_once(spark):
     packed = packing.pack(frame(spark, TEXTS), capacity=64)
     rows = packed.collect()

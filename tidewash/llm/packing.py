@@ -39,7 +39,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """The pieces of all documents, written: ids as little-endian integers, ``deal`` deals equal lengths out."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, width = encoder(tokenizer), id_type(encoder(tokenizer).vocabulary)
+        encode = encoder(tokenizer)
+        width = id_type(encode.vocabulary)
         dealt = 0
         for batch in slices(batches):
             rows = []

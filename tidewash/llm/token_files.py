@@ -98,7 +98,8 @@ def token_table(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """doc_id, n_tokens, tie (tells equal doc_ids apart) and ids of every document, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, width = encoder(tokenizer), id_type(encoder(tokenizer).vocabulary)
+        encode = encoder(tokenizer)
+        width = id_type(encode.vocabulary)
         tie = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             ids = encode.encode_all(batch["text"].to_pylist(), end)
@@ -134,8 +135,8 @@ def ranks(tokens: DataFrame, vocabulary: int) -> DataFrame:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
     """Encodes all texts and writes ``path``/ranks and ``path``/blocks in ascending doc_id order."""
     tokenizer = tokenizer or default_tokenizer()
-    vocabulary = max(encoder(tokenizer).vocabulary, end + 1)
-    width = id_type(encoder(tokenizer).vocabulary)
+    known = encoder(tokenizer).vocabulary
+    vocabulary, width = max(known, end + 1), id_type(known)
     tokens = token_table(docs, tokenizer, end)
     order = ranks(tokens, vocabulary)
     rank_of = np.zeros(vocabulary, np.uint32)

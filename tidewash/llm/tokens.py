@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the ``tokenizers`` library, each common word encoded once a worker.
+"""Token ids of whole texts by the ``tokenizers`` library, each common word encoded once a task.
 
 The word tokenizer drops white space and never joins characters across it, so a text is
 encoded blank by blank. Chunks of printable ASCII and Latin-1 letters are cut into letter
@@ -10,7 +10,6 @@ the key, so a hit is exact. Tests hold the ids against encoding the whole text.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -20,16 +19,21 @@ import numpy as np
 SLOTS = 1 << 20
 KEPT_IDS = 1 << 23
 PROBES = 4
-#: Letter runs and long chunks that a worker keeps.
-MAX_RUNS = 400_000
+#: Letter runs and long chunks that a task keeps.
+MAX_RUNS = 200_000
 MAX_LONG = 50_000
 #: Longest chunk of the table in bytes: three 64-bit words, the top byte of the last is the length.
 KEY_BYTES = 23
 
 # Printable ASCII without apostrophe (contractions) and "<" (special tokens), and Latin-1 letters.
 SIMPLE = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+EDGE = re.compile(rb"[ \n]")
 RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
+#: Texts are worked on in slices of at most so many rows and about so many bytes; a longer text in portions.
+SLICE_ROWS = 256
+SLICE_BYTES = 4 << 20
+
 MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 ALPHANUMERIC = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -126,6 +130,11 @@ class WordEncoder:
     def encode_all(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """Ids of each text without special tokens, then ``end``; null is the empty text."""
         raw = [(text or "").encode() for text in texts]
+        if max(map(len, raw), default=0) > 2 * SLICE_BYTES:
+            return [self._in_portions(text, end) for text in raw]
+        return self._encode(raw, end)
+
+    def _encode(self, raw: list[bytes], end: int) -> list[np.ndarray]:
         data = b"\n".join([*raw, b" " * 32])
         if self.used + 3 * len(data) > len(self.ids):  # a byte gives one id, normalisation at most three bytes
             self._forget(max(KEPT_IDS, 6 * len(data)))
@@ -151,13 +160,22 @@ class WordEncoder:
         tail = np.array([end], np.uint32)
         return [np.concatenate([ids[a:b], tail]) for a, b in zip(cuts, cuts[1:])]
 
+    def _in_portions(self, raw: bytes, end: int) -> np.ndarray:
+        """The ids of one text, encoded portion by portion, cut at blanks: no id reaches across one."""
+        parts, at = [], 0
+        while at < len(raw):
+            blank = EDGE.search(raw, at + SLICE_BYTES)
+            to = blank.start() if blank else len(raw)
+            parts.append(self._encode([raw[at:to]], end)[0][:-1])
+            at = to
+        return np.concatenate([*parts, np.array([end], np.uint32)])
+
     def encode(self, text: str | None, end: int) -> np.ndarray:
         return self.encode_all([text], end)[0]
 
 
-@functools.cache
 def encoder(path: str) -> WordEncoder:
-    """One for each worker, kept over its tasks."""
+    """One for each task: what a worker kept over its tasks would take memory from all later ones."""
     return WordEncoder(path)
 
 
@@ -166,8 +184,14 @@ def id_type(vocabulary: int) -> type:
     return np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
 
-def slices(batches: Iterable, rows: int = 256) -> Iterator:
-    """Arrow batches in short slices, so that only a few texts at a time are Python objects."""
+def slices(batches: Iterable, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator:
+    """Arrow batches in short slices, by rows and bytes, so that only a few texts at a time are Python objects."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        open_ = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while open_:
+            part = open_.pop()
+            half = part.num_rows // 2
+            if half and part.nbytes > size:
+                open_ += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
