@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -204,7 +205,11 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (low, high): the smallest node that it is connected with."""
+    """(node, root) for every node of ``edges`` (low, high): the smallest node that it is connected with.
+
+    Each round's smallest neighbours are written, so that both sides of a join have a shuffle of
+    their own and Spark can split the edges of a large component, which all have its root.
+    """
     edges = written(edges.select(F.greatest("low", "high").alias("u"), F.least("low", "high").alias("v")).where("u <> v"), "edges")
     before = None
     while True:
@@ -213,10 +218,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("center"), F.least("u", "m").alias("m"))
+        lowest = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("center"), F.least("u", "m").alias("m")), "lowest")
         large = both.join(lowest, F.col("u") == F.col("center")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u <> v").distinct(), "large-star")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("center"), "m")
+        lowest = written(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("center"), "m"), "lowest")
         met = large.join(lowest, F.col("u") == F.col("center"))
         small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select(F.col("center").alias("u"), F.col("m").alias("v")))
         edges = written(small.distinct(), "small-star")
@@ -232,7 +237,7 @@ def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     members = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first_id"
     )
-    smallest = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    smallest = written(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     of_fp = members.join(smallest, "root").select(F.col("fp").alias("known"), "component_id")
     return marked.join(of_fp, marked["fp"] == of_fp["known"], "left").drop("known")
 
@@ -548,19 +553,29 @@ def verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float
     return both.select("low", "high", "a", "b").mapInArrow(verify, "low binary, high binary")
 
 
+def _place(docs: DataFrame) -> Column:
+    """Where a row of a scan stands: a digest of its file's path, and its number there."""
+    at = docs.metadataColumn("_metadata")
+    return F.struct(F.unhex(F.md5(at["file_path"])).alias("file"), at["row_index"].alias("row_index"))
+
+
 def one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that with the smallest doc_id (nulls last).
 
-    Exact copies, repeated rows and, as one group, texts without words belong together. Rows
-    are told apart by their place in the files, so ``docs`` must be a scan of files.
+    Exact copies, repeated rows and, as one group, texts without words belong together. Rows are
+    told apart by file and row in it, whatever splits they are read in; where ``docs`` is no scan
+    of files, it is written first.
     """
+    try:
+        docs.metadataColumn("_metadata")
+        docs.select(_place(docs)).schema
+    except AnalysisException:
+        docs = written(docs, "documents", compression="zstd")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     blank = F.trim(F.translate(text, "\t\n\x0b\f\r", "     ")) == ""
     digest = F.unhex(F.md5(F.when(blank, F.lit("")).otherwise(text)))
-    numbered = docs.select(whole_row(docs).alias("row"), F.monotonically_increasing_id().alias("number"))
-    places = written(
-        docs.select(F.monotonically_increasing_id().alias("number"), digest.alias("id"), F.col("doc_id").alias("doc_id")), "places"
-    )
+    numbered = docs.select(whole_row(docs).alias("row"), _place(docs).alias("number"))
+    places = written(docs.select(_place(docs).alias("number"), digest.alias("id"), F.col("doc_id").alias("doc_id")), "places")
     pairs = similar_pairs(docs.select(digest.alias("id"), text.alias("text")), shingle, similarity)
     roots = components(written(pairs, "similar"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "number"))
