@@ -34,6 +34,34 @@ def test_quality_edge_cases(spark):
     assert quality.good_documents(docs.limit(0), labels).count() == 0
 
 
+def test_one_row_of_a_labelled_id_trains(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(2, "other"), (3, None), (3, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1)], "doc_id bigint, quality int")
+    rows = quality.training_rows(docs, labels, 100).collect()
+    known = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(r.doc_id for r in rows) == known
+
+
+def test_neighbours_of_all_documents(spark):
+    texts = ["a b c a b", None, "", "x", "b c d e " * 50, "x y"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    sums = np.zeros((quality.BUCKETS, quality.DIMENSIONS))
+    for text in texts:
+        quality.neighbour_sums([text], sums)
+    assert sums.any() and np.array_equal(quality.all_neighbours(docs), sums)
+    assert not quality.all_neighbours(docs.limit(0)).any()
+
+
+def test_features_of_a_long_text_in_portions(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = " ".join(rng.choice(["a", "Bc.", "d,", "word", "word"], 4000)) + "  \n"
+    model = quality.Model(rng.normal(0, 1, (quality.BUCKETS, quality.DIMENSIONS)), np.zeros(1), np.ones(1), [], 1.0)
+    whole = model.features([text, "short", None])
+    monkeypatch.setattr(quality, "SLICE_BYTES", 300)
+    assert len(list(quality.portions(text.encode(), 300))) > 10
+    assert np.allclose(model.features([text, "short", None]), whole, atol=1e-12)
+
+
 def test_temperature_lowers_the_loss():
     rng = np.random.default_rng(0)
     z = rng.normal(0, 1, 5000)

@@ -2,13 +2,14 @@
 
 Every word, and every shape of a word (case, marks at its ends, length, whether it repeats the
 word before), has a bucket; every bucket a fixed sparse random index vector. A bucket's vector
-is its index vector plus those of its neighbours, summed over the training texts (random
-indexing: no matrix is factorised). A document is the mean of the vectors of its words and of
+is its index vector plus those of its neighbours, summed over all documents (random indexing: no
+matrix is factorised): a task sums whole numbers in one table, and tasks add those up. A document is the mean of the vectors of its words and of
 its shapes, over the whole text. A small network, trained with numpy on the driver, turns that
 into a probability, calibrated by one temperature on labelled rows kept from the training.
 
-It learns from at most ``max_labelled`` labelled documents (those with the smallest hash of
-their id), so the fit takes the same time at any size; scoring is one pass without a shuffle.
+The network learns from at most ``max_labelled`` labelled documents (those with the smallest hash
+of their id; of rows with one id, one); scoring is one pass without a shuffle. A text over some
+megabytes is gone through in portions; its neighbours across their edges are not counted.
 Labels, lang, source and doc_id are no inputs of a score. Defined results: a null or empty
 text has the zero vector and the score of that; a null doc_id counts as the empty text in
 crc32; of several labels of one id the lowest counts; without both labels in the training rows
@@ -17,16 +18,18 @@ every score is the share of ones (0.5 without labels); an empty table gives no r
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewash.llm.shared import table, whole_row
-from tidewash.llm.tokens import slices
+from tidewash.llm.tokens import SLICE_BYTES, slices
 from tidewash.llm.word_hashes import NOT_BLANK, Words, mixed
 
 MAX_LABELLED = 20_000
@@ -41,8 +44,9 @@ THRESHOLD = 0.3
 HELD_OUT_OF = 5
 VALIDATION = 5
 SEED = 7
-#: Tasks, at most, that sum neighbours; each sends one table of BUCKETS x DIMENSIONS (whole numbers, so any order adds up alike).
-FIT_TASKS = 8
+#: Tasks that add up the tables of all tasks before the last one.
+MERGERS = 16
+BLANK = re.compile(rb"[\t-\r ]")
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +84,7 @@ def neighbour_sums(texts: list[str | None], sums: np.ndarray) -> None:
     places, signs = index_vectors()
     text, word, shape = bucketed(texts)
     flat = sums.reshape(-1)
-    for distance in range(1, WINDOW + 1):
+    for distance in range(1, min(WINDOW, max(len(text) - 1, 0)) + 1):
         near = text[distance:] == text[:-distance]
         for mine in (word, shape):
             for theirs in (word, shape):
@@ -100,7 +104,22 @@ class Model:
     constant: float | None = None
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        text, word, shape = bucketed(texts)
+        long = [k for k, text in enumerate(texts) if len(text or "") > SLICE_BYTES]
+        if not long:
+            return self._features(texts)
+        out = self._features([None if len(text or "") > SLICE_BYTES else text for text in texts])
+        for k in long:
+            sums, n = np.zeros(out.shape[1] - 1), 0
+            for portion, words_before in portions(texts[k].encode(), SLICE_BYTES):
+                part = self._features([portion.decode()], words_before)[0]
+                words = round(np.expm1(part[-1]))
+                sums, n = sums + part[:-1] * words, n + words
+            out[k] = [*(sums / max(n, 1)), np.log1p(n)]
+        return out
+
+    def _features(self, texts: list[str | None], skip: int = 0) -> np.ndarray:
+        """Features of texts; the first ``skip`` words only stand before the others."""
+        text, word, shape = (x[skip:] for x in bucketed(texts))
         n = np.bincount(text, minlength=len(texts)).astype(np.float64)[: len(texts)]
         pooled = []
         for buckets in (word, shape):
@@ -126,6 +145,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.features(texts)) / self.temperature, -30, 30)))
 
 
+def portions(raw: bytes, size: int) -> Iterator[tuple[bytes, int]]:
+    """A text cut at blanks about every ``size`` bytes; each portion but the first after the word before it (1, else 0)."""
+    at, before = 0, b""
+    while at < len(raw):
+        blank = BLANK.search(raw, at + size)
+        to = blank.start() if blank else len(raw)
+        yield before + raw[at:to], 1 if before else 0
+        words = raw[at:to].rstrip()
+        before = words[max(words.rfind(x) for x in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")) + 1 :] or before
+        at = to
+
+
 def train_network(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     """Two layers by Adam on the log loss, with small weight decay."""
     rng = np.random.default_rng(SEED)
@@ -166,22 +197,40 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Data
     chosen = known.where(id_hash(F.col("doc_id")) % HELD_OUT_OF != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     chosen = chosen.select(F.col("doc_id").alias("labelled"), "quality")
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "quality")
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("quality").alias("quality"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    # The scan keeps all its tasks; coalesce bounds those behind the shuffle, whose tables go to the driver.
-    rows = training_rows(docs, labels, max_labelled).repartition("doc_id").coalesce(FIT_TASKS)
+def all_neighbours(docs: DataFrame) -> np.ndarray:
+    """``neighbour_sums`` over all rows: one table a task, added up in tasks; the driver gets one."""
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((BUCKETS, DIMENSIONS))
-        for batch in slices(batches):
-            neighbour_sums(batch["text"].to_pylist(), sums)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<f4").tobytes()], pa.binary())], ["sums"])
+        for batch in slices(batches, 1 << 16):
+            texts = batch["text"].to_pylist()
+            for text in texts:
+                if len(text or "") > SLICE_BYTES:
+                    for portion, _ in portions(text.encode(), SLICE_BYTES):
+                        neighbour_sums([portion.decode()], sums)
+            neighbour_sums([text for text in texts if len(text or "") <= SLICE_BYTES], sums)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "sums": [sums.tobytes()]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BUCKETS * DIMENSIONS)
+        for batch in batches:
+            for held in batch["sums"]:
+                sums += np.frombuffer(held.as_buffer())
+        yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "sums": [sums.tobytes()]})
+
+    schema = "part int, sums binary"
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tables, schema).repartition(MERGERS, F.pmod("part", F.lit(MERGERS)))
+    held = parts.mapInArrow(add, schema).coalesce(1).mapInArrow(add, schema).first()
+    return np.frombuffer(held["sums"]).reshape(BUCKETS, DIMENSIONS) if held else np.zeros((BUCKETS, DIMENSIONS))
+
 
-    sums = np.zeros((BUCKETS, DIMENSIONS))
-    for r in rows.select("text").mapInArrow(tables, "sums binary").collect():  # FIT_TASKS rows of 3 MB
-        sums += np.frombuffer(r["sums"], "<f4").reshape(BUCKETS, DIMENSIONS)
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+    rows = training_rows(docs, labels, max_labelled)
+    sums = all_neighbours(docs)
     places, signs = index_vectors()
     own = np.zeros((BUCKETS, DIMENSIONS))
     own[np.arange(BUCKETS)[:, None], places] = signs / np.sqrt(NONZERO)
