@@ -50,6 +50,37 @@ def test_wrong_counts_are_noticed(spark):
         exact_quantiles(df, {"a": F.col("a")}, [1.0], counts={"a": 5000}, direct_rows=10, inside_rows=10)
 
 
+def test_two_scans_whatever_the_data(spark):
+    read = spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(1)
+    n = 20_000
+    near = 1.0 + rng.integers(0, n, n) * 2.0**-52  # all in one cell, many apart by one bit
+    both = np.concatenate([rng.choice([-1.0, 1.0], n // 2) * np.exp(rng.normal(0, 80, n // 2)), rng.integers(0, 9, n // 2)])
+
+    def scan(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pdf = pd.DataFrame({"near": near, "both": rng.permutation(both), "hot": np.where(rng.random(n) < 0.4, 7.0, rng.normal(0, 1, n))})
+    source = spark.createDataFrame(pdf).repartition(5)
+    df = source.mapInArrow(scan, source.schema)
+    counts = dict.fromkeys(pdf.columns, n)
+    for inside in (10**6, 50):
+        read.value = 0
+        found = exact_quantiles(df, {c: F.col(c) for c in pdf.columns}, PROBS, counts, direct_rows=10, inside_rows=inside)
+        assert read.value == 2 * n
+        direct = exact_quantiles(source, {c: F.col(c) for c in pdf.columns}, PROBS, counts, direct_rows=10**6)
+        assert repr(found) == repr(direct)
+
+
+def test_extreme_values(spark):
+    values = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, float("inf"), float("-inf"), 1.7976931348623157e308, float("nan"), 1.0, -1.0] * 9
+    df = spark.createDataFrame([(v,) for v in values], "a double")
+    ask = lambda direct, inside: repr(exact_quantiles(df, {"a": F.col("a")}, [k / 60 for k in range(61)], None, direct, inside)["a"])
+    assert ask(10, 10**5).replace("-0.0,", "0.0,") == ask(10, 1).replace("-0.0,", "0.0,") == ask(10**6, 1).replace("-0.0,", "0.0,")
+
+
 def test_both_ways_agree_to_the_last_bit(spark):
     rng = np.random.default_rng(8)
     df = spark.createDataFrame(pd.DataFrame({"v": rng.normal(0, 1e3, 1001), "w": np.where(rng.random(1001) < 0.3, -np.inf, rng.random(1001))}))

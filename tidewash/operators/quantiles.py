@@ -1,60 +1,48 @@
 """Exact quantiles of many columns without gathering a column anywhere.
 
-Spark's ``percentile`` is exact but merges every distinct value of a column on
-one task. Here it is used only while that state is small. Beyond it each wanted
-rank is cornered first: cut values come from a sample, a counting scan tells
-exactly on which side of every cut the rank lies, and this repeats until few
-values are left between two cuts. The sample only proposes cuts; counts over
-all rows decide, so the answer does not depend on it, however skewed the data.
+Spark's ``percentile`` is exact but merges every distinct value of a column on one task. Here it
+is used only while that state is small. Beyond it two scans find all quantiles of all columns,
+whatever the data: the first counts values in the cells of a fixed grid that grows with the
+logarithm, with the smallest and largest value of each cell, so the cell of every rank is known;
+the second tallies the values of those cells only. A cell of one value needs no second scan. A
+cell with very many values is narrowed on its tallies, by grids between its ends. There is no
+sample and no guess: counts over all rows decide everything.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+import sys
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewash.session import shared_folder
+
 DIRECT_ROWS = 100_000      # `percentile` keeps at most this many values per column
 INSIDE_ROWS = 100_000      # this few rows between two cuts are ranked one by one
-SKETCH_ACCURACY = 10_000
-COLUMNS_PER_PASS = 64      # sketches of this many columns share a task
+COLUMNS_PER_PASS = 16      # a pass collects a few hundred cells of a column, at most some 270,000
+CELLS_PER_OCTAVE = 64
+INNER_CELLS = 4096
+HUGE = sys.float_info.max
 
 
 @dataclass(frozen=True)
-class _Target:
-    """The value of one 0-based rank: ``found``, or strictly between two cuts."""
+class _Cell:
+    """Neighbouring values of a column: how many rows are below them and in them, and the ends."""
 
     name: str
-    rank: int
-    below: int                 # rows of values up to and including `low`
-    upto: int                  # rows of values smaller than `high`
-    low: float | None = None
-    high: float | None = None
-    found: float | None = None
+    number: int
+    below: int
+    rows: int
+    low: float
+    high: float
 
     @property
-    def inside(self) -> int:
-        return self.upto - self.below
-
-    def holds(self, value: Column) -> Column:
-        test = value.isNotNull()
-        if self.low is not None:
-            test = test & (value > self.low)
-        if self.high is not None:
-            test = test & (value < self.high)
-        return test
-
-    def cut(self, value: float, smaller: int, not_larger: int) -> "_Target":
-        """What the rows below ``value`` and up to ``value`` say about this rank."""
-        if self.rank < smaller:
-            closer = self.high is None or value < self.high
-            return replace(self, high=value, upto=smaller) if closer else self
-        if self.rank < not_larger:
-            return replace(self, found=value)
-        closer = self.low is None or value > self.low
-        return replace(self, low=value, below=not_larger) if closer else self
+    def is_one_value(self) -> bool:
+        return self.low == self.high or math.isnan(self.low)  # what is not a number has a cell of its own
 
 
 def exact_quantiles(
@@ -84,7 +72,7 @@ def exact_quantiles(
     large = [n for n in values if counts[n] > direct_rows]
     for at in range(0, len(large), COLUMNS_PER_PASS):
         part = {n: values[n] for n in large[at:at + COLUMNS_PER_PASS]}
-        result.update(_cornered_quantiles(df, part, probabilities, counts, inside_rows))
+        result.update(_radix_quantiles(df, part, probabilities, counts, inside_rows))
     return result
 
 
@@ -102,24 +90,29 @@ def _batches(names: Sequence[str], counts: Mapping[str, int], limit: int):
         yield batch
 
 
-def _cornered_quantiles(df, values, probabilities, counts, inside_rows):
-    df = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values.values())])
-    columns = {name: F.col(f"v{i}") for i, name in enumerate(values)}
-    places = {n: [p * (counts[n] - 1) for p in probabilities] for n in columns}
-    ranks = {(n, r) for n, ps in places.items() for p in ps for r in (math.floor(p), math.ceil(p))}
-    targets = [_Target(n, r, below=0, upto=counts[n]) for n, r in sorted(ranks)]
-    turn = stuck = 0
-    while wide := [t for t in targets if t.found is None and t.inside > inside_rows]:
-        targets = _apply_cuts(df, columns, targets, _propose_cuts(df, columns, wide, seed=17 + turn))
-        turn += 1
-        # A sample of many thousand rows has a cut for every range that holds rows.
-        stuck = stuck + 1 if set(wide) & set(targets) else 0
-        if stuck == 3:
-            raise ValueError("the counts given do not fit the rows that were read")
-    found = {(t.name, t.rank): t.found for t in targets if t.found is not None}
-    found.update(_rank_inside(df, columns, [t for t in targets if t.found is None]))
-    if missing := ranks - found.keys():
-        raise ValueError(f"the counts given do not fit the rows that were read: {sorted(missing)[:3]}")
+def _radix_quantiles(df, values, probabilities, counts, inside_rows):
+    df = df.select(*[(v + F.lit(0.0)).alias(f"v{i}") for i, v in enumerate(values.values())])  # zeros of both signs are one
+    names = list(values)
+    columns = [F.col(f"v{i}") for i in range(len(names))]
+    places = {n: [p * (counts[n] - 1) for p in probabilities] for n in names}
+    open_ = {(n, r) for n, ps in places.items() for p in ps for r in (math.floor(p), math.ceil(p))}
+    cells = _cells(_cell_rows(df, columns, [_grid(v) for v in columns]), names)
+    totals = {n: sum(c.rows for c in of) for n, of in cells.items()}
+    if any(totals[n] != counts[n] for n in names):
+        raise ValueError(f"the counts given do not fit the rows that were read: {totals}")
+    found, wanted = _placed(open_, cells)
+    if wanted:
+        inner = [F.when(_grid(v).isin([c.number for c in wanted if c.name == n]), v) for n, v in zip(names, columns)]
+        tallies = _tally(df, inner).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        if any(c.rows > inside_rows for c in wanted):
+            folder = shared_folder(df.sparkSession, "quantiles")
+            tallies.write.parquet(folder)
+            tallies = df.sparkSession.read.parquet(folder)
+        while wide := {c: r for c, r in wanted.items() if c.rows > inside_rows}:
+            some, closer = _placed({(c.name, r) for c, rs in wide.items() for r in rs}, _narrowed(tallies, names, list(wide)))
+            found.update(some)
+            wanted = {**{c: r for c, r in wanted.items() if c not in wide}, **closer}
+        found.update(_ranked(tallies, names, wanted))
     return {
         name: [_between(found[name, math.floor(p)], found[name, math.ceil(p)], p) for p in ps]
         for name, ps in places.items()
@@ -131,98 +124,89 @@ def _between(lower: float, upper: float, place: float) -> float:
     return lower if lower == upper else (math.ceil(place) - place) * lower + (place - math.floor(place)) * upper
 
 
-def _by_bracket(targets: list[_Target]) -> dict[tuple, list[_Target]]:
-    brackets: dict[tuple, list[_Target]] = {}
-    for t in targets:
-        brackets.setdefault((t.name, t.low, t.high), []).append(t)
-    return brackets
-
-
-def _propose_cuts(df: DataFrame, columns: Mapping[str, Column], targets: list[_Target], seed: int):
-    """Sampled values just below and above each wanted rank."""
-    brackets = _by_bracket(targets)
-    wanted = max(20_000, 25 * math.isqrt(max(t.inside for t in targets)))
-    fraction = min(1.0, wanted / min(t.inside for t in targets))
-    sketches = []
-    for group in brackets.values():
-        margin = 3.0 / math.sqrt(max(1.0, fraction * group[0].inside)) + 2.0 / SKETCH_ACCURACY
-        shares = [(t.rank - t.below) / t.inside for t in group]
-        points = sorted({min(max(s + side * margin, 0.0), 1.0) for s in shares for side in (-1, 1)})
-        value = columns[group[0].name]
-        sketches.append(F.percentile_approx(F.when(group[0].holds(value), value), points, SKETCH_ACCURACY))
-    sample = df.sample(fraction, seed=seed) if fraction < 1.0 else df
-    row = sample.agg(*[s.alias(f"s{i}") for i, s in enumerate(sketches)]).first()
-    return sorted({(key[0], c) for key, cuts in zip(brackets, row) for c in cuts or ()})
-
-
-def _apply_cuts(df, columns, targets: list[_Target], cuts) -> list[_Target]:
-    """One counting scan over all rows places every rank relative to every cut.
-
-    The cuts of a column split its values into zones: below the first cut, equal
-    to it, between it and the next, and so on. Only the zone counts are moved.
-    """
-    by_column: dict[str, list[float]] = {}
-    for name, cut in cuts:
-        by_column.setdefault(name, []).append(cut)
-    if not by_column:
-        return targets
-    counts = dict.fromkeys(((n, z) for n, c in by_column.items() for z in range(2 * len(c) + 1)), 0)
-    names = list(by_column)
-    for row in _tally(df, [_zone(columns[n], by_column[n]) for n in names]).groupBy("column", "zone").count().collect():
-        counts[names[row["column"]], row["zone"]] = row["count"]
-    for name, ordered in by_column.items():
-        upto = 0
-        for i, cut in enumerate(ordered):
-            smaller = upto + counts[name, 2 * i]
-            upto = smaller + counts[name, 2 * i + 1]
-            targets = [t.cut(cut, smaller, upto) if t.name == name and t.found is None else t for t in targets]
-    return targets
-
-
-def _zone(value: Column, cuts: list[float]) -> Column:
-    zone = F.when(value.isNull(), F.lit(None).cast("int"))
-    for i, cut in enumerate(cuts):
-        zone = zone.when(value < cut, F.lit(2 * i)).when(value == cut, F.lit(2 * i + 1))
-    return zone.otherwise(F.lit(2 * len(cuts)))
-
-
-def _tally(df: DataFrame, zones: list[Column], values: list[Column] | None = None) -> DataFrame:
-    """Rows (column number, zone, and its value if wanted) of the cells that lie in a zone."""
-    extra = [[] for _ in zones] if values is None else [[v.alias("value")] for v in values]
-    cells = [F.struct(F.lit(i).alias("column"), z.alias("zone"), *extra[i]) for i, z in enumerate(zones)]
-    return df.select(F.inline(F.array(*cells))).filter(F.col("zone").isNotNull())
-
-
-def _rank_inside(df, columns, targets: list[_Target]) -> dict[tuple[str, int], float]:
-    """The wanted ranks among the few values left between two cuts, one group per bracket.
-
-    Brackets of one column lie between neighbouring cuts, so a value is in at most one.
-    """
-    if not targets:
+def _grid(value: Column) -> Column:
+    """A whole number that never falls as the value grows: cells by the logarithm, of both signs."""
+    size = F.floor(F.log2(F.abs(value)) * CELLS_PER_OCTAVE) + 1100 * CELLS_PER_OCTAVE
+    far = F.lit(2200 * CELLS_PER_OCTAVE).cast("bigint")
+    size = F.when(F.abs(value) == float("inf"), far - 1).otherwise(size)
+    return F.when(F.isnan(value), far).when(value > 0, size).when(value < 0, -size).when(value == 0, F.lit(0).cast("bigint"))
+
+
+def _cell_rows(df: DataFrame, columns: Sequence[Column], cells: Sequence[Column]) -> DataFrame:
+    """(column, cell, n, low, high) of all cells that hold rows, in one pass."""
+    parts = [F.struct(F.lit(i).alias("column"), c.alias("cell"), v.alias("value")) for i, (v, c) in enumerate(zip(columns, cells))]
+    rows = df.select(F.inline(F.array(*parts))).filter(F.col("cell").isNotNull())
+    return rows.groupBy("column", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def _cells(rows: DataFrame, names: Sequence[str], below: Mapping[int, int] | None = None) -> dict[str, list[_Cell]]:
+    """The cells of each column in order, with the rows below them; ``below`` begins a cell number's count anew."""
+    out: dict[str, list[_Cell]] = {n: [] for n in names}
+    upto = dict.fromkeys(names, 0)
+    for r in sorted(rows.collect(), key=lambda r: (r["column"], r["cell"])):
+        name = names[r["column"]]
+        upto[name] = max(upto[name], (below or {}).get((name, r["cell"] // INNER_CELLS), 0))
+        out[name].append(_Cell(name, r["cell"], upto[name], r["n"], r["low"], r["high"]))
+        upto[name] += r["n"]
+    return out
+
+
+def _placed(ranks: set[tuple[str, int]], cells: Mapping[str, list[_Cell]]):
+    """What the cells say of ranks: values found (a cell of one value), and the other cells with their ranks."""
+    found: dict[tuple[str, int], float] = {}
+    wanted: dict[_Cell, list[int]] = {}
+    for name, rank in sorted(ranks):
+        of = cells[name]
+        cell = of[bisect.bisect_right([c.below for c in of], rank) - 1]
+        if cell.is_one_value:
+            found[name, rank] = cell.low
+        else:
+            wanted.setdefault(cell, []).append(rank)
+    return found, wanted
+
+
+def _tally(df: DataFrame, values: Sequence[Column]) -> DataFrame:
+    """(column, value) of all cells that are not null."""
+    parts = [F.struct(F.lit(i).alias("column"), v.alias("value")) for i, v in enumerate(values)]
+    return df.select(F.inline(F.array(*parts))).filter(F.col("value").isNotNull())
+
+
+def _bracket(names: Sequence[str], cells: Sequence[_Cell], then: Callable[[int, _Cell], Column]) -> Column:
+    """``then`` of the cell that a tally's value lies in, null outside all."""
+    of = F.when(F.lit(False), F.lit(None).cast("bigint"))
+    for i, c in enumerate(cells):
+        of = of.when((F.col("column") == names.index(c.name)) & F.col("value").between(c.low, c.high), then(i, c))
+    return of
+
+
+def _narrowed(tallies: DataFrame, names: Sequence[str], wide: Sequence[_Cell]) -> dict[str, list[_Cell]]:
+    """The cells of a grid between the ends of each of ``wide``; both ends have cells of their own."""
+    wide = sorted(wide, key=lambda c: (c.name, c.below))
+
+    def cell(i: int, c: _Cell) -> Column:
+        low, high = max(c.low, -HUGE), min(c.high, HUGE)
+        width = high / 2 - low / 2
+        at = F.floor((F.col("value") / 2 - low / 2) / F.lit(width) * (INNER_CELLS - 2)) if width > 0 else F.lit(0)
+        at = F.greatest(F.least(at.cast("bigint"), F.lit(INNER_CELLS - 3)), F.lit(0)) + 1
+        return F.when(F.col("value") == c.high, INNER_CELLS - 1).when(F.col("value") == c.low, 0).otherwise(at) + F.lit(i * INNER_CELLS).cast("bigint")
+
+    placed = tallies.withColumn("cell", _bracket(names, wide, cell)).filter(F.col("cell").isNotNull())
+    rows = placed.groupBy("column", "cell").agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return _cells(rows, names, {(c.name, i): c.below for i, c in enumerate(wide)})
+
+
+def _ranked(tallies: DataFrame, names: Sequence[str], wanted: Mapping[_Cell, list[int]]) -> dict[tuple[str, int], float]:
+    """The values of ranks in cells of few rows, one group per cell."""
+    if not wanted:
         return {}
-    brackets = list(_by_bracket(targets).values())
-    names = sorted({group[0].name for group in brackets})
-    inside = []
-    for name in names:
-        number = F.when(F.lit(False), F.lit(None).cast("int"))
-        for i, group in enumerate(brackets):
-            if group[0].name == name:
-                number = number.when(group[0].holds(columns[name]), F.lit(i))
-        inside.append(number)
-    steps = F.array(*[F.array(*[F.lit(t.rank - t.below) for t in group]) for group in brackets])
-    upto = F.sum("n").over(
-        Window.partitionBy("zone").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    in_step = lambda s: (s < F.col("upto")) & (s >= F.col("upto") - F.col("n"))
+    cells = list(wanted)
+    steps = F.array(*[F.array(*[F.lit(r - c.below) for r in wanted[c]]) for c in cells])
+    upto = F.sum("n").over(Window.partitionBy("zone").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    in_step = lambda s: (s < F.col("upto")) & (s >= F.col("upto") - F.col("n"))
+    zone = _bracket(names, cells, lambda i, c: F.lit(i).cast("bigint"))
     picked = (
-        _tally(df, inside, [columns[n] for n in names])
-        .groupBy("zone", "value")
-        .agg(F.count("*").alias("n"))
+        tallies.withColumn("zone", zone).filter(F.col("zone").isNotNull())
         .withColumn("upto", upto)
-        .select("zone", "value", F.explode(F.filter(F.get(steps, F.col("zone")), in_step)).alias("step"))
+        .select("zone", "value", F.explode(F.filter(F.get(steps, F.col("zone").cast("int")), in_step)).alias("step"))
     )
-    found = {}
-    for row in picked.collect():
-        group = brackets[row["zone"]]
-        found[group[0].name, group[0].below + row["step"]] = row["value"]
-    return found
+    return {(cells[r["zone"]].name, cells[r["zone"]].below + r["step"]): r["value"] for r in picked.collect()}
