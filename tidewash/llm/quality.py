@@ -18,7 +18,9 @@ every score is the share of ones (0.5 without labels); an empty table gives no r
 
 from __future__ import annotations
 
+import functools
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,11 +46,14 @@ THRESHOLD = 0.3
 HELD_OUT_OF = 5
 VALIDATION = 5
 SEED = 7
-#: Tasks that add up the tables of all tasks before the last one.
+#: Tasks that add up the tables of all tasks; the driver adds up theirs, of 1 to 6 MB each.
 MERGERS = 16
+#: Texts whose neighbours are summed at a time.
+TABLE_BYTES = 1 << 20
 BLANK = re.compile(rb"[\t-\r ]")
 
 
+@functools.cache
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the nonzero entries of each bucket."""
     rng = np.random.default_rng(SEED)
@@ -90,8 +95,7 @@ def neighbour_sums(texts: list[str | None], sums: np.ndarray) -> None:
             for theirs in (word, shape):
                 a, b = mine[distance:][near], theirs[:-distance][near]
                 for x, y in ((a, b), (b, a)):
-                    for k in range(NONZERO):
-                        flat += np.bincount(x * DIMENSIONS + places[y, k], weights=signs[y, k], minlength=len(flat))
+                    flat += np.bincount((x[:, None] * DIMENSIONS + places[y]).ravel(), weights=signs[y].ravel(), minlength=len(flat))
 
 
 @dataclass
@@ -202,30 +206,40 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Data
 
 
 def all_neighbours(docs: DataFrame) -> np.ndarray:
-    """``neighbour_sums`` over all rows: one table a task, added up in tasks; the driver gets one."""
+    """``neighbour_sums`` over all rows: one table a task, added up by MERGERS tasks and the driver."""
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((BUCKETS, DIMENSIONS))
-        for batch in slices(batches, 1 << 16):
+        for batch in slices(batches, 1 << 16, TABLE_BYTES):
             texts = batch["text"].to_pylist()
             for text in texts:
                 if len(text or "") > SLICE_BYTES:
                     for portion, _ in portions(text.encode(), SLICE_BYTES):
                         neighbour_sums([portion.decode()], sums)
             neighbour_sums([text for text in texts if len(text or "") <= SLICE_BYTES], sums)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "sums": [sums.tobytes()]})
+        yield packed(TaskContext.get().partitionId(), sums)
+
+    def packed(part: int, sums: np.ndarray) -> pa.RecordBatch:
+        """Whole numbers; most buckets of a small part are empty, so they are compressed before they move."""
+        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": [zlib.compress(sums.astype("<i8").tobytes(), 1)]})
+
+    def unpacked(held: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(held), "<i8").reshape(BUCKETS, DIMENSIONS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(BUCKETS * DIMENSIONS)
+        sums = np.zeros((BUCKETS, DIMENSIONS))
         for batch in batches:
             for held in batch["sums"]:
-                sums += np.frombuffer(held.as_buffer())
-        yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "sums": [sums.tobytes()]})
+                sums += unpacked(held.as_buffer())
+        if sums.any():
+            yield packed(0, sums)
 
     schema = "part int, sums binary"
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tables, schema).repartition(MERGERS, F.pmod("part", F.lit(MERGERS)))
-    held = parts.mapInArrow(add, schema).coalesce(1).mapInArrow(add, schema).first()
-    return np.frombuffer(held["sums"]).reshape(BUCKETS, DIMENSIONS) if held else np.zeros((BUCKETS, DIMENSIONS))
+    total = np.zeros((BUCKETS, DIMENSIONS))
+    for r in parts.mapInArrow(add, schema).collect():
+        total += unpacked(r["sums"])
+    return total
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
