@@ -4,6 +4,11 @@ import pytest
 
 from tidewash.llm import main_text
 
+PROSE = "It rained all night, said the keeper, and the river rose."
+WRAPPERS = [
+    ("<div class='page has-sidebar'>", "</div>"), ("<div class='content-sidebar-wrap'>", "</div>"), ("<form id='aspnetForm'>", "</form>"),
+    ("<div id='search-results-page'><nav>menu</nav>", "<div class='sidebar'><p>Aside, a side.</p></div></div>"),
+]
 CASES = [
     (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\nb"), ("<nav>menu</nav><script>x</script>", ""),
     ("<div id=main><p>One, two.<div class='ad'>x</div></div><nav>m</nav>", "One, two."),
@@ -15,6 +20,15 @@ CASES = [
     ("<div class=story><p>" + "Long text, with commas. " * 20 + "</p></div><div><a href=x>" + "link " * 40 + "</a></div>",
      ("Long text, with commas. " * 20).strip()),
     ("<article><p>" + "x" * 300_000 + "</p></article>", "x" * 300_000), ("<!-- open comment <p>a</p>", ""),
+    *[(f"<body>{open_}<article><h1>Title</h1><div class='body'><p>{PROSE}</p></div></article>{close}</body>", f"Title\n{PROSE}") for open_, close in WRAPPERS],
+    *[(f"<body>{open_}<div class='text'><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></div>{close}</body>", f"Title\n{PROSE}\n{PROSE}") for open_, close in WRAPPERS],
+    (f"<article><section id='search-methods'><h2>Search</h2><p>{PROSE}</p></section><p class='social-history'>Lives alone.</p></article>", f"Search\n{PROSE}\nLives alone."),
+    (f"<div><h1>A headline</h1><div class='body'><p>{PROSE}</p><p>{PROSE}</p></div></div>", f"A headline\n{PROSE}\n{PROSE}"),
+    ("<p>Hello <span class='share'>x</span> world</p>", "Hello world"), ("<p>a <span class='ad'><span>Buy</span> now cheap</span> b</p>", "a b"),
+    ("<article><p>a <span class='ad'>open <b>x</p><p>next.</p></article>", "a\nnext."),
+    (f"<article><p>{PROSE}</p></article><section class='comments'><article><p>{PROSE * 9}</p></article></section>", PROSE),
+    (f"<main><p>{PROSE}</p><div class='related-posts'><a href=x>More, and more</a></div><div class='ad-slot'>Buy now, cheap.</div></main>", PROSE),
+    (f"<article><p>{PROSE}</p><form><label>Your mail</label><input><button>Go</button></form></article>", PROSE),
     ("<article><p>&lt;p&gt; &#233; &eacute;&unknown;</p></article>", "<p> é é&unknown;"),
 ]
 
