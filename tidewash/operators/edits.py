@@ -43,6 +43,7 @@ REPLIES = {
 }
 DEFAULT_MESSAGE = "I have processed your request."
 
+_NAMES, _LOWERED = "_names", "_lowered"
 EDIT_FIELDS = ("action", "reason", "transformation")
 
 
@@ -79,14 +80,17 @@ def edit_requests(
 
     ``columns`` is the column list of the one table that is discussed, or a
     frame with the ``by`` keys and one row per ``column`` where sessions discuss
-    different tables. A list needs no join at all; a frame is joined on the
-    session, spread for long sessions, and only messages that ask for something
-    take part.
+    different tables. A list needs no join at all. Of a frame, each session's
+    names, no more than its table is wide, become one row, which meets the
+    session's messages, spread for long sessions; so a message is not joined
+    with every name, and only messages that ask for something take part.
     """
     asking = messages.withColumn("action", requested_action(F.col(text), keywords)).filter(F.col("action").isNotNull())
     if isinstance(columns, DataFrame):
-        mentioned = F.contains(F.lower(F.col(text)), F.lower(F.col("column")))
-        edits = spread_join(asking, columns.select(*by, "column"), list(by), condition=mentioned)
+        names = columns.groupBy(*by).agg(F.collect_list(F.struct("column", F.lower("column").alias("lowered"))).alias(_NAMES))
+        met = spread_join(asking.withColumn(_LOWERED, F.lower(F.col(text))), names, list(by))
+        found = F.filter(_NAMES, lambda n: F.contains(F.col(_LOWERED), n["lowered"]))
+        edits = met.withColumn("column", F.explode(F.transform(found, lambda n: n["column"]))).drop(_NAMES, _LOWERED)
     else:
         edits = asking.withColumn("column", F.explode(mentioned_columns(F.col(text), columns)))
     return _edit_texts(edits, keywords)
@@ -139,13 +143,14 @@ def parse_tagged_answer(answers: DataFrame, text: str = "text") -> DataFrame:
 def update_rows(parsed: DataFrame, keep: Sequence[str]) -> DataFrame:
     """The updates of parsed answers as edits, one row per column, with its place in the answer.
 
-    Of a name that an answer repeats the last entry counts.
+    Of a name that an answer repeats the last entry counts, at the place of the first.
     """
     entries = F.map_entries("updates")
     rows = parsed.select(*keep, F.map_keys("updates").alias("names"), F.posexplode(entries).alias("pos", "update"))
     later = F.slice("names", F.col("pos") + 2, F.size("names"))
     return rows.where(~F.array_contains(later, F.col("update.key"))).select(
-        *keep, F.col("update.key").alias("column"), *[F.col("update.value")[f].alias(f) for f in EDIT_FIELDS], "pos"
+        *keep, F.col("update.key").alias("column"), *[F.col("update.value")[f].alias(f) for f in EDIT_FIELDS],
+        (F.array_position("names", F.col("update.key")) - 1).cast("int").alias("pos"),
     )
 
 

@@ -98,13 +98,14 @@ def fold_edits(spark, sf):
     UNION ALL SELECT conv_id, 'fee', 'transform', 'turn ' || max(turn), 'again' FROM conversations GROUP BY conv_id
     UNION ALL SELECT conv_id, 'other', 'keep', 'base', NULL FROM conversations GROUP BY conv_id""")
 def fold_answers(spark, sf):
-    """Answers that name a column in two spellings, and one column twice: the last entry counts."""
+    """Answers that name a column in two spellings, and names twice: a name's last entry counts, at the place of its first."""
     entry = lambda name, action, reason, extra: F.concat(
         F.lit(f'"{name}": {{"action": "{action}", "reason": "'), reason, F.lit(f'", "transformation": {extra}}}'))
     told = F.concat(F.lit("turn "), F.col("turn").cast("string"))
     block = F.concat(
         F.lit("{"), entry("AGE", "drop", F.lit("first"), "null"), F.lit(", "), entry("Fee", "drop", F.lit("x"), "null"), F.lit(", "),
-        entry("age", "keep", F.lit("second"), "null"), F.lit(", "), entry("Fee", "transform", told, '"again"'), F.lit("}"),
+        entry("age", "keep", F.lit("second"), "null"), F.lit(", "), entry("Fee", "transform", told, '"again"'), F.lit(", "),
+        entry("AGE", "transform", F.lit("third"), "null"), F.lit("}"),
     )
     turns = table(spark, sf, "conversations")
     answers = turns.select(
