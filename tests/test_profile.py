@@ -13,6 +13,10 @@ def by(df, key, *fields):
     return {r[key]: tuple(r[f] for f in fields) if len(fields) > 1 else r[fields[0]] for r in df.collect()}
 
 
+def samples_of(df, k, order_by=None):
+    return {df.columns[r.pos]: r.sample_values for r in P.first_samples(df, k, order_by).orderBy("pos").collect()}
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     rows = [(i, None if i % 4 == 0 else float("nan") if i % 4 == 1 else i / 2, "a" if i < 10 else None, i % 3 == 0,
@@ -46,17 +50,44 @@ def test_types_like_pandas(small):
 def test_samples(spark, k):
     rows = [(i, None if i < 60 else i, 1.5 if i % 2 else None, i > 3) for i in range(100)]
     df = spark.createDataFrame(rows, "k int, late int, half double, flag boolean").repartition(5)
-    found = P.first_samples(df, k, "k")
+    found = samples_of(df, k, "k")
     assert found == {"k": ["0", "1", "2"][:k], "late": ["60", "61", "62"][:k], "half": ["1.5"] * k, "flag": ["False"] * k}
 
 
 def test_samples_in_file_order(spark, tmp_path):
     (tmp_path / "a.csv").write_text("v\n" + "\n".join(str(i) for i in range(500, 0, -1)))
     df = spark.read.option("header", True).csv(str(tmp_path))
-    assert P.first_samples(df, 3) == {"v": ["500", "499", "498"]}
+    assert samples_of(df, 3) == {"v": ["500", "499", "498"]}
     assert [r.v for r in P.preview(df, 2).collect()] == ["500", "499"]
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_an_unkeyed_preview_opens_one_file(spark, tmp_path, fmt):
+    names = [f"{k:03d} ü" for k in range(100)]
+    for k, name in enumerate(names):
+        rows = spark.range(k * 40, k * 40 + 40).coalesce(1)
+        rows.write.format(fmt).save(str(tmp_path / name))
+    df = spark.read.format(fmt).schema("id long").load([str(tmp_path / n) for n in reversed(names)])
+    expected = [str(i) for i in range(60)]
+    assert [r.id for r in P.preview(df, 60).collect()] == expected
+    for name in names[4:]:  # no task can read these any more
+        for file in (tmp_path / name).glob("part-*"):
+            file.unlink()
+    assert [r.id for r in P.preview(df, 5).collect()] == expected[:5]
+    assert [r.id for r in P.preview(df, 60).collect()] == expected
+    assert samples_of(df, 3) == {"id": expected[:3]}
+    with pytest.raises(Exception, match="FILE|exist"):
+        P.preview(df, 200).collect()
+
+
+def test_samples_are_no_literals(spark, tmp_path):
+    spark.range(40).select(F.repeat(F.lit("x"), 100_000).alias("t"), F.lit(None).cast("string").alias("n")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    profile = P.upload_profile(df)
+    assert len(profile._jdf.queryExecution().analyzed().toString()) < 20_000
+    assert [[len(v) for v in r.sample_values] for r in profile.orderBy("pos").collect()] == [[100_000] * 3, []]
+
+
 def test_preview(spark):
     df = spark.createDataFrame([(2, None), (1, True), (3, False)], "k int, b boolean")
     assert [tuple(r) for r in P.preview(df, 2, "k").collect()] == [("1", "True"), ("2", "")]

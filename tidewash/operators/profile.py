@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidewash.functions.columns import (
-    clean_value, col, is_numeric, is_temporal, literal_rows, pandas_type_name,
+    clean_value, col, is_temporal, literal_rows, pandas_type_name,
     row_order, value_text,
 )
 from tidewash.functions.parsing import timestamp_micros
@@ -28,10 +30,6 @@ def shape(df: DataFrame) -> DataFrame:
     )
 
 
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-
-
 def null_percentage(nulls: Column, rows: Column) -> Column:
     """Share of nulls in percent with one decimal, half to even; 0.0 for no rows."""
     return F.when(rows > 0, F.bround(F.try_divide(nulls * F.lit(100.0), rows), 1)).otherwise(F.lit(0.0))
@@ -165,9 +163,11 @@ def head_rows(df: DataFrame, n: int, order_by: str | Sequence[str] | None = None
     """The first n rows in order, all columns.
 
     With a key the n smallest keys are found first, reading that column only;
-    the bound then prunes the scan that reads the other columns.
+    the bound then prunes the scan that reads the other columns. Without one the
+    first files of a scan are enough.
     """
     if order_by is None:
+        df = first_files(df, n)
         return df.withColumn("_row_order", row_order(df)).orderBy("_row_order").limit(n).drop("_row_order")
     names = [order_by] if isinstance(order_by, str) else list(order_by)
     lead = col(names[0])
@@ -177,39 +177,51 @@ def head_rows(df: DataFrame, n: int, order_by: str | Sequence[str] | None = None
     return df.orderBy(*[col(x) for x in names]).limit(n)
 
 
-def first_samples(
-    df: DataFrame, k: int, order_by: str | Sequence[str] | None = None
-) -> dict[str, list[str]]:
-    """The first k non-null values of every column, as text.
+def first_files(df: DataFrame, n: int) -> DataFrame:
+    """``df`` as far as the first of its files that hold n rows; other files are not opened.
 
-    Most columns show k values within the first rows. All that do not are searched
-    together in one pass, whose rank limit leaves k rows a column before the shuffle.
+    Files are chosen by their paths, which Spark compares before it reads. What is no plain scan
+    of files stays as it is.
     """
-    if k <= 0:
-        return {c: [] for c in df.columns}
-    texts = {c: value_text(clean_value(df, c), df.schema[c].dataType) for c in df.columns}
-    head = head_rows(df, HEAD_ROWS, order_by).select(*[t.alias(f"s{i}") for i, t in enumerate(texts.values())])
-    rows = head.collect()
-    found = {c: [r[i] for r in rows if r[i] is not None][:k] for i, c in enumerate(texts)}
-    if len(rows) < HEAD_ROWS:
-        return found
-    sparse = [c for c, values in found.items() if len(values) < k]
-    if sparse:
-        cells = F.array(*[F.struct(F.lit(i).alias("pos"), texts[c].alias("text")) for i, c in enumerate(sparse)])
-        present = df.select(row_order(df, order_by).alias("row"), F.inline(cells)).filter(F.col("text").isNotNull())
-        place = F.row_number().over(Window.partitionBy("pos").orderBy("row"))
-        first = present.withColumn("place", place).filter(F.col("place") <= k).collect()
-        for i, c in enumerate(sparse):
-            found[c] = [r["text"] for r in sorted((r for r in first if r["pos"] == i), key=lambda r: r["place"])]
-    return found
-
-
-def _sample_rows(df: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
-    entries = [
-        F.struct(F.lit(i).alias("pos"), F.array(*[F.lit(v) for v in samples[c]]).cast("array<string>").alias("sample_values"))
-        for i, c in enumerate(df.columns)
-    ]
-    return df.sparkSession.range(1).select(F.inline(F.array(*entries)))
+    try:
+        path = df.metadataColumn("_metadata")["file_path"]
+        df.select(path).schema
+    except AnalysisException:
+        return df
+    # The listing writes an empty host (file:///), the column does not (file:/).
+    files, taken = sorted({re.sub(r"^([\w+.-]+:)///", r"\1/", name) for name in df.inputFiles()}), 1
+    while taken < len(files):
+        some = df.filter(path <= F.lit(files[taken - 1]))
+        if some.limit(n).count() >= n:
+            return some
+        taken *= 4
+    return df
+
+
+def first_samples(df: DataFrame, k: int, order_by: str | Sequence[str] | None = None) -> DataFrame:
+    """(pos, sample_values): the first k non-null values of every column, as text.
+
+    Most columns show k values within the first rows; only the counts of those come to the
+    driver. All columns that do not are searched together in one pass, whose rank limit leaves
+    k rows a column before the shuffle.
+    """
+    names = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(len(df.columns) - 1))).alias("pos"))
+    texts = [value_text(clean_value(df, c), df.schema[c].dataType) for c in df.columns]
+    head = head_rows(df, HEAD_ROWS, order_by)
+    counts = head.agg(F.count(F.lit(1)), *[F.count(t) for t in texts]).first()
+    sparse = [i for i in range(len(texts)) if counts[i + 1] < k] if counts[0] == HEAD_ROWS else []
+    parts = [(head, [i for i in range(len(texts)) if i not in sparse]), (df, sparse)]
+    found = reduce(DataFrame.unionByName, [_first_cells(rows, texts, of, k, order_by) for rows, of in parts if of])
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
+    values = found.groupBy("pos").agg(listed.alias("values"))
+    return names.join(F.broadcast(values), "pos", "left").select("pos", F.coalesce("values", F.array().cast("array<string>")).alias("sample_values"))
+
+
+def _first_cells(df: DataFrame, texts: Sequence[Column], of: Sequence[int], k: int, order_by) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(i).alias("pos"), texts[i].alias("text")) for i in of])
+    present = df.select(row_order(df, order_by).alias("row"), F.inline(cells)).filter(F.col("text").isNotNull())
+    place = F.row_number().over(Window.partitionBy("pos").orderBy("row"))
+    return present.withColumn("place", place).filter(F.col("place") <= k).select("pos", "place", "text")
 
 
 def preview(df: DataFrame, n: int = UPLOAD_PREVIEW, order_by: str | Sequence[str] | None = None) -> DataFrame:
@@ -228,7 +240,7 @@ def upload_profile(
     """Name, type, nulls and first samples, one row per column."""
     return (
         null_counts(df)
-        .join(_sample_rows(df, first_samples(df, samples, order_by)), "pos")
+        .join(F.broadcast(first_samples(df, samples, order_by)), "pos")
         .select("pos", F.col("column_name").alias("name"), _type_name(df, names).alias("type"), "null_count", "sample_values")
     )
 
@@ -240,7 +252,7 @@ def schema_summary(
     """The compact summary of a table: type, null share, distinct values and samples."""
     return (
         column_counts(df, approximate)
-        .join(_sample_rows(df, first_samples(df, samples, order_by)), "pos")
+        .join(F.broadcast(first_samples(df, samples, order_by)), "pos")
         .select(
             "pos", "column_name", _type_name(df, names).alias("data_type"),
             "null_percentage", "unique_values_count", "sample_values",
