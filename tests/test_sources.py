@@ -152,6 +152,25 @@ def test_admission(spark, tmp_path):
     assert got == {"a.csv": True, "b.CSV": True, "c.txt": False, "csv": False, "d.xlsx": False}
 
 
+def test_lookup_opens_the_folder_of_its_id(spark, tmp_path):
+    ids = [f"s{k}" for k in range(500)] + ["", "ü/ä", None, "s1"]
+    records = spark.createDataFrame([(i, f"goal of {i}") for i in ids], "session_id string, goal string")
+    schema = spark.createDataFrame([], S.SESSION_SCHEMA)
+    S.write_store(schema.unionByName(records, allowMissingColumns=True), str(tmp_path), buckets=32)
+    assert S.read_store(spark, str(tmp_path)).count() == len(ids) and S.read_store(spark, str(tmp_path)).columns == schema.columns
+    assert [r.goal for r in S.find_in_store(spark, str(tmp_path), "ü/ä").collect()] == ["goal of ü/ä"]
+    assert S.find_in_store(spark, str(tmp_path), "s1").count() == 2 and S.find_in_store(spark, str(tmp_path), "gone").isEmpty()
+    found = S.find_in_store(spark, str(tmp_path), "s77")
+    own = found.select(F.input_file_name()).first()[0]
+    folders = list((tmp_path / "buckets=32").iterdir())
+    assert len(folders) > 20
+    for folder in folders:  # no task can read the others any more
+        if folder.name not in own:
+            for file in folder.glob("part-*"):
+                file.unlink()
+    assert [r.goal for r in found.collect()] == ["goal of s77"]
+
+
 def test_sessions(spark, tmp_path):
     def save(name, record):
         (tmp_path / name).write_text(record if isinstance(record, str) else json.dumps(record, indent=2))

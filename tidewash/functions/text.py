@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from tidewash.functions.parsing import let, strip
@@ -104,6 +106,10 @@ def tagged_updates(text: Column) -> Column:
     return F.when(_has_block(text), F.from_json(json_document(block), UPDATES_TYPE))
 
 
+#: A private character between joined tokens.
+MARK = "\ue000"
+
+
 # -- tokens -------------------------------------------------------------------
 
 def word_tokens(text: Column) -> Column:
@@ -114,29 +120,23 @@ def word_tokens(text: Column) -> Column:
 def visible_tokens(tokens: Column) -> Column:
     """The leading tokens that are shown before the start tag is complete.
 
-    Token i is shown while the tag is not inside tokens 1..i joined. The tag ends
-    at a known offset of the joined text, so one running length decides; it is
-    folded inside the row, without a shuffle. Null tokens are left out.
+    A token is shown if it ends before the last character of the tag in the joined text. The
+    tokens are joined with a mark between them, and the tag is searched with marks allowed
+    inside it: the marks before its last character are the tokens that are shown. Null tokens
+    are left out.
     """
     return let(F.array_compact(tokens), _shown_tokens)
 
 
 def _shown_tokens(present: Column) -> Column:
-    at = F.instr(F.array_join(present, ""), START_TAG)
-    # The offset travels in the accumulator; inside the step it would be searched per token.
-    start = F.struct(
-        F.lit(0).alias("chars"), F.lit(0).alias("shown"), (at + F.lit(len(START_TAG) - 1)).alias("tag_end"), at.alias("at")
-    )
-
-    def step(acc: Column, token: Column) -> Column:
-        chars = acc["chars"] + F.length(token)
-        visible = (acc["at"] == 0) | (chars < acc["tag_end"])
-        return F.struct(
-            chars.alias("chars"), (acc["shown"] + visible.cast("int")).alias("shown"),
-            acc["tag_end"].alias("tag_end"), acc["at"].alias("at"),
-        )
-
-    return F.slice(present, F.lit(1), F.aggregate(present, start, step, lambda acc: acc["shown"]))
+    safe = F.when(
+        F.contains(F.array_join(present, ""), F.lit(MARK)), F.transform(present, lambda t: F.translate(t, MARK, "?"))
+    ).otherwise(present)
+    tag = f"{MARK}*".join(re.escape(c) for c in START_TAG)
+    # Up to the tag, if there is one, else nothing.
+    before = F.regexp_extract(F.array_join(safe, MARK), f"(?s)\\A(.*?{tag})", 1)
+    shown = F.length(before) - F.length(F.replace(before, F.lit(MARK)))
+    return F.when(F.contains(F.array_join(present, ""), F.lit(START_TAG)), F.slice(present, F.lit(1), shown)).otherwise(present)
 
 
 # -- markdown -----------------------------------------------------------------

@@ -23,6 +23,7 @@ LISTED = ("session_id", "name", "original_filename", "goal", "created_at")
 _TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'\ue000'"
 TIME_FORMATS = {"timestampFormat": _TIME, "timestampNTZFormat": _TIME}
 _BROKEN = "_broken"
+STORE_BUCKETS = 256
 
 
 def read_sessions(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
@@ -54,6 +55,34 @@ def find_session(sessions: DataFrame, session_id: str) -> DataFrame:
     return sessions.filter(F.col("session_id") == session_id)
 
 
+def write_store(sessions: DataFrame, path: str, buckets: int = STORE_BUCKETS) -> None:
+    """Session records laid out by a hash of their id, so that a lookup opens one folder of ``buckets``.
+
+    The number of folders is part of their names, so readers need not know it.
+    """
+    laid = sessions.withColumn("bucket", _bucket(F.col("session_id"), F.lit(buckets))).withColumn("buckets", F.lit(buckets))
+    laid.repartition("bucket").sortWithinPartitions("bucket", "session_id").write.mode("overwrite").partitionBy("buckets", "bucket").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """All records of a store."""
+    return _stored(spark, path).drop("buckets", "bucket")
+
+
+def find_in_store(spark: SparkSession, path: str, session_id: str) -> DataFrame:
+    """The record of one session, from the folder of its hash alone; none if there is no such session."""
+    own = F.col("bucket") == _bucket(F.lit(session_id), F.col("buckets"))
+    return find_session(_stored(spark, path).filter(own), session_id).drop("buckets", "bucket")
+
+
+def _bucket(session_id: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(session_id), buckets).cast("int")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{SESSION_SCHEMA}, buckets int, bucket int").parquet(path)
+
+
 def json_record(*columns: Column | str) -> Column:
     """Columns as one JSON text: nulls kept, timestamps in ISO form, with their microseconds if there are any."""
     text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false", **TIME_FORMATS})

@@ -97,7 +97,9 @@ def session_listing(spark, sf):
       string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history, '/api/download/' || conv_id AS download_url
     FROM conversations WHERE conv_id = 7 GROUP BY conv_id""")
 def session_lookup(spark, sf):
-    found = S.find_session(S.read_sessions(spark, _session_folder(spark, sf), one_per_file=False), "s7")
+    store = shared_folder(spark, "session-store")
+    S.write_store(S.read_sessions(spark, _session_folder(spark, sf), one_per_file=False), store, buckets=16)
+    found = S.find_in_store(spark, store, "s7")
     told = F.transform("chat_history", lambda x: F.concat(x["role"], F.lit(": "), x["content"]))
     return found.select(
         "session_id", "goal", F.get("chat_history", F.lit(0))["role"].alias("first_role"),
