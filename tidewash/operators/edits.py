@@ -41,6 +41,9 @@ REPLIES = {
         "Try mentioning a column name with 'drop', 'keep', or 'transform'.",
     ),
 }
+# The answer of a stream that failed, with the beginning of the error.
+FAILED_STREAM = "⚠️ Streaming API unavailable (%s). Changes applied via local rule engine."
+ERROR_CHARS = 60
 DEFAULT_MESSAGE = "I have processed your request."
 
 _NAMES, _LOWERED = "_names", "_lowered"
@@ -105,6 +108,11 @@ def reply_text(message: Column, columns: Sequence[str], goal: Column, style: str
     return F.when(names.isNotNull(), F.format_string(done, names)).otherwise(helped)
 
 
+def failed_stream_reply(error: Column) -> Column:
+    """The answer where the model's stream broke off and keywords were used instead."""
+    return F.format_string(FAILED_STREAM, F.substring(error, 1, ERROR_CHARS))
+
+
 # -- model answers in chat ------------------------------------------------------
 
 def parse_chat_answer(answers: DataFrame, text: str = "text") -> DataFrame:

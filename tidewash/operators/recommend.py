@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidewash.functions.columns import literal_rows
@@ -59,7 +61,10 @@ PLAN_MESSAGE = (
     "Goal set: **%s**.<br>I have completed scanning the dataset. I recommend dropping %d irrelevant features (like %s...) "
     "to prepare for your modeling objective. Let me know if you want to make overrides."
 )
-OFFLINE_MESSAGE = "Goal set: **%s**.<br>⚠️ API unavailable. Using offline recommendations fallback."
+RULES_MESSAGE = (
+    "Goal set: **%s**.<br>Using mock offline recommendations. I suggest dropping redundant columns. You can edit the suggestions in the grid."
+)
+_KEY = "_prompt_key"
 
 
 def _matches(rule: Rule, name: Column) -> Column:
@@ -102,6 +107,11 @@ def actions_of(recommendations: DataFrame) -> dict[str, dict[str, str | None]]:
     return {r["column"]: {k: r[k] for k in ANSWER_KEYS[1:]} for r in rows}
 
 
+def rules_intro(goal: Column) -> Column:
+    """What the assistant says about a plan that the rules made, without a model."""
+    return F.format_string(RULES_MESSAGE, goal)
+
+
 def plan_summary(recommendations: DataFrame, goal: str, by: Sequence[str] = ("dataset",)) -> DataFrame:
     """Number of drops and the first two dropped names of each table, and the message about them.
 
@@ -163,16 +173,42 @@ def prompt_payload(
 
 
 def ask_model(
-    prompts: DataFrame, answer: Callable[[list[str]], Sequence[str | None]], prompt: str = "prompt"
+    prompts: DataFrame, answer: Callable[[list[str]], Sequence[str | None]], prompt: str = "prompt", store: str | None = None, rounds: int = 1
 ) -> DataFrame:
-    """Adds the model's answer to every prompt; the caller's function gets batches of texts."""
-    schema = T.StructType([*prompts.schema.fields, T.StructField("answer", T.StringType())])
+    """Adds the model's answer to every prompt; the caller's function gets batches of texts.
 
+    With ``store``, a folder, answers are kept under their prompt's digest: a prompt that several
+    rows share is asked once, and one that was answered before, by whatever run, not at all. Each
+    of ``rounds`` is kept as it ends, so a failure costs the answers of its round.
+    """
+    if store is None:
+        return _answered(prompts, answer, prompt, prompts.schema)
+    spark, schema = prompts.sparkSession, T.StructType([T.StructField(_KEY, T.StringType()), T.StructField(prompt, prompts.schema[prompt].dataType)])
+    keyed = prompts.withColumn(_KEY, F.sha2(F.concat(F.when(F.col(prompt).isNull(), "0").otherwise("1"), F.coalesce(prompt, F.lit(""))), 256))
+    texts = keyed.groupBy(_KEY).agg(F.first(prompt).alias(prompt))
+    for turn in range(rounds):
+        part = texts.filter(F.pmod(F.xxhash64(_KEY), F.lit(rounds)) == turn)
+        new = part.join(_kept_answers(spark, store), _KEY, "left_anti")
+        _answered(new, answer, prompt, schema).select(_KEY, "answer").write.parquet(f"{store}/round={uuid.uuid4().hex}")
+    return spread_join(keyed, _kept_answers(spark, store), [_KEY]).drop(_KEY)
+
+
+def _answered(prompts: DataFrame, answer: Callable[[list[str]], Sequence[str | None]], prompt: str, schema: T.StructType) -> DataFrame:
     def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(answer=list(answer(batch[prompt].tolist())))
 
-    return prompts.mapInPandas(answered, schema)
+    return prompts.mapInPandas(answered, T.StructType([*schema.fields, T.StructField("answer", T.StringType())]))
+
+
+def _kept_answers(spark, store: str) -> DataFrame:
+    """One answer a prompt; two runs at a time may have asked for the same."""
+    schema = T.StructType([T.StructField(_KEY, T.StringType()), T.StructField("answer", T.StringType())])
+    try:
+        kept = spark.read.schema(schema).parquet(store)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return kept.select(*schema.names).groupBy(_KEY).agg(F.min("answer").alias("answer"))
 
 
 def parse_recommendations(answers: DataFrame, text: str = "answer") -> DataFrame:
@@ -210,7 +246,7 @@ def recommendations_or_rules(
 ) -> DataFrame:
     """The model's recommendations per table, or all rule recommendations of that table.
 
-    `origin` tells which (OFFLINE_MESSAGE is what the assistant says about rules).
+    `origin` tells which.
     ``columns`` has one row per table and column, ``answers`` one per table.
     A table without an answer gets the rules too.
     """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidewash.functions import text as X
-from tidewash.operators import edits as E
+from tidewash.operators import edits as E, recommend as R
 from tidewash.plans import actions as A
 from workload.registry import query, table
 
@@ -225,6 +225,17 @@ def reply_text(spark, sf):
     return _messages(spark, sf).select("session_id", "turn", E.reply_text(F.col("text"), _COLUMNS, goal).alias("reply"))
 
 
+@query("offline_replies", """
+    SELECT conv_id AS session_id, turn,
+      'Goal set: **' || text || '**.<br>Using mock offline recommendations. I suggest dropping redundant columns. You can edit the suggestions in the grid.' AS intro,
+      '⚠️ Streaming API unavailable (' || left(text, 60) || '). Changes applied via local rule engine.' AS failed FROM conversations""")
+def offline_replies(spark, sf):
+    said = table(spark, sf, "conversations")
+    return said.select(
+        F.col("conv_id").alias("session_id"), "turn", R.rules_intro(F.col("text")).alias("intro"), E.failed_stream_reply(F.col("text")).alias("failed")
+    )
+
+
 @query("append_turns", """
     SELECT conv_id AS session_id, turn, role, text AS content FROM conversations
     UNION ALL SELECT conv_id, max(turn) + 1, 'assistant', 'noted' FROM conversations GROUP BY conv_id""")

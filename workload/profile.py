@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewash.operators import describe as D, detectors, profile as P
+from tidewash.operators import describe as D, detectors, profile as P, states
+from tidewash.session import shared_folder
 from workload.registry import query, table
 
 # The given tables hold no nulls, so both sides make the same gaps.
@@ -132,6 +133,19 @@ def schema_summary(spark, sf):
     return summary.withColumn("samples", F.array_join("sample_values", "|")).drop("sample_values", "pos")
 
 
+@query("profile_states", """
+    WITH t AS (SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) AS column_name)
+    SELECT column_name, (SELECT count(*) FROM events) AS row_count, CAST(0 AS BIGINT) AS null_count, TRUE AS near FROM t""")
+def profile_states(spark, sf):
+    """Mergeable states of the table's files; the estimated distinct values are near the counted ones."""
+    events, folder = table(spark, sf, "events"), shared_folder(spark, "states")
+    states.add_states(events, folder)
+    states.add_states(events, folder)  # nothing is new
+    exact = P.column_counts(events).select("column_name", F.col("unique_values_count").alias("exact"))
+    near = F.abs(F.col("unique_values_count") - F.col("exact")) <= 0.05 * F.col("exact") + 0.5
+    return states.merged_counts(spark, folder).join(F.broadcast(exact), "column_name").select("column_name", "row_count", "null_count", near.alias("near"))
+
+
 def _preview_sql(source: str, columns: list[str], key: str, n: int) -> str:
     shown = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in columns)
     return f"WITH t AS ({source}), p AS (SELECT * FROM t ORDER BY {key} LIMIT {n}) SELECT {shown} FROM p"

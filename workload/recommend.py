@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewash.operators import profile as P, recommend as R
 from tidewash.plans import actions as A
+from tidewash.session import shared_folder
 from workload.registry import query, table
 
 _GOAL = "predict churn"
@@ -194,10 +195,10 @@ def prompt_payload(spark, sf):
 
 @query("model_answers", "SELECT doc_id, length(text) || ' ' || upper(left(text, 1)) AS answer FROM documents")
 def model_answers(spark, sf):
-    """The batch call with a stand-in for the model."""
+    """The batch call with a stand-in for the model, which is asked once for each text."""
     prompts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
     stand_in = lambda texts: [f"{len(t)} {t[:1].upper()}" for t in texts]
-    return R.ask_model(prompts, stand_in).select("doc_id", "answer")
+    return R.ask_model(prompts, stand_in, store=shared_folder(spark, "answers"), rounds=2).select("doc_id", "answer")
 
 
 def _answers(spark, sf) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewash.plans import cleaning as C
 from tidewash.session import shared_folder
-from tidewash.sources import generator, headers, listing, sessions as S, tables as T
+from tidewash.sources import generator, headers, listing, publish, sessions as S, tables as T
 from workload.profile import ORDER_GAPS_SQL, order_gaps
 from workload.registry import query, table
 
@@ -43,6 +43,16 @@ def clean_sink(spark, sf):
     return spark.read.parquet(folder)
 
 
+@query("published_orders", "SELECT o_orderkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def published_orders(spark, sf):
+    """A table that is published, and published again from its own rows."""
+    path = shared_folder(spark, "published")
+    orders = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+    publish.publish(orders, path)
+    publish.publish(publish.read_published(spark, path).withColumn("o_totalprice", F.col("o_totalprice") * 2), path)
+    return publish.read_published(spark, path)
+
+
 # A third of the orders gets a fraction of a second.
 _FRACTIONS_SQL = "CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 123450 MICROSECOND ELSE o_orderdate END"
 
