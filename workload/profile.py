@@ -269,6 +269,30 @@ def column_signals(spark, sf):
     return detectors.column_signals(orders).drop("pos")
 
 
+_PARSE_TEXTS_SQL = """
+    SELECT CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 2 THEN 'on ' || o_clerk END AS dates,
+      CASE o_orderkey % 5 WHEN 0 THEN CAST(o_totalprice AS VARCHAR) WHEN 1 THEN '1e' || (o_orderkey % 7) WHEN 2 THEN o_orderstatus || '1' WHEN 3 THEN ' ' || o_custkey || ' ' END AS numbers,
+      o_orderstatus AS words FROM (SELECT *, o_orderpriority AS o_clerk FROM orders)"""
+
+
+@query("text_parse_rates", f"""
+    WITH t AS ({_PARSE_TEXTS_SQL}), v AS (SELECT unnest(['dates', 'numbers', 'words']) AS column_name, unnest([dates, numbers, words]) AS v FROM t)
+    SELECT column_name, CASE WHEN column_name <> 'numbers' THEN count(coalesce(try_strptime(v, '%Y-%m-%d'), try_strptime(v, '%m/%d/%Y'))) / count(v) END AS date_rate,
+      count(TRY_CAST(trim(v) AS DOUBLE)) / count(v) AS number_rate FROM v GROUP BY column_name""")
+def text_parse_rates(spark, sf):
+    """Texts of which some read as dates or numbers, some do not and some are missing."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    dates = F.when(k % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(k % 4 == 1, F.date_format(day, "MM/dd/yyyy")).when(k % 4 == 2, F.concat(F.lit("on "), "o_orderpriority"))
+    numbers = (
+        F.when(k % 5 == 0, F.col("o_totalprice").cast("string")).when(k % 5 == 1, F.concat(F.lit("1e"), (k % 7).cast("string")))
+        .when(k % 5 == 2, F.concat("o_orderstatus", F.lit("1"))).when(k % 5 == 3, F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(" ")))
+    )
+    texts = table(spark, sf, "orders").select(dates.alias("dates"), numbers.alias("numbers"), F.col("o_orderstatus").alias("words"))
+    names = F.array(*[F.lit(c) for c in texts.columns])
+    name = F.get(names, F.col("pos"))
+    return detectors.text_parse_rates(texts).select(name.alias("column_name"), F.when(name != "numbers", F.col("date_rate")).alias("date_rate"), "number_rate")
+
+
 @query("duplicate_columns", """
     WITH t AS (SELECT l_orderkey, l_quantity, l_quantity AS copied,
                  CASE WHEN l_orderkey = 1 THEN l_quantity + 1 ELSE l_quantity END AS nearly, l_tax FROM lineitem)
