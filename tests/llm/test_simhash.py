@@ -1,5 +1,7 @@
 """Fingerprints and components against brute force."""
 
+import itertools
+
 import numpy as np
 import pytest
 import xxhash
@@ -84,6 +86,33 @@ def test_components_of_links(spark, monkeypatch, dense, hot):
     assert all(found.get(n, n) == expected[n] for n in signed)
 
 
+def test_a_hot_key_is_dealt_on(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    low = rng.integers(0, 2**30, 15_000).astype(np.uint64) << np.uint64(15)  # all share the other bits
+    frame = spark.createDataFrame([(int(x),) for x in np.unique(low).view(np.int64).tolist()], "fp bigint").repartition(4)
+    monkeypatch.setattr(simhash, "HOT_KEY", 1000)
+    sizes = []
+    real = simhash.meetings
+
+    def watched(dealt, radius):
+        sizes.append(dealt.groupBy("choice", "key", "window", "sub").count().agg({"count": "max"}).first()[0])
+        return real(dealt, radius)
+
+    monkeypatch.setattr(simhash, "meetings", watched)
+    links = {tuple(r) for r in simhash.links(frame).collect()}
+    assert sizes[0] <= 2 * simhash.HOT_KEY
+    fps = np.unique(low)
+    near = set()
+    for flips in itertools.chain([()], itertools.combinations(range(15, 45), 1), itertools.combinations(range(15, 45), 2), itertools.combinations(range(15, 45), 3)):
+        other = fps ^ np.uint64(sum(1 << b for b in flips))
+        found = np.isin(other, fps) & (other > fps)
+        near |= set(zip(fps[found].tolist(), other[found].tolist()))
+    assert len(near) > 200 and union(links, fps.tolist()) == union(near, fps.tolist())
+    for mask in simhash.block_masks(10**6):
+        parts = [m & (2**64 - 1) for m in simhash.sub_masks(mask)]
+        assert sum(parts) == ~mask & (2**64 - 1) and sum(m.bit_count() for m in parts) == 64 - (mask & (2**64 - 1)).bit_count()
+
+
 def test_chain_of_links(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101)]
     found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "low bigint, high bigint")).collect()}

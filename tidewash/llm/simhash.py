@@ -8,9 +8,9 @@ distances of each to ``PIVOTS`` fixed reference fingerprints are computed once;
 triangle inequality a pair that differs by more than the radius in any coordinate of that
 table is discarded, and the survivors are verified on their bits.
 
-Copies cost nothing: only distinct fingerprints are linked. A key that very many near copies
-share is dealt on by overlapping windows of its distances to the first pivots (which lose no
-link), and a dense group gives a spanning forest of its links instead of all pairs, which has
+Copies cost nothing: only distinct fingerprints are linked. A key that very many fingerprints
+share is dealt on: with its other bits in four parts, linked fingerprints agree in one of them,
+so none of their links is lost. A dense group gives a spanning forest of its links instead of all pairs, which has
 the same components. Components come from alternating large and small stars, each round
 written to the shared folder.
 
@@ -40,9 +40,8 @@ SEED = 42
 RADIUS = 3
 #: Reference fingerprints of the distance table.
 PIVOTS = 16
-#: A key with more distinct fingerprints is dealt on by distances to this many pivots.
+#: A key with more distinct fingerprints is dealt on by parts of its other bits.
 HOT_KEY = 4096
-DEALING_PIVOTS = 3
 #: Groups up to this size give all their links, larger ones a forest.
 SMALL_GROUP = 32
 #: Blocks are added until a fingerprint meets this many others by chance, at most.
@@ -139,8 +138,8 @@ def group_links(groups: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tu
 
 
 def meetings(dealt: DataFrame, radius: int) -> DataFrame:
-    """Pairs (low, high) of linked ids among the rows (choice, key, window, id, fp) that share the first three."""
-    names = ["choice", "key", "window"]
+    """Pairs (low, high) of linked ids among the rows (choice, key, window, sub, id, fp) that share the first four."""
+    names = ["choice", "key", "window", "sub"]
     id_type = dealt.schema["id"].dataType
     together = dealt.select(*names, "id", "fp").repartition(*names).sortWithinPartitions(*names)
 
@@ -173,15 +172,11 @@ def meetings(dealt: DataFrame, radius: int) -> DataFrame:
     return met.select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).distinct()
 
 
-def _with_windows(numbers: Column, distance: Column, radius: int) -> Column:
-    """Each of ``numbers`` extended by the windows that hold ``distance``.
-
-    Window w holds the distances from w(r+1) to w(r+1)+2r, so a pair that differs by the
-    radius r or less has a window in common: that of its smaller distance.
-    """
-    first = F.greatest(F.ceil((distance - 2 * radius) / (radius + 1)), F.lit(0))
-    held = F.sequence(first, F.floor(distance / (radius + 1)))
-    return F.flatten(F.transform(numbers, lambda number: F.transform(held, lambda w: (number * 64 + w).cast("int"))))
+def sub_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks (signed) of ``radius`` + 1 parts of the bits outside ``mask``: linked fingerprints agree in one of them."""
+    bits = [k for k in range(64) if not mask >> k & 1]
+    masks = [sum(1 << k for k in bits[part :: radius + 1]) for part in range(radius + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -194,13 +189,13 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")) for k, mask in enumerate(masks)
     ])).alias("k")).select("k.*", "fp")
     hot = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY).select("choice", "key", F.lit(True).alias("hot"))
-    windows = F.array(F.lit(0))
-    for pivot in pivots(DEALING_PIVOTS).view(np.int64).tolist():
-        distance = F.bit_count(F.col("fp").bitwiseXOR(F.lit(pivot)))
-        windows = _with_windows(windows, distance, radius)
-    dealt = keyed.join(hot, ["choice", "key"], "left").select(
-        "choice", "key", F.col("fp").alias("id"), "fp", F.explode(F.when(F.col("hot"), windows).otherwise(F.array(F.lit(0)))).alias("window")
-    )
+    parts = F.array(*[F.array(*[F.lit(m).cast("bigint") for m in sub_masks(mask, radius)]) for mask in masks])
+    part = lambda m, at: F.struct(at.cast("int").alias("window"), F.col("fp").bitwiseAND(m).alias("sub"))
+    whole = F.array(F.struct(F.lit(-1).alias("window"), F.lit(0).cast("bigint").alias("sub")))
+    windows = F.when(F.col("hot"), F.transform(F.get(parts, F.col("choice")), part)).otherwise(whole)
+    dealt = keyed.join(bounded(written(hot, "hot-keys")), ["choice", "key"], "left").select(
+        "choice", "key", F.col("fp").alias("id"), "fp", F.explode(windows).alias("w")
+    ).select("choice", "key", "w.*", "id", "fp")
     return meetings(dealt, radius)
 
 
