@@ -20,7 +20,7 @@ SLOTS = 1 << 20
 KEPT_IDS = 1 << 23
 PROBES = 4
 #: Letter runs and long chunks that a task keeps.
-MAX_RUNS = 200_000
+MAX_RUNS = 400_000
 MAX_LONG = 50_000
 #: Longest chunk of the table in bytes: three 64-bit words, the top byte of the last is the length.
 KEY_BYTES = 23
@@ -77,7 +77,9 @@ class WordEncoder:
     def _chunk(self, raw: bytes) -> tuple[int, int]:
         """Encodes a chunk; where its ids begin in ``self.ids``, and their number."""
         chunk = raw.decode()
-        if SIMPLE.fullmatch(chunk):
+        if raw.isalpha():  # ASCII letters: one run, which the table of chunks keeps
+            ids = [token.id for token in self.model.tokenize(chunk.lower())]
+        elif SIMPLE.fullmatch(chunk):
             ids = [x for run in RUNS.findall(chunk.lower()) for x in self._run(run)]
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
