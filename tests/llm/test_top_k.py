@@ -40,6 +40,15 @@ def test_equals_brute_force(spark, n, dim, spread, block, shard):
     assert sorted(tuple(r) for r in got) == brute(rows, 7, 20)
 
 
+def test_blocks_keep_their_size(spark):
+    ids = spark.range(300_000).selectExpr("CASE WHEN id % 3 = 0 THEN id ELSE id * 100003 % 7000001 * 1000 + 1 END AS vec_id").distinct()
+    edges = top_k.block_edges(ids, 1000)
+    values = np.sort(ids.toPandas()["vec_id"].to_numpy())
+    sizes = np.diff([0, *np.searchsorted(values, edges[1:-1], side="right"), len(values)])
+    assert sizes.sum() == len(values) and sizes.max() <= 1100 and len(sizes) >= 270
+    assert top_k.block_edges(ids.limit(900), 1000) == [None, None]
+
+
 def test_empty_and_large_values(spark):
     assert top_k.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
     rows = [(0, [3e7, 1.0]), (1, [3e7, 2.0]), (2, [3e7, 1.0])]

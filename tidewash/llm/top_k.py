@@ -143,6 +143,15 @@ def search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np
     return q, vec_id, score
 
 
+def block_edges(asked: DataFrame, block: int) -> list[float | None]:
+    """Ends of ranges of vec_id that hold about ``block`` queries each, a tenth more at most; vec_id is unique there."""
+    n = asked.count()
+    if n <= block:
+        return [None, None]
+    cuts = asked.approxQuantile("vec_id", [j * block / n for j in range(1, math.ceil(n / block))], 0.04 * block / n)
+    return [None, *sorted(set(cuts)), None]
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK_QUERIES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score for every row of ``vectors`` that meets ``is_query``."""
     spark = vectors.sparkSession
@@ -166,8 +175,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK_Q
                 )
 
     asked = written(queries.mapInArrow(first_floor, "vec_id bigint, features array<double>, floor double"), "queries")
-    cuts = asked.approxQuantile("vec_id", [j * block / max(1, n) for j in range(1, math.ceil(n / block))], 0.01) if (n := asked.count()) > block else []
-    edges = [None, *sorted(set(cuts)), None]
+    edges = block_edges(asked, block)
     path = shared_folder(spark, "top-k")
     found_type = "query_id bigint, vec_id bigint, score bigint"
     dealt = rows.repartition(shards)
