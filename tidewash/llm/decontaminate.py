@@ -21,8 +21,11 @@ from tidewash.llm.shared import table, whole_row
 WINDOW = 10
 #: Words of a window that the cheap first test hashes.
 PREFIX = 3
-#: Above so many distinct windows the set no longer travels with the plan but is joined.
+#: Above so many distinct windows, or bytes of them, the set no longer travels with the plan but is joined.
 MAX_GRAMS = 200_000
+MAX_GRAM_BYTES = 32 << 20
+#: Hashes of 8 bytes, of windows that are joined: up to so many are broadcast.
+MAX_HASHES = 4_000_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,14 +80,16 @@ def with_hits(
     head = F.when(F.col("n") >= PREFIX, _head_hash(grams_words, PREFIX))
     for n in range(1, PREFIX):
         head = head.when(F.col("n") == n, _head_hash(grams_words, n))
-    known = [tuple(r) for r in grams.select("gram", "n", head).limit(max_grams + 1).collect()]
+    sizes = grams.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0))).first()
+    fits = sizes[0] <= max_grams and sizes[1] <= MAX_GRAM_BYTES
+    known = [tuple(r) for r in grams.select("gram", "n", head).collect()] if fits else []
     # A filter on hits must not move below this projection, where it would cut the words anew for
     # each window; the number of the row, which is not deterministic, holds it above.
     rows = docs.select(
         whole_row(docs).alias("row"), normal_words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("key")
     )
-    if len(known) > max_grams:
-        return _joined_hits(rows, grams), grams
+    if not fits:
+        return _joined_hits(rows, grams, sizes[0] <= MAX_HASHES), grams
     lists = []
     for n in sorted({n for _, n, _ in known}):
         quoted = ", ".join(sorted(f"'{gram}'" for gram, m, _ in known if m == n))
@@ -98,13 +103,19 @@ def with_hits(
     return rows.select("key", "row", "words", F.size("words").alias("n_words"), hits.alias("hits")), grams
 
 
-def _joined_hits(rows: DataFrame, grams: DataFrame) -> DataFrame:
-    """The rows of ``with_hits`` for a set too large for the plan: windows are joined by their text."""
+def _joined_hits(rows: DataFrame, grams: DataFrame, few: bool) -> DataFrame:
+    """The rows of ``with_hits`` for a set too large for the plan: windows are joined by their text.
+
+    Where the hashes of the set are ``few`` enough to broadcast, only windows that meet one are shuffled.
+    """
     lengths = [r[0] for r in grams.select("n").distinct().collect()]
     windows = F.expr(f"concat({', '.join(_windows(n, '') for n in sorted(lengths))})")
+    hits = rows.select("key", F.explode(windows).alias("hit"))
+    if few:
+        hashes = grams.select(F.xxhash64("gram").alias("hash")).distinct()
+        hits = hits.join(F.broadcast(hashes), F.xxhash64("hit.gram") == F.col("hash"), "left_semi")
     found = (
-        rows.select("key", F.explode(windows).alias("hit"))
-        .join(grams.select(F.col("gram").alias("known")), F.col("hit.gram") == F.col("known"), "left_semi")
+        hits.join(grams.select(F.col("gram").alias("known")), F.col("hit.gram") == F.col("known"), "left_semi")
         .groupBy("key").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
     )
     nothing = F.array().cast("array<struct<start:int,n:int,gram:string>>")
