@@ -195,9 +195,18 @@ def prompt_payload(spark, sf):
 
 @query("model_answers", "SELECT doc_id, length(text) || ' ' || upper(left(text, 1)) AS answer FROM documents")
 def model_answers(spark, sf):
-    """The batch call with a stand-in for the model, which is asked once for each text."""
+    """The batch call with a stand-in for the model, which is asked once for each text.
+
+    The SQL maps one letter to one letter, so a letter whose upper case is several ("SS", "FI")
+    takes its capital, where it has one, or stays.
+    """
     prompts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
-    stand_in = lambda texts: [f"{len(t)} {t[:1].upper()}" for t in texts]
+
+    def upper(letter: str) -> str:
+        forms = [letter.upper(), "\u1e9e" if letter == "\xdf" else letter.title(), letter]
+        return next(form for form in forms if len(form) == len(letter))
+
+    stand_in = lambda texts: [None if t is None else f"{len(t)} {upper(t[:1])}" for t in texts]
     return R.ask_model(prompts, stand_in, store=shared_folder(spark, "answers"), rounds=2).select("doc_id", "answer")
 
 
