@@ -23,8 +23,9 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: of documents that share 0.8 of their five-word shingles one stays.
 
-    No 64-bit fingerprint proves that share, so neither fingerprints nor pivots are used here:
-    the operator's exact filter on rare shingles finds the pairs, and each is verified.
+    The operator's fingerprints, keys and pivots find the first pairs and the exact check unites
+    them. No 64-bit fingerprint proves that share, so the operator's exact filter on rare shingles
+    finds the pairs that are still apart; each is verified too.
     """
     return simhash.one_of_each(docs)
 

@@ -199,3 +199,43 @@ def test_pairs_inside_a_hot_key(spark, monkeypatch):
         rows += [(k, " ".join(own)), (1000 + k, " ".join([*own[:30], f"y{k}", *own[31:60], f"z{k}", *own[61:]]))]
     assert jaccard(rows[0][1], rows[2][1]) < 0.8 <= jaccard(rows[0][1], rows[1][1])
     assert sorted(r.doc_id for r in simhash.one_of_each(documents(spark, rows)).collect()) == list(range(100))
+
+
+def linked_texts(seed):
+    """Near copies whose fingerprints link, a pair that links without being similar, and others."""
+    rows = []
+    for g in range(12):
+        base = words(seed + g, 900)
+        rows += [(100 * g + k, " ".join([*base[: 50 * k], f"new{k}", *base[50 * k + 1 :]])) for k in range(6)]
+    repeated = ["a", "b", "c"] * 300
+    return [*rows, (5000, " ".join(repeated)), (5001, " ".join([*repeated, *words(77, 12)])), *((6000 + k, " ".join(words(50 + k, 90))) for k in range(20))]
+
+
+def test_fingerprints_give_the_first_pairs(spark, monkeypatch):
+    """The stage links fingerprints as operator 4 does: what they link and the exact check confirms needs no other filter."""
+    rows = linked_texts(1)
+    texts = [t for _, t in rows]
+    fps = [simhash.fingerprint(t) for t in texts]
+    linked = components_of(list(range(len(rows))), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    confirmed = components_of(list(range(len(rows))), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3 and jaccard(texts[a], texts[b]) >= 0.8)
+    assert len(linked) < len(confirmed) < len(rows) - 20  # the exact check parts 5000 and 5001
+    docs = documents(spark, rows)
+    found = simhash.fingerprint_pairs(docs.selectExpr("unhex(md5(text)) AS id", "text")).collect()
+    ids = {bytes.fromhex(r.h): r.n for r in docs.selectExpr("md5(text) AS h", "doc_id AS n").collect()}
+    place = {i: k for k, (i, _) in enumerate(rows)}
+    pairs = {frozenset((place[ids[bytes(r.low)]], place[ids[bytes(r.high)]])) for r in found}
+    assert all((fps[a] ^ fps[b]).bit_count() <= 3 and a != b for a, b in map(tuple, pairs))
+    assert components_of(list(range(len(rows))), lambda a, b: frozenset((a, b)) in pairs) == linked
+    real = simhash.wide_dealt
+    monkeypatch.setattr(simhash, "wide_dealt", lambda *given: real(*given).limit(0))
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [rows[k][0] for k in confirmed]
+    monkeypatch.setattr(simhash, "wide_dealt", real)
+    every = components_of(texts, lambda a, b: jaccard(a, b) >= 0.8)
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [rows[k][0] for k in every]
+
+
+def test_united_pairs_are_not_looked_at_again(spark):
+    pairs = spark.createDataFrame([(a, b) for a in range(8) for b in range(a + 1, 8)], "low bigint, high bigint")
+    roots = written(spark.createDataFrame([(0, 0), (1, 0), (2, 0), (4, 4), (5, 4)], "node bigint, root bigint"), "roots")
+    left = {tuple(r) for r in simhash.apart(pairs, roots).collect()}
+    assert {(a, b) for a in range(8) for b in range(a + 1, 8)} - left == {(0, 1), (0, 2), (1, 2), (4, 5)}

@@ -73,16 +73,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and signed 64-bit fingerprint ``fp`` of each row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, name: str = "doc_id", kind: str = "bigint") -> DataFrame:
+    """The id (``name``, of type ``kind``) and signed 64-bit fingerprint ``fp`` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = np.array([fingerprint(text, shingle) for text in batch["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch[name], pa.array(fps)], [name, "fp"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, fp bigint")
+    texts = docs.select(F.col(name).cast(kind).alias(name), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, f"{name} {kind}, fp bigint")
 
 
 def block_masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return classes(written(fingerprints(docs, shingle), "marked"), radius)
 
 
-# --- Groups by the similarity of the shingles themselves ---------------------------------------
+# --- Groups by the similarity of the shingles themselves, linked fingerprints first -------------
 
 SIMILARITY = 0.8
 WIDE_SHINGLE = 5
@@ -448,12 +448,36 @@ def wide_dealt(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return keyed.select(F.col("k.keys").alias("key"), F.explode(windows).alias("window"), "id", "size", "at")
 
 
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (low, high) of different texts that connect all texts whose fingerprints link.
+
+    A text is paired with the first one of its fingerprint, and the first ones of two
+    fingerprints that ``links`` gives are paired.
+    """
+    marked = written(fingerprints(texts, name="id", kind="binary").groupBy("id").agg(F.min("fp").alias("fp")), "marked")
+    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    shared = written(distinct.where("n > 1").select(F.col("fp").alias("of"), "first"), "shared-fingerprints")
+    same = marked.join(shared, F.col("fp") == F.col("of")).where("id <> first").select(F.col("first").alias("low"), F.col("id").alias("high"))
+    linked = written(links(distinct), "linked")
+    low, high = (distinct.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_id")) for side in ("low", "high"))
+    linked = linked.join(low, "low").join(high, "high").select(F.col("low_id").alias("low"), F.col("high_id").alias("high"))
+    return same.unionByName(linked.select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the ``pairs`` (low, high) that ``roots`` (node, root; written) do not connect already."""
+    one, other = (roots.select(F.col("node").alias(f"{side}_node"), F.col("root").alias(f"{side}_root")) for side in ("low", "high"))
+    both = pairs.join(bounded(one), F.col("low") == F.col("low_node"), "left").join(bounded(other), F.col("high") == F.col("high_node"), "left")
+    return both.where("low_root IS NULL OR high_root IS NULL OR low_root <> high_root").select("low", "high")
+
+
 def similar_pairs(texts: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (low, high) of different texts whose distinct shingles have the Jaccard similarity asked for.
 
     ``texts`` has id (16 bytes, its digest) and text; copies are harmless. Every pair returned
     is verified on all shingles of both texts, and the pairs connect whatever all similar pairs
-    connect: a pair is passed over only if both are connected already.
+    connect: a pair is passed over only if both are connected already. Linked fingerprints give
+    the first pairs; the filter on rare shingles finds those that differ in more bits.
     """
     names = ["key", "window"]
     schema = "key bigint, window int, low binary, high binary, root binary, size int, at int"
@@ -500,8 +524,11 @@ def similar_pairs(texts: DataFrame, shingle: int = WIDE_SHINGLE, similarity: flo
         return ordered.distinct()
 
     members = ["key", "window", F.col("low").alias("id"), "size", "at"]
+    similar = written(verified(texts, written(fingerprint_pairs(texts), "fingerprint-pairs"), shingle, similarity), "similar")
+    roots = written(components(similar), "wide-roots")
     met = written(together(wide_dealt(texts, shingle, similarity)).mapInArrow(first, schema), "wide-first")
-    similar = written(verified(texts, written(sides(met), "wide-pairs"), shingle, similarity), "similar")
+    wide = written(apart(sides(met), roots), "wide-pairs")
+    similar = similar.unionByName(written(verified(texts, wide, shingle, similarity), "similar"))
     large = met.where("high IS NULL").select(*members)
     if large.isEmpty():
         return similar
