@@ -106,3 +106,20 @@ def test_suggestions_over_many_tables(spark):
     columns = spark.createDataFrame([(d, i, c) for d, cs in tables.items() for i, c in enumerate(cs)], "dataset string, pos int, column string")
     got = {(r.dataset, r.chart_type, r.x_axis, r.y_axis, r.title) for r in H.suggest_for_tables(columns).collect()}
     assert got == {(d, s.chart_type, s.x_axis, s.y_axis, s.title) for d, cs in tables.items() for s in H.suggest_charts(cs)}
+
+
+def test_suggestions_sort_few_rows(spark):
+    """The first name is sought among rows that were cut and merged; positions may begin anywhere, or be none."""
+    specs = [H.ChartSpec("bar", "B", "x", "y"), H.ChartSpec("pie", "P", "x"), H.ChartSpec("line", "L", "z", "y")]
+    tables = {1: ["n", *["w"] * 50, "y", "y"], 2: ["x", "y"], 3: ["w"], None: ["q", "y"], 5: ["y", "x", "x"], 6: ["late", "w", "y"], 7: ["below", "y"]}
+    start = {6: 40, 7: -3}
+    rows = [(t, start.get(t, 0) + k, name) for t, names in tables.items() for k, name in enumerate(names)] + [(8, None, "y"), (8, None, "w"), (9, 0, None), (9, 1, "y")]
+    columns = spark.createDataFrame(rows, "dataset int, pos int, column string").repartition(5)
+    found = H.suggest_for_tables(columns, specs)
+    expected = {(t, s.title, s.x_axis if s.x_axis in names else names[0]) for t, names in tables.items() for s in specs if (s.y_axis or s.x_axis) in names}
+    expected |= {(t, title, None) for t in (8, 9) for title in "BL"}
+    got = [(r.dataset, r.title, r.x_axis) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    plan = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+    at = lambda text: next(k for k, line in enumerate(plan) if text in line)
+    assert at("partial_min_by") < at("HashAggregate(keys=[dataset") and "Filter" in "".join(plan[at("partial_min_by"):])

@@ -61,10 +61,15 @@ def suggest_for_tables(
     """The same over a table of columns (`by`, `pos`, `column`): one row per table and chart.
 
     One aggregate per table notes which of the named columns it has; no column
-    lists are gathered.
+    lists are gathered. A text in an aggregate makes Spark sort its rows, so these
+    are cut first: to named columns, and those that stand no later than the first
+    of every table (where positions begin alike, one row a table), each of them once.
     """
     has = lambda name: F.coalesce(F.bool_or(F.col("column") == name), F.lit(False))
-    found = columns.groupBy(*by).agg(
+    names = {name for s in suggestions for name in (s.x_axis, s.y_axis) if name is not None}
+    last = columns.groupBy(*by).agg(F.min("pos").alias("first")).agg(F.max("first")).scalar()
+    told = columns.filter(F.col("column").isin(*names) | (F.col("pos") <= last)).groupBy(*by, "column").agg(F.min("pos").alias("pos"))
+    found = told.groupBy(*by).agg(
         F.min_by("column", "pos").alias("first"),
         *[has(s.y_axis or s.x_axis).alias(f"has{i}") for i, s in enumerate(suggestions)],
         *[has(s.x_axis).alias(f"x{i}") for i, s in enumerate(suggestions)],
