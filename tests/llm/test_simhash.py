@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidewash.llm import simhash
+from tidewash.llm import shared, simhash
 
 SCHEMA = "doc_id bigint, text string, fp string, key int"
 
@@ -120,6 +120,35 @@ def test_chain_of_links(spark):
     assert simhash.components(spark.createDataFrame([], "low bigint, high bigint")).count() == 0
 
 
+@pytest.mark.parametrize("rows_a_file, least, most", [(1 << 16, 1, 1), (8, 2, 11)])
+def test_files_of_a_round_go_by_its_edges(spark, monkeypatch, rows_a_file, least, most):
+    """Not by the shuffle's partitions; and a larger table stays in several files."""
+    files, real = [], shared.written
+
+    def watched(df, purpose, **options):
+        out = real(df, purpose, **options)
+        if purpose not in ("edges", "hot-keys", "marked"):
+            files.append((purpose, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(simhash, "written", watched)
+    monkeypatch.setattr(shared, "ROWS_A_FILE", rows_a_file)
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101)]
+    texts = [(k, f"text {k % 40} stands here alone with other words {k % 40}", "x", 1) for k in range(60)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 23)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "low bigint, high bigint").repartition(5)).collect()}
+        simhash.near_duplicates(spark.createDataFrame(texts, SCHEMA).repartition(5)).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+    assert {"lowest", "large-star", "small-star", "fingerprints", "components", "smallest"} == {p for p, _ in files}
+    assert least <= max(n for _, n in files) <= most
+
+
 def test_classes_of_documents(spark):
     base = "The quick brown fox jumps over the lazy dog and runs far away into the deep dark wood " * 20
     rows = [(9, base), (4, base.upper()), (7, base + "end"), (3, ""), (2, None), (8, "\n"), (1, "other words stand here alone"), (None, base), (1, "other words stand here alone")]

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewash.session import shared_folder
 
+#: A table of known size is written in files of up to about so many rows.
+ROWS_A_FILE = 1 << 16
+
 
 def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
@@ -19,6 +22,15 @@ def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has at most ``rows`` rows, in no more partitions than that number fills.
+
+    Each file that is written to a local or mounted folder starts several processes beside the
+    executor, and until such a process runs its own program it counts with all the executor's memory.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

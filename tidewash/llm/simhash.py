@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tidewash.llm.shared import table, whole_row, written
+from tidewash.llm.shared import packed, table, whole_row, written
 from tidewash.llm.tokens import slices
 
 SHINGLE = 3
@@ -203,7 +203,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (low, high): the smallest node that it is connected with.
 
     Each round's smallest neighbours are written, so that both sides of a join have a shuffle of
-    their own and Spark can split the edges of a large component, which all have its root.
+    their own and Spark can split the edges of a large component, which all have its root. The
+    tables of a round have at most two rows for each edge before it, and files to match.
     """
     edges = written(edges.select(F.greatest("low", "high").alias("u"), F.least("low", "high").alias("v")).where("u <> v"), "edges")
     before = None
@@ -211,28 +212,30 @@ def components(edges: DataFrame) -> DataFrame:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
-        before = state
+        before, most = state, 2 * state[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("center"), F.least("u", "m").alias("m")), "lowest")
+        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("center"), F.least("u", "m").alias("m"))
+        lowest = written(packed(lowest, most), "lowest")
         large = both.join(lowest, F.col("u") == F.col("center")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u <> v").distinct(), "large-star")
-        lowest = written(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("center"), "m"), "lowest")
+        large = written(packed(large.where("u <> v").distinct(), most), "large-star")
+        lowest = written(packed(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("center"), "m"), most), "lowest")
         met = large.join(lowest, F.col("u") == F.col("center"))
         small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select(F.col("center").alias("u"), F.col("m").alias("v")))
-        edges = written(small.distinct(), "small-star")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        edges = written(packed(small.distinct(), most), "small-star")
+    return packed(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+    ), 2 * state[0])
 
 
 def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``marked`` (doc_id, fp; written) with component_id, the smallest doc_id that links reach."""
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
+    most = marked.count()
+    distinct = written(packed(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), most), "fingerprints")
     roots = written(components(links(distinct, radius)), "components")
     members = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first_id"
     )
-    smallest = written(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    smallest = written(packed(members.groupBy("root").agg(F.min("first_id").alias("component_id")), most), "smallest")
     of_fp = members.join(smallest, "root").select(F.col("fp").alias("known"), "component_id")
     return marked.join(of_fp, marked["fp"] == of_fp["known"], "left").drop("known")
 
